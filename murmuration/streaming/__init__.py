@@ -1,0 +1,5 @@
+"""Nothing to build: no operator of the inventory works on streams.
+
+Features and forward passes are stateless Column expressions, so ``plans.features`` expressions and
+``functions.forward`` may be used on a streaming DataFrame as they are.
+"""
