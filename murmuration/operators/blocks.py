@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_BLOCK = 4096
+ROWS_PER_BLOCK = 1024
 _BUFFERED_VALUES = 1 << 23  # doubles waiting in one task (64 MB)
 
 

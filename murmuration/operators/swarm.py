@@ -30,13 +30,17 @@ def init_swarm(groups: DataFrame, keys: list[str], n_particles: int | Column, n_
     ).withColumns({"pbest": F.col("pos"), "pbest_fit": F.lit(float("inf"))})
 
 
-def update_personal(swarm: DataFrame) -> DataFrame:
-    """Replace the personal best where the column ``fit`` is strictly better."""
+def personal_best() -> dict[str, Column]:
+    """``pbest`` and ``pbest_fit`` after seeing ``fit``: replaced only where strictly better."""
     better = F.col("fit") < F.col("pbest_fit")
-    return swarm.withColumns({
+    return {
         "pbest": F.when(better, F.col("pos")).otherwise(F.col("pbest")),
         "pbest_fit": F.when(better, F.col("fit")).otherwise(F.col("pbest_fit")),
-    })
+    }
+
+
+def update_personal(swarm: DataFrame) -> DataFrame:
+    return swarm.withColumns(personal_best())
 
 
 def global_best(swarm: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,38 +51,51 @@ def global_best(swarm: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def attach_best(swarm: DataFrame, keys: list[str], running: bool) -> DataFrame:
-    """Add ``gbest`` and ``gbest_fit``: the best of the whole group, or with ``running`` the best among
-    the particles up to and including this one in ``pid`` order."""
+def best_so_far(keys: list[str], running: bool) -> tuple[Column, Column]:
+    """Position and fitness of the best of the whole group, or with ``running`` of the best among the
+    particles up to and including this one in ``pid`` order."""
     window = Window.partitionBy(*keys)
     if running:
         window = window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return swarm.withColumns({
-        "gbest": F.min_by("pbest", F.struct("pbest_fit", "pid")).over(window),
-        "gbest_fit": F.min("pbest_fit").over(window),
-    })
+    return F.min_by("pbest", F.struct("pbest_fit", "pid")).over(window), F.min("pbest_fit").over(window)
+
+
+def attach_best(swarm: DataFrame, keys: list[str], running: bool) -> DataFrame:
+    """Add ``gbest`` and ``gbest_fit``."""
+    position, fit = best_so_far(keys, running)
+    return swarm.withColumns({"gbest": position, "gbest_fit": fit})
 
 
-def moved(inertia: float, c1: float, c2: float, v_max: float, r1: Column, r2: Column,
-          pos_max: float | None = None, social: str = "global") -> tuple[Column, Column]:
-    """New velocity and position from ``pos, vel, pbest, gbest``.
+def pulls(c1: float, c2: float, seed: int, group: list[Column], step: int | Column, draw: Draw = hashed) -> Column:
+    """The two random pull strengths of a particle in a step, as one array column."""
+    at = step if isinstance(step, Column) else F.lit(step)
+    pid = F.col("pid")
+    return F.array(
+        F.lit(float(c1)) * draw(seed, group, pid, F.lit(0), at),
+        F.lit(float(c2)) * draw(seed, group, pid, F.lit(1), at),
+    )
+
+
+def new_velocity(inertia: float, v_max: float, social: str = "global") -> Column:
+    """Velocity from ``pos, vel, pbest, gbest, pulls``, clamped to ``v_max``.
 
     ``social='personal'`` pulls twice towards the personal best and ignores the global one.
     """
-    pos, vel, own = F.col("pos"), F.col("vel"), F.col("pbest")
+    pos, own, pull = F.col("pos"), F.col("pbest"), F.col("pulls")
     lead = F.col("gbest") if social == "global" else own
-    velocity = F.transform(
-        vel,
+    return F.transform(
+        "vel",
         lambda v, k: clamp(
-            F.lit(inertia) * v
-            + F.lit(c1) * r1 * (own[k] - pos[k])
-            + F.lit(c2) * r2 * (lead[k] - pos[k]),
-            v_max,
+            F.lit(float(inertia)) * v + pull[0] * (own[k] - pos[k]) + pull[1] * (lead[k] - pos[k]), v_max
         ),
     )
-    return velocity, lambda new: F.zip_with(
-        pos, new, (lambda p, v: p + v) if pos_max is None else (lambda p, v: clamp(p + v, pos_max))
-    )
+
+
+def new_position(velocity: str, pos_max: float | None = None) -> Column:
+    """Position plus velocity, clamped to ``pos_max`` if given."""
+    if pos_max is None:
+        return F.zip_with("pos", velocity, lambda p, v: p + v)
+    return F.zip_with("pos", velocity, lambda p, v: clamp(p + v, pos_max))
 
 
 def move(swarm: DataFrame, keys: list[str], step: int | Column, inertia: float, c1: float, c2: float, v_max: float,
@@ -88,15 +105,9 @@ def move(swarm: DataFrame, keys: list[str], step: int | Column, inertia: float,
     if social not in ("global", "personal"):
         raise ValueError("social must be 'global' or 'personal'")
     group = [F.col(k) for k in (draw_keys or keys)]
-    at = step if isinstance(step, Column) else F.lit(step)
-    drawn = swarm.withColumns({
-        "r1": draw(seed, group, F.col("pid"), F.lit(0), at),
-        "r2": draw(seed, group, F.col("pid"), F.lit(1), at),
-    })
-    velocity, position = moved(inertia, c1, c2, v_max, F.col("r1"), F.col("r2"), pos_max, social)
+    rest = [c for c in swarm.columns if c not in ("pos", "vel")]
     return (
-        drawn.withColumn("new_vel", velocity)
-        .withColumn("pos", position(F.col("new_vel")))
-        .withColumn("vel", F.col("new_vel"))
-        .drop("new_vel", "r1", "r2")
+        swarm.withColumn("pulls", pulls(c1, c2, seed, group, step, draw))
+        .select(*rest, "pos", new_velocity(inertia, v_max, social).alias("moved"))
+        .select(*rest, new_position("moved", pos_max).alias("pos"), F.col("moved").alias("vel"))
     )

@@ -5,14 +5,22 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.functions.draws import Draw, hashed
 from murmuration.network import CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
 from murmuration.operators.blocks import PackedTable, pack_blocks
 from murmuration.operators.fitness import BROADCAST_BYTES, LOSSES, fitness
-from murmuration.operators.swarm import LEADER, attach_best, init_swarm, move, update_personal
+from murmuration.operators.swarm import (
+    LEADER,
+    best_so_far,
+    init_swarm,
+    new_position,
+    new_velocity,
+    personal_best,
+    pulls,
+)
 from murmuration.sources.scratch import Scratch
 
 
@@ -61,35 +69,52 @@ class Trained:
     network: Network
 
 
-def generation(state: DataFrame, fit_table: DataFrame, keys: list[str], step: int | Column, settings: SwarmSettings,
-               draw: Draw = hashed, draw_keys: list[str] | None = None) -> DataFrame:
+class Generation:
     """One generation: personal bests, global best, move, and the leader row of each group.
 
-    ``state`` holds the particles and one leader row per group; ``fit_table`` is ``*keys, pid, fit``.
-    In the first generation of an asynchronous run every particle already knows the best of the start.
+    Call it with ``state`` (particles and one leader row per group, each with the number of steps done)
+    and ``fits`` (``*keys, pid, fit``).  The expressions are written once: the step number is data, so
+    every generation runs the same compiled code.  In the first generation of an asynchronous run every
+    particle already knows the best of the start.
     """
-    running = settings.update == "async" and step != 1
-    scored = update_personal(state.join(fit_table, [*keys, "pid"], "left")).drop("fit")
-    scored = attach_best(scored, keys, running=False)
-    if running:
-        whole = {"lead": F.col("gbest"), "lead_fit": F.col("gbest_fit")}
-        scored = attach_best(scored.withColumns(whole), keys, running=True)
-    else:
-        scored = scored.withColumns({"lead": F.col("gbest"), "lead_fit": F.col("gbest_fit")})
-    new = move(scored, keys, step, settings.inertia, settings.c1, settings.c2, settings.v_max, settings.pos_max,
-               settings.social, settings.seed, draw, draw_keys)
-    leads = F.col("pid") == LEADER
-    return new.withColumns({
-        "pbest": F.when(leads, F.col("lead")).otherwise(F.col("pbest")),
-        "pbest_fit": F.when(leads, F.col("lead_fit")).otherwise(F.col("pbest_fit")),
-        "history": F.when(leads, F.concat("history", F.array("lead_fit"))).otherwise(F.col("history")),
-    }).select(*state.columns)
+
+    def __init__(self, keys: list[str], settings: SwarmSettings, draw: Draw = hashed,
+                 draw_keys: list[str] | None = None):
+        group = [F.col(k) for k in (draw_keys or keys)]
+        leads = F.col("pid") == LEADER
+        best, best_fit = best_so_far(keys, running=False)
+        self.on = [*keys, "pid"]
+        self.asynchronous = settings.update == "async"
+        self.personal = [c.alias(name) for name, c in personal_best().items()]
+        self.pulls = pulls(settings.c1, settings.c2, settings.seed, group, F.col("step") + 1, draw).alias("pulls")
+        self.lead = [best.alias("lead"), best_fit.alias("lead_fit")]
+        self.met_all = best.alias("gbest")
+        self.met_running = best_so_far(keys, running=True)[0].alias("gbest")
+        self.velocity = new_velocity(settings.inertia, settings.v_max, settings.social).alias("moved")
+        self.final = {
+            "step": F.col("step") + 1,
+            "pos": new_position("moved", settings.pos_max),
+            "vel": F.col("moved"),
+            "pbest": F.when(leads, F.col("lead")).otherwise(F.col("pbest")),
+            "pbest_fit": F.when(leads, F.col("lead_fit")).otherwise(F.col("pbest_fit")),
+            "history": F.when(leads, F.concat("history", F.array("lead_fit"))).otherwise(F.col("history")),
+        }
+
+    def __call__(self, state: DataFrame, fits: DataFrame, first: bool) -> DataFrame:
+        kept = [c for c in state.columns if c not in ("pbest", "pbest_fit")]
+        met = self.met_running if self.asynchronous and not first else self.met_all
+        scored = state.join(fits, self.on, "left").select(*kept, *self.personal, self.pulls)
+        led = scored.select("*", *self.lead, met)
+        moved = led.select(*[c for c in kept if c != "vel"], "lead", "lead_fit", "pbest", "pbest_fit", self.velocity)
+        return moved.select(*[self.final[c].alias(c) if c in self.final else c for c in state.columns])
 
 
 def with_leaders(swarm: DataFrame) -> DataFrame:
     """Add one leader row per group, taken from particle 0 and not yet evaluated."""
     leader = swarm.where(F.col("pid") == 0).withColumn("pid", F.lit(LEADER).cast("long"))
-    return swarm.unionByName(leader).withColumn("history", F.array().cast("array<double>"))
+    return swarm.unionByName(leader).withColumns({
+        "step": F.lit(0), "history": F.array().cast("array<double>")
+    })
 
 
 def train_runs(table: PackedTable, runs: list[dict], group: list[str], network: Network, loss: str,
@@ -119,6 +144,7 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
     state = scratch.store(with_leaders(swarm).drop("parts"), "generation-0")
     swarm_bytes = 8 * width * table.n_groups * sum(r["parts"] * (r["tier"] + 1) for r in runs)
     top_tier = max(r["tier"] for r in runs)
+    advance = Generation(keys, settings, draw, group)
     for step in range(1, max(r["iters"] for r in runs) + 1):
         active = state.where(F.col("iters") >= step) if len(runs) > 1 else state
         particles = active.where(F.col("pid") != LEADER)
@@ -128,7 +154,7 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
                        swarm_bytes, table.n_blocks, decision, broadcast_bytes)
         if swarm_bytes <= broadcast_bytes:
             fits = F.broadcast(fits)  # one number per particle: smaller than the swarm checked above
-        after = generation(active, fits, keys, step, settings, draw, group)
+        after = advance(active, fits, first=step == 1)
         if len(runs) > 1:
             after = after.unionByName(state.where(F.col("iters") < step))
         state = scratch.store(after, f"generation-{step % 2 + 1}")

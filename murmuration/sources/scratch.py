@@ -35,6 +35,10 @@ class Scratch:
         return f"{self.folder}/{name}"
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` (replacing a table of that name) and return a scan of what was written."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write ``df`` (replacing a table of that name) and return a scan of what was written.
+
+        Positions and velocities are noise to a compressor, so the files are plain.
+        """
+        plain = {"compression": "none", "parquet.enable.dictionary": "false"}
+        df.write.mode("overwrite").options(**plain).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
