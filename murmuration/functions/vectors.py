@@ -17,8 +17,16 @@ def one_hot(value: Column, vocabulary: Iterable) -> Column:
 
 
 def one_hot_against(value: Column, vocabulary: Column) -> Column:
-    """Indicators against an array column, for vocabularies read from the data."""
-    return F.transform(vocabulary, lambda v: F.when(v == value, F.lit(1.0)).otherwise(F.lit(0.0)))
+    """Indicators against an array column, for vocabularies read from the data.
+
+    Built from repeated zeros around a one, without a lambda, so the array may be a scalar subquery.
+    A value outside the vocabulary gives only zeros.
+    """
+    size = F.size(vocabulary)
+    place = F.coalesce(F.array_position(vocabulary, value), F.lit(0)).cast("int")
+    zeros = F.lit(0.0)
+    hot = F.concat(F.array_repeat(zeros, place - 1), F.array(F.lit(1.0)), F.array_repeat(zeros, size - place))
+    return F.when(place > 0, hot).otherwise(F.array_repeat(zeros, size))
 
 
 def append(x: Column, value: Column) -> Column:

@@ -74,11 +74,24 @@ C = """c AS MATERIALIZED (
          CASE WHEN label < 5 THEN 1e0 ELSE 0e0 END AS y
   FROM embeddings)"""
 EW = f"ew AS MATERIALIZED (SELECT grp, {drawn(H * (D + 1), 0.5, 0, 'grp')} AS w FROM (SELECT DISTINCT grp FROM e))"
-CW = f"cw AS MATERIALIZED (SELECT grp, {drawn(CH * (CD + 1), 0.5, 0, 'grp')} AS w FROM (SELECT DISTINCT grp FROM c))"
 EP = f"ep AS MATERIALIZED (SELECT e.grp, row_id, y, {net('x', 'w', D, H, 'tanh')} AS p FROM e JOIN ew ON e.grp = ew.grp)"
-CP = (
-    f"cp AS MATERIALIZED (SELECT row_id, y, {net('x', 'w', CD, CH, 'relu', 'sigmoid')} AS s FROM c JOIN cw ON c.grp = cw.grp)"
+
+
+def by_neuron(name, data, models, w, d, h, hidden, output) -> str:
+    """Scores ``s`` of every row and model through a table of hidden neurons; quick for wide networks."""
+    return f"""{name}_n AS MATERIALIZED (
+  SELECT grp, pid, {w}[j * {d} + 1 : (j + 1) * {d}] AS wj, {w}[{d * h} + j + 1] AS vj FROM {models}, range({h}) AS r(j)),
+{name} AS MATERIALIZED (
+  SELECT grp, pid, row_id, y, {act('z', output)} AS s
+  FROM (SELECT m.grp, m.pid, d.row_id, d.y, sum({act('list_dot_product(d.x, m.wj)', hidden)} * m.vj) AS z
+        FROM {data} d JOIN {name}_n m ON d.grp = m.grp GROUP BY m.grp, m.pid, d.row_id, d.y))"""
+
+
+CW = (
+    f"cw AS MATERIALIZED (SELECT grp, 0 AS pid, {drawn(CH * (CD + 1), 0.5, 0, 'grp')} AS w"
+    " FROM (SELECT DISTINCT grp FROM c))"
 )
+CP = by_neuron("cp", "c", "cw", "w", CD, CH, "relu", "sigmoid")
 L = "l AS (SELECT doc_id AS row_id, CAST(quality AS DOUBLE) AS y, CAST(toxic AS DOUBLE) AS p FROM labels)"
 DECIDED = "CASE WHEN s < 0.5e0 THEN 0e0 ELSE 1e0 END"
 
@@ -249,8 +262,7 @@ def moved(settings) -> str:
 
 def loss(value) -> str:
     size = CH * (CD + 1)
-    scored = f"""q AS MATERIALIZED (SELECT s.grp, s.pid, c.y, {net('c.x', 's.pos', CD, CH, 'relu', 'sigmoid')} AS s
-  FROM c JOIN s0 s ON c.grp = s.grp)"""
+    scored = by_neuron("q", "c", "s0", "pos", CD, CH, "relu", "sigmoid")
     return with_(C, start("s0", "c", 5, size, 0.5), scored) + value
 
 
