@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from murmuration.operators.meeting import hot_groups, shard_blocks
+
 ROWS_PER_BLOCK = 1024
 _BUFFERED_VALUES = 1 << 23  # doubles waiting in one task (64 MB)
 
@@ -123,6 +125,8 @@ class PackedTable:
     def __init__(self, blocks: DataFrame, keys: list[str], storage: StorageLevel = StorageLevel.MEMORY_AND_DISK):
         spark = blocks.sparkSession
         self.keys = keys
+        self.hot = None
+        self.storage = storage
         self.blocks = blocks.persist(storage)
         facts = self._facts()
         cores = spark.sparkContext.defaultParallelism
@@ -153,5 +157,26 @@ class PackedTable:
             F.sum("n").cast("long").alias("n_rows"), F.count("n").alias("n_blocks")
         )
 
+    def partition_for_joins(self) -> None:
+        """Partition the blocks once by (group, shard), for swarms too big to broadcast.
+
+        Later passes shuffle only the particles: the kept blocks already lie where the join needs them, in its order.
+        """
+        if self.hot is not None:
+            return
+        spark = self.blocks.sparkSession
+        hot = hot_groups(self.blocks, self.keys, self.n_blocks).persist(self.storage)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        where = [*self.keys, "shard"]
+        placed = (
+            shard_blocks(self.blocks, hot, self.keys).repartition(parts, *where).sortWithinPartitions(*where)
+            .persist(self.storage)
+        )
+        placed.count()
+        self.blocks.unpersist()
+        self.blocks, self.hot = placed, hot
+
     def close(self) -> None:
+        if self.hot is not None:
+            self.hot.unpersist()
         self.blocks.unpersist()

@@ -14,11 +14,10 @@ from pyspark.sql import types as T
 
 from murmuration.network import Network
 from murmuration.operators import kernels
+from murmuration.operators.meeting import BROADCAST_BYTES, meet
 from murmuration.operators.ranking import auc
 
 LOSSES = ("mse", "error", "bce", "f1", "auc")
-BROADCAST_BYTES = 256 << 20
-HOT_SHARDS = 4096
 _CHUNK_BYTES = 4 << 20
 _HELD_SUMS = 1 << 20
 
@@ -34,31 +33,6 @@ def chunk_particles(swarm: DataFrame, keys: list[str], n_weights: int) -> DataFr
     )
 
 
-def meet(blocks: DataFrame, chunks: DataFrame, on: list[str], swarm_bytes: int, n_blocks: int,
-         broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Join blocks with the particles of their group.
-
-    Particles are broadcast only while their total size, known from the settings, is within
-    ``broadcast_bytes``.  Beyond it both sides are shuffled; a group with more than its share of blocks
-    is split into shards and only its particles are copied, once per shard.
-    """
-    if swarm_bytes <= broadcast_bytes:
-        return blocks.join(F.broadcast(chunks), on)
-    share = max(1, n_blocks // HOT_SHARDS)
-    hot = (  # at most HOT_SHARDS groups can exceed the share, whatever the data
-        blocks.groupBy(*on).agg(F.count(F.lit(1)).alias("in_group")).where(F.col("in_group") > share)
-        .select(*on, F.ceil(F.col("in_group") / F.lit(share)).cast("int").alias("shards"))
-    )
-    shards = F.coalesce(F.col("shards"), F.lit(1))
-    left = blocks.join(F.broadcast(hot), on, "left").withColumn(
-        "shard", F.pmod(F.xxhash64("block"), shards).cast("int")
-    ).drop("shards")
-    right = chunks.join(F.broadcast(hot), on, "left").withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), shards - 1))
-    ).drop("shards")
-    return left.join(right, [*on, "shard"])
-
-
 def _arrays(batch, i):
     n, d = batch.column("n")[i].as_py(), batch.column("d")[i].as_py()
     x = np.frombuffer(batch.column("bx")[i].as_buffer(), dtype=np.float64).reshape(n, d)
@@ -120,17 +94,20 @@ def _scorer(keys, net):
             for i in range(batch.num_rows):
                 x, y, pids, weights = _arrays(batch, i)
                 scores = kernels.network_outputs(x, weights, *net)
+                found = []
                 for j, pid in enumerate(pids):
                     values, where = np.unique(scores[:, j], return_inverse=True)
                     positives = np.bincount(where, weights=(y == 1.0), minlength=len(values))
-                    negatives = np.bincount(where, weights=(y != 1.0), minlength=len(values))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(k)[i].as_py()] * len(values), type=batch.schema.field(k).type)
-                         for k in keys]
-                        + [pa.array(np.full(len(values), pid), type=pa.int64()), pa.array(values),
-                           pa.array(positives.astype(np.int64)), pa.array(negatives.astype(np.int64))],
-                        names=[*keys, "pid", "score", "positives", "negatives"],
-                    )
+                    found.append((np.full(len(values), pid), values, positives,
+                                  np.bincount(where, minlength=len(values)) - positives))
+                pid, values, positives, negatives = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(k)[i].as_py()] * len(values), type=batch.schema.field(k).type)
+                     for k in keys]
+                    + [pa.array(pid, type=pa.int64()), pa.array(values), pa.array(positives.astype(np.int64)),
+                       pa.array(negatives.astype(np.int64))],
+                    names=[*keys, "pid", "score", "positives", "negatives"],
+                )
 
     return run
 
@@ -151,14 +128,18 @@ def loss_value(loss: str) -> Column:
 
 
 def fitness(blocks: DataFrame, swarm: DataFrame, on: list[str], keys: list[str], network: Network,
-            n_inputs: int, loss: str, swarm_bytes: int, n_blocks: int, decision: str = "threshold",
+            n_inputs: int, loss: str, swarm_bytes: int, hot: DataFrame | None = None, decision: str = "threshold",
             broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``*keys, pid, fit`` for every particle.  ``on`` are the keys shared with the blocks, ``keys`` all keys."""
+    """``*keys, pid, fit`` for every particle.
+
+    ``on`` are the keys shared with the blocks, ``keys`` all keys; ``hot`` names the split groups of blocks
+    that are partitioned for swarms too big to broadcast.
+    """
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
     tiered = [*keys, *[c for c in on if c not in keys]]
     chunks = chunk_particles(swarm.select(*tiered, "pid", "pos"), tiered, network.n_weights(n_inputs))
-    met = meet(blocks, chunks, on, swarm_bytes, n_blocks, broadcast_bytes).select(
+    met = meet(blocks, chunks, on, swarm_bytes, hot, broadcast_bytes=broadcast_bytes).select(
         *keys, "n", "d", "bx", "by", "pids", "flat"
     )
     net = net_arguments(network, n_inputs)

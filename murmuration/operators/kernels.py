@@ -24,6 +24,9 @@ def network_outputs(x, weights, hidden, output, layers, h):
     """Outputs of several networks on the same rows: ``x`` is (n, d), ``weights`` (m, w); gives (n, m)."""
     n, d = x.shape
     m = weights.shape[0]
+    expected = h * (d + 1) if layers == 1 else h * (d + h + 1)
+    if weights.shape[1] != expected:
+        raise ValueError(f"{d} inputs and {h} hidden neurons need {expected} weights, found {weights.shape[1]}")
     scale = 2.0 if hidden == "tanh" else 1.0
     first = np.ascontiguousarray(weights[:, : h * d].reshape(m * h, d).T * scale)
     middle = weights[:, h * d : h * d + h * h].reshape(m, h, h) * scale if layers == 2 else None

@@ -13,7 +13,8 @@ from murmuration.functions.scalar import threshold
 from murmuration.network import Network
 from murmuration.operators import kernels
 from murmuration.operators.blocks import ROWS_PER_BLOCK, pack_blocks
-from murmuration.operators.fitness import BROADCAST_BYTES, net_arguments
+from murmuration.operators.fitness import net_arguments
+from murmuration.operators.meeting import BROADCAST_BYTES, meet
 
 
 def _predictor(keys, net):
@@ -44,15 +45,15 @@ def predict(df: DataFrame, weights: DataFrame, group: list[str], network: Networ
             broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``*group, row_id, real, predicted`` (and ``score`` for classes) for every row.
 
-    ``weights`` has one row per group: ``*group, pos``.  It is broadcast only when ``weight_bytes``, the
-    known size of all models, is within ``broadcast_bytes``; otherwise Spark chooses the join.  Rows of a
-    group without a model keep a null prediction.
+    ``weights`` has one row per group: ``*group, pos``.  ``weight_bytes`` is the size of all models
+    (counted if not given); it decides between a broadcast and a sharded join.  Rows of a group without a
+    model keep a null prediction.
     """
     blocks = pack_blocks(df, group, x, y, row_id, rows)
     models = weights.select(*group, "pos")
-    if weight_bytes is not None and weight_bytes <= broadcast_bytes:
-        models = F.broadcast(models)
-    met = blocks.join(models, group, "left")
+    if weight_bytes is None:
+        weight_bytes = 8 * (models.agg(F.sum(F.size("pos"))).first()[0] or 0)
+    met = meet(blocks, models, group, weight_bytes, how="left", broadcast_bytes=broadcast_bytes)
     scored = met.select(*group, "n", "d", "bx", "by", "bid", "pos").mapInArrow(
         _predictor(tuple(group), net_arguments(network, n_inputs)),
         T.StructType([

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmuration.network import CLASSIFIER, Network
 from murmuration.operators import metrics
 from murmuration.operators.clean import first_rows
-from murmuration.operators.fitness import BROADCAST_BYTES
+from murmuration.operators.meeting import BROADCAST_BYTES
 from murmuration.operators.score import predict
 
 METRICS = ("mse", "macro_mse", "error", "accuracy", "bce", "f1", "auc")

@@ -12,7 +12,7 @@ from murmuration.functions.draws import Draw, hashed
 from murmuration.network import REGRESSOR, Network
 from murmuration.operators.blocks import PackedTable, pack_blocks
 from murmuration.operators.clean import rank_threshold
-from murmuration.operators.fitness import BROADCAST_BYTES
+from murmuration.operators.meeting import BROADCAST_BYTES
 from murmuration.plans.train import SwarmSettings, Trained, train_runs
 
 

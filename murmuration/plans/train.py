@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from murmuration.functions.draws import Draw, hashed
 from murmuration.network import CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
 from murmuration.operators.blocks import PackedTable, pack_blocks
-from murmuration.operators.fitness import BROADCAST_BYTES, LOSSES, fitness
+from murmuration.operators.fitness import LOSSES, fitness
+from murmuration.operators.meeting import BROADCAST_BYTES
 from murmuration.operators.swarm import (
     LEADER,
     best_so_far,
@@ -144,6 +145,8 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
     state = scratch.store(with_leaders(swarm).drop("parts"), "generation-0")
     swarm_bytes = 8 * width * table.n_groups * sum(r["parts"] * (r["tier"] + 1) for r in runs)
     top_tier = max(r["tier"] for r in runs)
+    if swarm_bytes > broadcast_bytes:
+        table.partition_for_joins()
     advance = Generation(keys, settings, draw, group)
     for step in range(1, max(r["iters"] for r in runs) + 1):
         active = state.where(F.col("iters") >= step) if len(runs) > 1 else state
@@ -151,7 +154,7 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
         if top_tier:
             particles = particles.withColumn("tier", F.explode(F.sequence(F.lit(0), F.col("tier"))))
         fits = fitness(table.blocks, particles, [*group, "tier"], keys, network, table.n_inputs, loss,
-                       swarm_bytes, table.n_blocks, decision, broadcast_bytes)
+                       swarm_bytes, table.hot, decision, broadcast_bytes)
         if swarm_bytes <= broadcast_bytes:
             fits = F.broadcast(fits)  # one number per particle: smaller than the swarm checked above
         after = advance(active, fits, first=step == 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from murmuration.functions import calendar, scalar, vectors as vec
 from murmuration.functions.draws import drawn_vector, lattice
 from murmuration.functions.forward import forward
-from murmuration.network import CLASSIFIER, DEEP_CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
+from murmuration.network import CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
 from murmuration.operators import clean, encode, metrics
 from murmuration.operators.blocks import pack_blocks
 from murmuration.operators.fitness import fitness
@@ -281,7 +281,7 @@ def _loss(loss, decision="threshold"):
         swarm = init_swarm(data.select("grp", "tier").distinct(), ["grp"], 5, width, 0.5, draw=lattice)
         blocks = pack_blocks(data, ["grp", "tier"])
         fits = fitness(blocks, swarm, ["grp", "tier"], ["grp"], CLASSIFIER, VECTOR_INPUTS, loss,
-                       5 * 8 * width, 0, decision)
+                       5 * 8 * width, decision=decision)
         return fits.select("grp", "pid", r6(F.col("fit")).alias("loss"))
 
     return query
@@ -309,7 +309,7 @@ def _small_swarm(data, settings=FREE, tag=0):
 
 def _small_fitness(data, swarm, network=SMALL):
     blocks = pack_blocks(data, ["grp"])
-    return fitness(blocks, swarm, ["grp"], ["grp"], network, DEMAND_INPUTS, "mse", 24 * PARTICLES * 8 * SMALL_WEIGHTS, 0)
+    return fitness(blocks, swarm, ["grp"], ["grp"], network, DEMAND_INPUTS, "mse", 24 * PARTICLES * 8 * SMALL_WEIGHTS)
 
 
 def _evaluated(spark, sf_dir):
