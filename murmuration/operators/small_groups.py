@@ -1,0 +1,86 @@
+"""Training of groups whose row count is known to be small: one task sees a group from start to end.
+
+With very many groups the swarms outweigh the rows, and storing every swarm every generation would cost
+more than the fitness.  Here a group is shuffled once and its swarm never leaves the task.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from murmuration.functions.draws import Draw
+from murmuration.operators import kernels
+from murmuration.operators.swarm import pulls
+
+
+def _trainer(keys, net, loss, decision, settings):
+    def train(blocks, swarm):
+        if not blocks.num_rows or not swarm.num_rows:
+            return None
+        tiers = blocks.column("tier").to_numpy()
+        d = blocks.column("d")[0].as_py()
+        xs = [np.frombuffer(b.as_buffer()).reshape(-1, d) for b in blocks.column("bx")]
+        ys = [np.frombuffer(b.as_buffer()) for b in blocks.column("by")]
+        runs = {}
+        for row in swarm.select(["run_id", "tier", "pid"]).to_pandas().sort_values(["run_id", "pid"]).itertuples():
+            runs.setdefault((row.run_id, row.tier), []).append(row.Index)
+        made = []
+        for (run_id, tier), index in runs.items():
+            seen = [i for i in range(len(xs)) if tiers[i] <= tier]
+            x, y = np.concatenate([xs[i] for i in seen]), np.concatenate([ys[i] for i in seen])
+            pos, vel, pull = (
+                np.stack([swarm.column(c)[i].values.to_numpy() for i in index]) for c in ("pos", "vel", "pulls")
+            )
+            steps = pull.reshape(len(index), -1, 2).transpose(1, 0, 2)
+            best, fit, history = kernels.swarm_steps(
+                lambda p: kernels.losses(y, kernels.network_outputs(x, p, *net), loss, decision), pos, vel, steps,
+                settings.inertia, settings.v_max, settings.pos_max, settings.social, settings.update == "async",
+            )
+            made.append((run_id, best, fit, history))
+        return made
+
+    def run(blocks, swarm):
+        made = train(blocks, swarm) or []
+        source = swarm if swarm.num_rows else blocks
+        return pa.table({
+            "run_id": pa.array([m[0] for m in made], pa.string()),
+            **{k: pa.array([source.column(k)[0].as_py()] * len(made), source.schema.field(k).type) for k in keys},
+            "pbest": pa.array([m[1] for m in made], pa.list_(pa.float64())),
+            "pbest_fit": pa.array([m[2] for m in made], pa.float64()),
+            "history": pa.array([m[3] for m in made], pa.list_(pa.float64())),
+        })
+
+    return run
+
+
+def train_small_groups(blocks: DataFrame, swarm: DataFrame, group: list[str], net: tuple, loss: str, decision: str,
+                       settings, draw: Draw, n_groups: int) -> DataFrame:
+    """``run_id, *group, pbest, pbest_fit, history`` for every group of ``swarm``.
+
+    ``swarm`` is ``run_id, *group, iters, tier, pid, pos, vel``.  The random pulls of all steps are drawn
+    here, so the result is that of the generation-by-generation training.
+    """
+    keys = [F.col(k) for k in group]
+    steps = F.transform(
+        F.sequence(F.lit(1), F.col("iters")),
+        lambda t: pulls(settings.c1, settings.c2, settings.seed, keys, t, draw),
+    )
+    ready = swarm.select("run_id", *group, "tier", "pid", "pos", "vel", F.flatten(steps).alias("pulls"))
+    spark = blocks.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, min(3 * n_groups, 16 * spark.sparkContext.defaultParallelism))
+    fields = [blocks.schema[k] for k in group]
+    schema = T.StructType([
+        T.StructField("run_id", T.StringType()), *fields, T.StructField("pbest", T.ArrayType(T.DoubleType())),
+        T.StructField("pbest_fit", T.DoubleType()), T.StructField("history", T.ArrayType(T.DoubleType())),
+    ])
+    left = blocks.select(*group, "tier", "d", "bx", "by").repartition(parts, *group)
+    right = ready.repartition(parts, *group)
+    return (
+        left.groupBy(*group).cogroup(right.groupBy(*group))
+        .applyInArrow(_trainer(tuple(group), net, loss, decision, settings), schema)
+    )

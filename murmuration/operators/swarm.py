@@ -22,6 +22,7 @@ def init_swarm(groups: DataFrame, keys: list[str], n_particles: int | Column, n_
     count = n_particles if isinstance(n_particles, Column) else F.lit(n_particles)
     group = [F.col(k) for k in (draw_keys or keys)]
     placed = groups.withColumn("pid", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)))
+    placed = placed.repartition(*keys, "pid")  # narrow rows, before they grow their vectors
     return placed.select(
         *groups.columns,
         "pid",

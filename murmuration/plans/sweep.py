@@ -19,7 +19,7 @@ from murmuration.plans.train import SwarmSettings, Trained, train_runs
 def sweep(df: DataFrame, group: list[str], rows: list[int | None], iterations: list[int], particles: list[int],
           network: Network = REGRESSOR, loss: str = "mse", settings: SwarmSettings = SwarmSettings(),
           order: str = "row_id", draw: Draw = hashed, broadcast_bytes: int = BROADCAST_BYTES,
-          **changes) -> Trained:
+          small_group_rows: int = 0, **changes) -> Trained:
     """Train every combination of row limit, iterations and particles side by side.
 
     Row limits are nested prefixes in ``order`` (None is the whole table): each row is tagged once with
@@ -49,7 +49,8 @@ def sweep(df: DataFrame, group: list[str], rows: list[int | None], iterations: l
             }
             for n, i, p in product(rows, iterations, particles)
         ]
-        return train_runs(table, runs, group, network, loss, settings, draw=draw, broadcast_bytes=broadcast_bytes)
+        return train_runs(table, runs, group, network, loss, settings, draw=draw, broadcast_bytes=broadcast_bytes,
+                          small_group_rows=small_group_rows)
     finally:
         table.close()
 

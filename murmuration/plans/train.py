@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from murmuration.functions.draws import Draw, hashed
 from murmuration.network import CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
 from murmuration.operators.blocks import PackedTable, pack_blocks
-from murmuration.operators.fitness import LOSSES, fitness
+from murmuration.operators.fitness import LOSSES, fitness, net_arguments
 from murmuration.operators.meeting import BROADCAST_BYTES
+from murmuration.operators.small_groups import train_small_groups
 from murmuration.operators.swarm import (
     LEADER,
     best_so_far,
@@ -88,7 +89,7 @@ class Generation:
         self.asynchronous = settings.update == "async"
         self.personal = [c.alias(name) for name, c in personal_best().items()]
         self.pulls = pulls(settings.c1, settings.c2, settings.seed, group, F.col("step") + 1, draw).alias("pulls")
-        self.lead = [best.alias("lead"), best_fit.alias("lead_fit")]
+        self.lead = [F.when(leads, best).alias("lead"), best_fit.alias("lead_fit")]
         self.met_all = best.alias("gbest")
         self.met_running = best_so_far(keys, running=True)[0].alias("gbest")
         self.velocity = new_velocity(settings.inertia, settings.v_max, settings.social).alias("moved")
@@ -105,7 +106,8 @@ class Generation:
         kept = [c for c in state.columns if c not in ("pbest", "pbest_fit")]
         met = self.met_running if self.asynchronous and not first else self.met_all
         scored = state.join(fits, self.on, "left").select(*kept, *self.personal, self.pulls)
-        led = scored.select("*", *self.lead, met)
+        # The comparison needs a group together; the arithmetic does not, and one group may be all there is.
+        led = scored.select("*", *self.lead, met).repartition(*self.on)
         moved = led.select(*[c for c in kept if c != "vel"], "lead", "lead_fit", "pbest", "pbest_fit", self.velocity)
         return moved.select(*[self.final[c].alias(c) if c in self.final else c for c in state.columns])
 
@@ -120,10 +122,11 @@ def with_leaders(swarm: DataFrame) -> DataFrame:
 
 def train_runs(table: PackedTable, runs: list[dict], group: list[str], network: Network, loss: str,
                settings: SwarmSettings, decision: str = "threshold", draw: Draw = hashed,
-               broadcast_bytes: int = BROADCAST_BYTES) -> Trained:
+               broadcast_bytes: int = BROADCAST_BYTES, small_group_rows: int = 0) -> Trained:
     """Train every run of ``runs`` (``run_id, iters, parts, tier, rows``) on every group, side by side.
 
-    The blocks carry ``tier``; a run sees the blocks of its own and all lower tiers.
+    The blocks carry ``tier``; a run sees the blocks of its own and all lower tiers.  Groups of at most
+    ``small_group_rows`` rows are trained in one task each; all others advance by generations.
     """
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
@@ -132,37 +135,44 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
     began = time.perf_counter()
     keys = ["run_id", *group]
     width = network.n_weights(table.n_inputs)
-    # One row per block group and run; both lists come from the settings and the group keys.
-    present = table.blocks.select(*group, "tier").distinct().groupBy(*group).agg(F.min("tier").alias("from_tier"))
+    # One row per group and run; both lists come from the settings and the group keys.
+    present = table.blocks.groupBy(*group).agg(F.min("tier").alias("from_tier"), F.sum("n").alias("n_rows"))
+    present = scratch.store(present, "groups")
     listed = F.array(*[
         F.struct(*[F.lit(r[c]).alias(c) for c in ("run_id", "iters", "parts", "tier")]) for r in runs
     ])
     seats = (
         present.withColumn("run", F.explode(listed)).where(F.col("run.tier") >= F.col("from_tier"))
-        .select(*group, "run.run_id", "run.iters", "run.parts", "run.tier")
+        .select(*group, "n_rows", "run.run_id", "run.iters", "run.parts", "run.tier")
     )
     swarm = init_swarm(seats, keys, F.col("parts"), width, settings.init_range, settings.seed, draw, group)
-    state = scratch.store(with_leaders(swarm).drop("parts"), "generation-0")
-    swarm_bytes = 8 * width * table.n_groups * sum(r["parts"] * (r["tier"] + 1) for r in runs)
-    top_tier = max(r["tier"] for r in runs)
-    if swarm_bytes > broadcast_bytes:
-        table.partition_for_joins()
-    advance = Generation(keys, settings, draw, group)
-    for step in range(1, max(r["iters"] for r in runs) + 1):
-        active = state.where(F.col("iters") >= step) if len(runs) > 1 else state
-        particles = active.where(F.col("pid") != LEADER)
-        if top_tier:
-            particles = particles.withColumn("tier", F.explode(F.sequence(F.lit(0), F.col("tier"))))
-        fits = fitness(table.blocks, particles, [*group, "tier"], keys, network, table.n_inputs, loss,
-                       swarm_bytes, table.hot, decision, broadcast_bytes)
-        if swarm_bytes <= broadcast_bytes:
-            fits = F.broadcast(fits)  # one number per particle: smaller than the swarm checked above
-        after = advance(active, fits, first=step == 1)
-        if len(runs) > 1:
-            after = after.unionByName(state.where(F.col("iters") < step))
-        state = scratch.store(after, f"generation-{step % 2 + 1}")
-    leaders = state.where(F.col("pid") == LEADER)
-    final = scratch.store(leaders.select(*keys, "pbest", "pbest_fit", "history"), "leaders")
+    small = F.col("n_rows") <= small_group_rows
+    n_large = present.where(~small).count() if small_group_rows else table.n_groups
+    n_small = table.n_groups - n_large
+    found = []
+    blocks = table.blocks
+    if n_small > 0 and small_group_rows:
+        few = blocks
+        if n_large:
+            large = present.where(~small).select(*group)
+            if 64 * n_large <= broadcast_bytes:
+                large = F.broadcast(large)  # counted above
+            few, blocks = few.join(large, group, "left_anti"), blocks.join(large, group, "left_semi")
+        net = net_arguments(network, table.n_inputs)
+        found.append(scratch.store(
+            train_small_groups(few, swarm.where(small), group, net, loss, decision, settings, draw, n_small),
+            "small-groups",
+        ))
+    if n_large:
+        swarm_bytes = 8 * width * n_large * sum(r["parts"] * (r["tier"] + 1) for r in runs)
+        if swarm_bytes > broadcast_bytes and blocks is table.blocks:
+            table.partition_for_joins()
+            blocks = table.blocks
+        state = _advance(scratch, swarm.where(~small), blocks, table, runs, group, keys, network, loss, settings,
+                         decision, draw, swarm_bytes, broadcast_bytes)
+        leaders = state.where(F.col("pid") == LEADER).select(*keys, "pbest", "pbest_fit", "history")
+        found.append(scratch.store(leaders, "leaders"))
+    final = found[0] if len(found) == 1 else found[0].unionByName(found[1])
     seconds = time.perf_counter() - began
     record = spark.createDataFrame(
         [(r["run_id"], r["iters"], r["parts"], r["rows"], "train_seconds", seconds) for r in runs],
@@ -178,13 +188,36 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
     )
 
 
+def _advance(scratch, swarm, blocks, table, runs, group, keys, network, loss, settings, decision, draw, swarm_bytes,
+             broadcast_bytes) -> DataFrame:
+    """The state after the last generation.  Each generation is one job that ends in a stored table."""
+    state = scratch.store(with_leaders(swarm).drop("parts", "n_rows"), "generation-0")
+    top_tier = max(r["tier"] for r in runs)
+    advance = Generation(keys, settings, draw, group)
+    for step in range(1, max(r["iters"] for r in runs) + 1):
+        active = state.where(F.col("iters") >= step) if len(runs) > 1 else state
+        particles = active.where(F.col("pid") != LEADER)
+        if top_tier:
+            particles = particles.withColumn("tier", F.explode(F.sequence(F.lit(0), F.col("tier"))))
+        fits = fitness(blocks, particles, [*group, "tier"], keys, network, table.n_inputs, loss, swarm_bytes,
+                       table.hot, decision, broadcast_bytes)
+        if swarm_bytes <= broadcast_bytes:
+            fits = F.broadcast(fits)  # one number per particle: smaller than the swarm checked above
+        after = advance(active, fits, first=step == 1)
+        if len(runs) > 1:
+            after = after.unionByName(state.where(F.col("iters") < step))
+        state = scratch.store(after, f"generation-{step % 2 + 1}")
+    return state
+
+
 def fit(df: DataFrame, group: list[str], network: Network = REGRESSOR, loss: str = "mse",
         settings: SwarmSettings = SwarmSettings(), x: str = "x", y: str = "y", run_id: str = "run",
         decision: str = "threshold", draw: Draw = hashed, broadcast_bytes: int = BROADCAST_BYTES,
-        **changes) -> Trained:
+        small_group_rows: int = 0, **changes) -> Trained:
     """Train one network per value of ``group`` on all rows of ``df``.
 
-    Keyword ``changes`` override single settings, for example ``iterations=20``.
+    With ``small_group_rows`` groups of at most that many rows train in one task each, which pays when
+    there are many; bigger groups, and all groups by default, stay spread over the cluster.  Keyword ``changes`` override single settings, for example ``iterations=20``.
     """
     settings = replace(settings, **changes)
     table = PackedTable(
@@ -193,6 +226,7 @@ def fit(df: DataFrame, group: list[str], network: Network = REGRESSOR, loss: str
     try:
         run = {"run_id": run_id, "iters": settings.iterations, "parts": settings.particles, "tier": 0,
                "rows": table.n_rows}
-        return train_runs(table, [run], group, network, loss, settings, decision, draw, broadcast_bytes)
+        return train_runs(table, [run], group, network, loss, settings, decision, draw, broadcast_bytes,
+                          small_group_rows)
     finally:
         table.close()

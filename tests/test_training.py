@@ -217,9 +217,10 @@ def loop_training(x, y, group, settings, per_particle):
 
 
 @pytest.mark.parametrize("update", ["sync", "async"])
-def test_training_equals_nested_loops(rows, update):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_training_equals_nested_loops(rows, update, small):
     settings = SwarmSettings(particles=9, iterations=6, v_max=0.5, pos_max=2.0, init_range=1.5, update=update)
-    trained = fit(rows, ["grp"], NET, "mse", settings, draw=lattice)
+    trained = fit(rows, ["grp"], NET, "mse", settings, draw=lattice, small_group_rows=small)
     weights = {r.grp: r for r in trained.weights.collect()}
     curves = trained.curve.collect()
     for group in range(4):
@@ -238,6 +239,26 @@ def test_training_does_not_depend_on_partitions(rows):
     assert found[0] == found[1] == found[2] == found[3]
 
 
+@pytest.mark.parametrize("update", ["sync", "async"])
+@pytest.mark.parametrize("loss", ["mse", "error", "bce", "f1", "auc"])
+def test_small_groups_train_alike(rows, update, loss):
+    """Groups of 100 rows train in one task, the group of 600 by generations; as if all went by generations."""
+    net = Network(hidden="relu", output="sigmoid", n_hidden=3)
+    labelled = rows.withColumn("y", (F.col("y") > 0).cast("double"))
+    settings = SwarmSettings(particles=5, iterations=3, v_max=0.5, pos_max=2.0, init_range=1.5, update=update)
+    whole, split = (
+        fit(labelled, ["grp"], net, loss, settings, small_group_rows=n, draw=lattice) for n in (0, 100)
+    )
+    a, b = ({r.grp: r for r in t.weights.collect()} for t in (whole, split))
+    assert a.keys() == b.keys() == {0, 1, 2, 3}
+    for g in a:
+        assert a[g].fit == pytest.approx(b[g].fit, rel=1e-9) and a[g].pos == pytest.approx(b[g].pos, rel=1e-9)
+    one, two = ({(r.grp, r.iter): r.best_fitness for r in t.curve.collect()} for t in (whole, split))
+    assert one.keys() == two.keys()
+    for key in one:
+        assert one[key] == pytest.approx(two[key], rel=1e-9)
+
+
 def test_curves_never_rise_and_training_helps(rows):
     settings = SwarmSettings(particles=20, iterations=15, v_max=0.5, pos_max=3.0, init_range=1.0, update="async")
     trained = fit(rows, ["grp"], NET, "mse", settings)
@@ -292,6 +313,11 @@ def test_sweep_equals_single_trainings(rows):
             for r in alone.weights.collect():
                 mine = weights[(f"rows={n or 'all'},iters={iterations},parts={particles}", r.grp)]
                 assert mine.fit == pytest.approx(r.fit, rel=1e-9) and mine.pos == pytest.approx(r.pos, rel=1e-9)
+    in_tasks = sweep(rows, ["grp"], [300, 700, None], [2, 4], [3, 5], NET, "mse", settings, small_group_rows=10**6)
+    for r in in_tasks.weights.collect():
+        mine = weights.pop((r.run_id, r.grp))
+        assert mine.fit == pytest.approx(r.fit, rel=1e-9) and mine.pos == pytest.approx(r.pos, rel=1e-9)
+    assert not weights
     lengths = swept.curve.groupBy("run_id", "grp").count().collect()
     assert all(r["count"] == int(r.run_id.split("iters=")[1][0]) for r in lengths)
 

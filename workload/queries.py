@@ -54,6 +54,7 @@ PERSONAL = SwarmSettings(particles=PARTICLES, iterations=ITERATIONS, v_max=0.48,
 CLASS_SWARM = SwarmSettings(particles=PARTICLES, iterations=ITERATIONS, c1=3.5, c2=1.8, v_max=0.1, pos_max=1.0,
                             init_range=1.0)
 SMALL_CLASSIFIER = Network(hidden="relu", output="sigmoid", n_hidden=4)
+SMALL_GROUP_ROWS = 100_000  # bigger hours would stay spread over the cluster
 SWEEP_ROWS = [5000, None]
 SWEEP_ITERATIONS = [2, 3]
 SWEEP_PARTICLES = [4, 6]
@@ -383,13 +384,14 @@ def _generations(settings, network):
     return query
 
 
-def _trained_demand(spark, sf_dir, settings, network):
-    return fit(demand(spark, sf_dir), ["grp"], network, "mse", settings, draw=lattice)
+def _trained_demand(spark, sf_dir, settings, network, small_group_rows=0):
+    return fit(demand(spark, sf_dir), ["grp"], network, "mse", settings, draw=lattice,
+               small_group_rows=small_group_rows)
 
 
-def _train(settings, network):
+def _train(settings, network, small_group_rows=0):
     def query(spark, sf_dir):
-        weights = _trained_demand(spark, sf_dir, settings, network).weights
+        weights = _trained_demand(spark, sf_dir, settings, network, small_group_rows).weights
         return spelled(weights.withColumn("fit", r6(F.col("fit"))), ["grp", "fit"], {"pos": "pos"})
 
     return query
@@ -480,7 +482,7 @@ def registered() -> dict[str, Query]:
         "generation_async": _generations(BOUNDED, SMALL_LINEAR),
         "train_sync": _train(FREE, SMALL),
         "train_async": _train(BOUNDED, SMALL),
-        "train_per_hour": _train(BOUNDED, SMALL_LINEAR),
+        "train_per_hour": _train(BOUNDED, SMALL_LINEAR, SMALL_GROUP_ROWS),
         "train_personal": _train(PERSONAL, SMALL_LINEAR),
         "train_class_bce": _train_class("bce"),
         "train_class_auc": _train_class("auc"),
