@@ -16,13 +16,23 @@ from murmuration.functions.scalar import clamp
 LEADER = -1
 
 
-def init_swarm(groups: DataFrame, keys: list[str], n_particles: int | Column, n_weights: int, init_range: float,
-               seed: int = 0, draw: Draw = hashed, draw_keys: list[str] | None = None) -> DataFrame:
-    """Uniform positions and velocities in [-init_range, init_range); personal best is the start."""
+def place_particles(groups: DataFrame, n_particles: int | Column) -> DataFrame:
+    """One row per group and particle, numbered from zero in ``pid``."""
     count = n_particles if isinstance(n_particles, Column) else F.lit(n_particles)
+    return groups.withColumn("pid", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)))
+
+
+def init_swarm(groups: DataFrame, keys: list[str], n_particles: int | Column, n_weights: int, init_range: float,
+               seed: int = 0, draw: Draw = hashed, draw_keys: list[str] | None = None,
+               spread: bool = False) -> DataFrame:
+    """Uniform positions and velocities in [-init_range, init_range); personal best is the start.
+
+    ``spread`` distributes the particles, still narrow rows, before their vectors are drawn.
+    """
     group = [F.col(k) for k in (draw_keys or keys)]
-    placed = groups.withColumn("pid", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)))
-    placed = placed.repartition(*keys, "pid")  # narrow rows, before they grow their vectors
+    placed = place_particles(groups, n_particles)
+    if spread:
+        placed = placed.repartition(*keys, "pid")
     return placed.select(
         *groups.columns,
         "pid",

@@ -145,7 +145,8 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
         present.withColumn("run", F.explode(listed)).where(F.col("run.tier") >= F.col("from_tier"))
         .select(*group, "n_rows", "run.run_id", "run.iters", "run.parts", "run.tier")
     )
-    swarm = init_swarm(seats, keys, F.col("parts"), width, settings.init_range, settings.seed, draw, group)
+    swarm = init_swarm(seats, keys, F.col("parts"), width, settings.init_range, settings.seed, draw, group,
+                       spread=True)
     small = F.col("n_rows") <= small_group_rows
     n_large = present.where(~small).count() if small_group_rows else table.n_groups
     n_small = table.n_groups - n_large

@@ -13,6 +13,7 @@ from murmuration.operators.blocks import PackedTable, cluster_rows, pack_blocks
 from murmuration.operators.fitness import fitness
 from murmuration.operators.score import predict
 from murmuration.operators.swarm import attach_best, global_best, init_swarm, move, update_personal
+from murmuration.sources.scratch import Scratch
 from murmuration.plans.sweep import compare_curves, stack_curves
 
 NET = Network(hidden="tanh", output="linear", n_hidden=3)
@@ -73,7 +74,10 @@ def test_empty_table_and_uneven_partitions(spark):
 
 
 def swarm_of(rows, n=7):
-    return init_swarm(rows.select("grp").distinct(), ["grp"], n, NET.n_weights(3), 1.0)
+    """A stored swarm, as training keeps it.  (Spark 4.1 may infer a broken filter when a cached table is
+    joined with columns computed by lambdas from its own keys.)"""
+    swarm = init_swarm(rows.select("grp").distinct(), ["grp"], n, NET.n_weights(3), 1.0)
+    return Scratch(rows.sparkSession).store(swarm, "swarm")
 
 
 def test_both_fitness_forms_agree(rows):
@@ -239,8 +243,7 @@ def test_training_does_not_depend_on_partitions(rows):
     assert found[0] == found[1] == found[2] == found[3]
 
 
-@pytest.mark.parametrize("update", ["sync", "async"])
-@pytest.mark.parametrize("loss", ["mse", "error", "bce", "f1", "auc"])
+@pytest.mark.parametrize("update,loss", [("sync", "auc"), ("async", "mse"), ("async", "f1"), ("sync", "error")])
 def test_small_groups_train_alike(rows, update, loss):
     """Groups of 100 rows train in one task, the group of 600 by generations; as if all went by generations."""
     net = Network(hidden="relu", output="sigmoid", n_hidden=3)
