@@ -1,7 +1,7 @@
 """Times the registered queries and full-size trainings; prints one JSON line.
 
-Environment: ``BENCH_SF_DIR`` (tables), ``BENCH_CPUS`` (cores), ``BENCH_ITERATIONS`` (generations of the
-full-size trainings, 100 in the published set-ups).
+Environment: ``BENCH_SF_DIR`` (tables) and ``BENCH_CPUS`` (cores).  Names of trainings end in particles x
+generations.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-ITERATIONS = int(os.environ.get("BENCH_ITERATIONS", "100"))
 HEADLINE = [
     "clean_limit", "calendar_parts", "assemble_mixed", "forward_tanh", "hourly_predict", "class_predict",
     "hourly_mse", "macro_mse", "f1", "bce", "auc_hourly", "loss_bce", "loss_auc", "swarm_fitness",
@@ -51,14 +50,16 @@ def main() -> None:
         name: timed(lambda: queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save())
         for name in HEADLINE
     }
-    full = {
-        "demand_sync": (demand, *DEMAND_SYNC, "mse"),
-        "demand_async": (demand, *DEMAND_ASYNC, "mse"),
-        "smoker_sync": (vectors, *SMOKER_SYNC, "bce"),
+    full = {  # name: data, network, settings, loss, generations, rows up to which a group trains in one task
+        "demand_sync_in_tasks": (demand, *DEMAND_SYNC, "mse", 100, 100_000),
+        "demand_async_in_tasks": (demand, *DEMAND_ASYNC, "mse", 100, 100_000),
+        "demand_sync_by_generation": (demand, *DEMAND_SYNC, "mse", 20, 0),
+        "smoker_sync_by_generation": (vectors, *SMOKER_SYNC, "bce", 20, 0),
     }
-    for name, (data_of, network, settings, loss) in full.items():
-        seconds[f"{name}_100x{ITERATIONS}"] = timed(
-            lambda: fit(data_of(spark, SF_DIR), ["grp"], network, loss, settings, iterations=ITERATIONS)
+    for name, (data_of, network, settings, loss, generations, small) in full.items():
+        seconds[f"{name}_100x{generations}"] = timed(
+            lambda: fit(data_of(spark, SF_DIR), ["grp"], network, loss, settings, iterations=generations,
+                        small_group_rows=small)
         )
     print(json.dumps({
         "metric": "total seconds of headline queries and full trainings",
