@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.functions.vectors import one_hot_against
@@ -37,9 +37,36 @@ def one_hot_first_seen(df: DataFrame, column: str, order: str, max_size: int = M
     return one_hot_against(F.col(column), vocabulary(df, column, order, max_size).scalar())
 
 
+def vocabularies(df: DataFrame, columns: list[str], order: str, max_size: int = MAX_VOCABULARY) -> DataFrame:
+    """One row with one array per column, as ``vocabulary`` gives them, from a single pass over ``df``."""
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)
+    ])
+    seen = (
+        df.select(F.col(order).alias("at"), F.explode(cells).alias("cell"))
+        .groupBy("cell.i", "cell.value").agg(F.min("at").alias("first_at"))
+    )
+    place = F.row_number().over(Window.partitionBy("i").orderBy("first_at"))
+    few = seen.withColumn("place", place).where(F.col("place") <= max_size + 1)
+    listed = few.groupBy().agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("place", "value")))).alias(f"w{i}")
+        for i in range(len(columns))
+    ])
+    too_wide = F.raise_error(F.lit(f"one of {columns} has more than {max_size} distinct values"))
+    return listed.select(*[
+        F.when(F.size(f"w{i}") <= max_size, F.transform(f"w{i}", lambda s: s["value"])).otherwise(too_wide).alias(c)
+        for i, c in enumerate(columns)
+    ])
+
+
 def assemble_features(df: DataFrame, categorical: list[str], numeric: list[str], order: str,
-                      output: str = "x") -> DataFrame:
-    """Add one array column: the one-hot blocks of ``categorical``, then ``numeric`` as doubles."""
-    blocks = [one_hot_first_seen(df, c, order) for c in categorical]
+                      output: str = "x", max_size: int = MAX_VOCABULARY) -> DataFrame:
+    """Add one array column: the one-hot blocks of ``categorical``, then ``numeric`` as doubles.
+
+    Categories are compared as text.
+    """
+    words = vocabularies(df, categorical, order, max_size).select(F.struct(*categorical)).scalar()
+    known = F.col("_words")  # a column of its own, so that the subquery enters the plan once
+    blocks = [one_hot_against(F.col(c).cast("string"), known[c]) for c in categorical]
     numbers = F.array(*[F.col(c).cast("double") for c in numeric])
-    return df.withColumn(output, F.concat(*blocks, numbers))
+    return df.withColumn("_words", words).withColumn(output, F.concat(*blocks, numbers)).drop("_words")
