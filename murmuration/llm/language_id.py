@@ -15,12 +15,13 @@ from murmuration.llm.rows import Batches, append_columns, appended, strings
 
 UNKNOWN = "und"
 OUTPUT = ["lang_pred", "score", "rejected"]
-SAMPLE_DOCS = 200  # bounds of what is learned from, for each language
-SAMPLE_CHARS = 4000
-DICTIONARY_BYTES = 64 << 10
+SAMPLE_DOCS = 400  # bounds of what is learned from, for each language
+SAMPLE_CHARS = 1000
+DICTIONARY_BYTES = 128 << 10
 MAX_LANGUAGES = 500
-PIECE = 32 << 10
-LEVEL = 3
+PIECE = 16 << 10
+LEVEL = 5  # with matches of four bytes on: lower levels miss short stems
+MIN_MATCH = 4
 MIN_MARGIN = 0.004
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -68,9 +69,13 @@ class Compressors:
         self.compress = []
         for content in dictionaries.values():
             shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            shared.precompute_compress(level=LEVEL)
-            options = dict(dict_data=shared, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self.compress.append(zstandard.ZstdCompressor(level=LEVEL, **options).compress)
+            settings = zstandard.ZstdCompressionParameters.from_level(
+                LEVEL, source_size=PIECE, dict_size=len(content), min_match=MIN_MATCH,
+                write_content_size=0, write_checksum=0, write_dict_id=0,
+            )
+            shared.precompute_compress(compression_params=settings)
+            compressor = zstandard.ZstdCompressor(dict_data=shared, compression_params=settings)
+            self.compress.append(compressor.compress)
 
     def best(self, text: str | None) -> tuple[str, float]:
         """The language whose dictionary leaves the fewest bytes, and by which share the next one is longer."""
