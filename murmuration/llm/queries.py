@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import bpe, chat, decontaminate, exact_dedup, language_id, simhash
+from murmuration.llm import bpe, chat, decontaminate, exact_dedup, html_text, kneser_ney, language_id, simhash, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~language_id.training_rows(found)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -45,6 +53,19 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = toxicity.sampled(table(spark, sf_dir, "labels"))
+    labels = labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), "toxic")
+    chain = toxicity.fit_chain(docs.join(F.broadcast(labels), "doc_id"), ["low_quality", "toxic"])
+    found = toxicity.score_toxicity(docs, chain)
+    return found.select("doc_id", F.col("is_toxic").alias("toxic"), F.col("p_toxic").alias("score"), "p_low_quality")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
@@ -60,6 +81,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.quality(docs, trusted)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     control = spark.range(2).select(
@@ -83,9 +110,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registered() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_decontamination": op4_decontamination,
+        "op5_html_extraction": op5_html_extraction,
+        "op6_toxicity": op6_toxicity,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_bpe": op8_bpe,
+        "op9_quality": op9_quality,
         "op10_chat_formatting": op10_chat_formatting,
     }

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from murmuration.sources.scratch import Scratch
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -37,3 +39,9 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     array = batch.column(column)
     kind = pa.large_binary() if pa.types.is_large_string(array.type) else pa.binary()
     return array.cast(kind).to_pylist()
+
+
+def stored(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, which cuts its lineage and survives lost executors."""
+    df.write.option("compression", "zstd").parquet(scratch.path(name))
+    return df.sparkSession.read.schema(df.schema).parquet(scratch.path(name))
