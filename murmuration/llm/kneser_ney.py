@@ -221,7 +221,8 @@ def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str =
     ids = trusted.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
-    training = named.join(ids.where(~held_out), "doc_id", "left_semi").select(F.col("text").cast("binary").alias("bytes"))
+    # One plan at every size: the list of trusted ids grows with the corpus and is not broadcast where it happens to fit.
+    training = named.join(ids.where(~held_out).hint("merge"), "doc_id", "left_semi").select(F.col("text").cast("binary").alias("bytes"))
     model = fit_model(training, scratch, order)
     scored = stored(score_documents(named, model).select("doc_id", "lang", "perplexity"), scratch, "scored")
     limits = scored.join(ids.where(held_out), "doc_id", "left_semi").groupBy("lang").agg(
