@@ -60,7 +60,7 @@ def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang",
         joined = " ".join(sorted(found, key=lambda t: xxhash.xxh64_intdigest(t.encode()))).encode()[:dictionary_bytes]
         if len(joined) >= 8:
             out[name] = joined
-    return dict(sorted(out.items()))
+    return dict(sorted(out.items(), key=lambda item: (-counts[item[0]], item[0])))
 
 
 class Compressors:
@@ -78,15 +78,16 @@ class Compressors:
             self.compress.append(compressor.compress)
 
     def best(self, text: str | None) -> tuple[str, float]:
-        """The language whose dictionary leaves the fewest bytes, and by which share the next one is longer."""
+        """The language whose dictionary leaves the fewest bytes, and by which share the next one is longer.
+
+        Of equal sizes the language wins that comes first, the most frequent one of those that were learned.
+        """
         data = letters(text).encode()
         if not data or not self.names:
             return UNKNOWN, 0.0
         pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
-        sizes = sorted((sum(len(c(p)) for p in pieces), name) for c, name in zip(self.compress, self.names))
-        if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        return sizes[0][1], 1.0 - sizes[0][0] / sizes[1][0]
+        sizes = sorted((sum(len(c(p)) for p in pieces), k) for k, c in enumerate(self.compress))
+        return self.names[sizes[0][1]], 1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
 def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
@@ -94,7 +95,7 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text: str
     """Every row with ``lang_pred``, ``score`` and ``rejected``.
 
     The whole text (letters only, lower-cased) is compressed with each language's dictionary, in pieces so that the
-    dictionary counts throughout; the smallest total wins, ties go to the name that sorts first.  ``score`` is the
+    dictionary counts throughout; the smallest total wins, ties go to the language with most training rows.  ``score`` is the
     margin, one less the ratio of the smallest to the next size.  Rows with a margin below ``min_margin`` are
     ``rejected``.  Null texts and texts without a letter, and all texts where nothing could be learned, are ``und``
     with score 0 and rejected.  Input columns named like results are replaced.
