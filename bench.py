@@ -17,7 +17,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
     "clean_limit", "calendar_parts", "assemble_mixed", "forward_tanh", "hourly_predict", "class_predict",
-    "hourly_mse", "macro_mse", "f1", "bce", "auc_hourly", "loss_bce", "loss_auc", "swarm_fitness",
+    "hourly_mse", "macro_mse", "f1", "bce", "auc_hourly", "predict_unlabelled", "limit_large", "loss_bce", "loss_auc", "swarm_fitness",
     "swarm_gbest_running", "swarm_move_bounded", "train_sync", "train_async", "train_per_hour", "sweep",
 ]
 
@@ -28,6 +28,29 @@ def timed(action) -> float:
     return round(time.perf_counter() - began, 3)
 
 
+def sequential(spark, data_of, network, settings, generations: int) -> None:
+    """The same training by one process in numpy, for comparison; only ``generations`` of them, as the name says."""
+    import numpy as np
+
+    from murmuration.operators.kernels import network_outputs
+
+    table = data_of(spark, SF_DIR).select("grp", "x", "y").toPandas()
+    for _, part in table.groupby("grp"):
+        x, y = np.stack(part["x"].to_numpy()), part["y"].to_numpy()
+        rng = np.random.default_rng(0)
+        pos = rng.uniform(-1, 1, (settings.particles, network.n_weights(x.shape[1])))
+        vel, own, own_fit = np.zeros_like(pos), pos.copy(), np.full(len(pos), np.inf)
+        for _ in range(generations):
+            out = network_outputs(x, pos, network.hidden, network.output, network.layers, network.width(x.shape[1]))
+            fit_ = np.square(out - y[:, None]).mean(axis=0)
+            better = fit_ < own_fit
+            own[better], own_fit[better] = pos[better], fit_[better]
+            best = own[own_fit.argmin()]
+            vel = np.clip(vel + settings.c1 * rng.random((len(pos), 1)) * (own - pos)
+                          + settings.c2 * rng.random((len(pos), 1)) * (best - pos), -settings.v_max, settings.v_max)
+            pos = pos + vel
+
+
 def main() -> None:
     from pyspark.sql import SparkSession
 
@@ -50,17 +73,17 @@ def main() -> None:
         name: timed(lambda: queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save())
         for name in HEADLINE
     }
-    full = {  # name: data, network, settings, loss, generations, rows up to which a group trains in one task
-        "demand_sync_in_tasks": (demand, *DEMAND_SYNC, "mse", 100, 100_000),
-        "demand_async_in_tasks": (demand, *DEMAND_ASYNC, "mse", 100, 100_000),
-        "demand_sync_by_generation": (demand, *DEMAND_SYNC, "mse", 20, 0),
-        "smoker_sync_by_generation": (vectors, *SMOKER_SYNC, "bce", 20, 0),
+    full = {  # name: data, network, settings, loss
+        "demand_sync": (demand, *DEMAND_SYNC, "mse"),
+        "demand_async": (demand, *DEMAND_ASYNC, "mse"),
+        "smoker_sync": (vectors, *SMOKER_SYNC, "bce"),
     }
-    for name, (data_of, network, settings, loss, generations, small) in full.items():
-        seconds[f"{name}_100x{generations}"] = timed(
-            lambda: fit(data_of(spark, SF_DIR), ["grp"], network, loss, settings, iterations=generations,
-                        small_group_rows=small)
-        )
+    for name, (data_of, network, settings, loss) in full.items():
+        def train():
+            fit(data_of(spark, SF_DIR), ["grp"], network, loss, settings, iterations=100).close()
+
+        seconds[f"{name}_100x100"] = timed(train)
+    seconds["demand_sequential_numpy_100x10"] = timed(lambda: sequential(spark, demand, *DEMAND_SYNC, 10))
     print(json.dumps({
         "metric": "total seconds of headline queries and full trainings",
         "value": round(sum(seconds.values()), 3),

@@ -24,7 +24,9 @@ def threshold(x: Column, at: float = 0.5) -> Column:
 
 
 def clip_probability(p: Column, eps: float = PROBABILITY_EPSILON) -> Column:
-    return F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), p))
+    """Away from 0 and 1; an unknown probability stays null, NaN stays NaN."""
+    clipped = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), p))
+    return F.when(p.isNull() | F.isnan(p), p).otherwise(clipped)
 
 
 def clamp(x: Column, limit: float) -> Column:

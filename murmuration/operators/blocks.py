@@ -1,12 +1,14 @@
 """Packing of training rows into numpy-ready blocks.
 
-A block holds up to ``rows`` rows of one group as two binary columns (features and targets).  Packing
+A block holds about 16 MB of one group's rows as two binary columns (features and targets).  Packing
 happens once, inside the partitions the rows already have: nothing is shuffled, and a group that holds
 most of the table is simply many blocks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -16,7 +18,10 @@ from pyspark.sql import types as T
 
 from murmuration.operators.meeting import hot_groups, shard_blocks
 
-ROWS_PER_BLOCK = 1024
+BLOCK_BYTES = 16 << 20
+LEAST_ROWS = 1024  # of a block, where a task has less than a block's bytes of a group
+_PIECES = 8
+_PARTITION_BYTES = 128 << 20
 _BUFFERED_VALUES = 1 << 23  # doubles waiting in one task (64 MB)
 
 
@@ -30,7 +35,15 @@ def _matrix(column, n):
     widths = np.diff(column.offsets.to_numpy())
     if n and not (widths == widths[0]).all():
         raise ValueError(f"feature arrays differ in width: {widths.min()} to {widths.max()}")
-    return values.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(n, -1)
+    matrix = values.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(n, -1)
+    if np.isnan(matrix).any():
+        raise ValueError("NaN inside a feature array")
+    return matrix
+
+
+def block_rows(n_inputs: int) -> int:
+    """Rows of a full block: the particles that travel beside it are a small part of its bytes."""
+    return max(LEAST_ROWS, BLOCK_BYTES // (8 * (n_inputs + 1)))
 
 
 def _packer(keys, rows, with_ids):
@@ -47,10 +60,12 @@ def _packer(keys, rows, with_ids):
                 xs, ys, ids = waiting.pop(key)
                 x, y = np.concatenate(xs), np.concatenate(ys)
                 tags = np.concatenate(ids) if with_ids else None
-                for i in range(0, len(y), rows):
-                    piece = x[i : i + rows]
-                    row = (*key, serial, len(piece), piece.shape[1], piece.tobytes(), y[i : i + rows].tobytes())
-                    made.append((*row, tags[i : i + rows].tobytes()) if with_ids else row)
+                full = rows or block_rows(x.shape[1])
+                size = full if rows or len(y) >= full else min(full, max(LEAST_ROWS, -(-len(y) // _PIECES)))
+                for i in range(0, len(y), size):
+                    piece = x[i : i + size]
+                    row = (*key, serial, len(piece), piece.shape[1], piece.tobytes(), y[i : i + size].tobytes())
+                    made.append((*row, tags[i : i + size].tobytes()) if with_ids else row)
                     serial += 1
             columns = list(zip(*made))
             return pa.RecordBatch.from_arrays(
@@ -86,7 +101,8 @@ def _packer(keys, rows, with_ids):
                 yield flush(list(waiting))
                 buffered = 0
             else:
-                full = [k for k, slot in waiting.items() if sum(map(len, slot[1])) >= rows]
+                full = [k for k, slot in waiting.items()
+                        if sum(map(len, slot[1])) >= (rows or block_rows(x.shape[1]))]
                 if full:
                     buffered -= sum(a.size for k in full for a in waiting[k][0])
                     yield flush(full)
@@ -97,8 +113,11 @@ def _packer(keys, rows, with_ids):
 
 
 def pack_blocks(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", row_id: str | None = None,
-                rows: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Columns ``*keys, block, n, d, bx, by[, bid]``; ``block`` numbers the blocks of the table."""
+                rows: int | None = None) -> DataFrame:
+    """Columns ``*keys, block, n, d, bx, by[, bid]``; ``block`` numbers the blocks of the table.
+
+    Blocks have ``rows`` rows, or as many as the width of the rows suggests (see ``block_rows``).
+    """
     columns = [F.col(k) for k in keys] + [F.col(x).alias("x"), F.col(y).cast("double").alias("y")]
     if row_id:
         columns.append(F.col(row_id).cast("long").alias("row_id"))
@@ -142,15 +161,22 @@ class PackedTable:
         if facts.min_d != facts.max_d or not facts.min_d:
             self.close()
             raise ValueError(f"feature arrays differ in width: {facts.min_d} to {facts.max_d}")
+        if facts.no_group:
+            self.close()
+            raise ValueError(f"{facts.no_group} rows have a null group")
         self.n_rows, self.n_blocks, self.n_inputs = facts.n_rows, facts.blocks, facts.min_d
         self.n_groups = self.groups().count()
 
     def _facts(self):
         return self.blocks.agg(
             F.sum("n").alias("n_rows"), F.count("n").alias("blocks"), F.min("d").alias("min_d"),
-            F.max("d").alias("max_d"), F.countDistinct(F.shiftright("block", 33)).alias("parts"),
+            F.max("d").alias("max_d"), F.sum(self._ungrouped()).alias("no_group"), F.countDistinct(F.shiftright("block", 33)).alias("parts"),
         ).first()
 
+    def _ungrouped(self):
+        missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in self.keys])
+        return F.when(missing, F.col("n")).otherwise(0)
+
     def groups(self) -> DataFrame:
         """The groups with their row and block counts."""
         return self.blocks.groupBy(*self.keys).agg(
@@ -166,7 +192,8 @@ class PackedTable:
             return
         spark = self.blocks.sparkSession
         hot = hot_groups(self.blocks, self.keys, self.n_blocks).persist(self.storage)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        size = 8 * self.n_rows * (self.n_inputs + 1)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // _PARTITION_BYTES))
         where = [*self.keys, "shard"]
         placed = (
             shard_blocks(self.blocks, hot, self.keys).repartition(parts, *where).sortWithinPartitions(*where)

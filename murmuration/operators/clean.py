@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows an ordered limit is a top-k sort held by one task.
-SORTED_LIMIT = 100_000
-_SPLITS = 1_000
+SORTED_AT_ONCE = 100_000  # keys that one task sorts
+RANGES = 64  # a fixed number, which adaptive execution does not merge again
 
 
 def complete_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -34,51 +34,94 @@ def leading_features(df: DataFrame, n: int) -> tuple[Column, Column]:
     return F.array(*[F.col(c).cast("double") for c in names[:n]]), F.col(names[n])
 
 
-def rank_threshold(df: DataFrame, n: int, order: str):
-    """The ``n``-th smallest value of a unique numeric column, or None if there are fewer rows.
+@dataclass(frozen=True)
+class Cut:
+    """The place of the ``n``-th row: its value, the hash of its cells, and how many rows stand before and there."""
 
-    Counts per value range narrow the candidates a thousandfold per pass, so no task ever sorts more
-    than ``SORTED_LIMIT`` values and only the counts of the ranges come back to the driver.
+    value: object
+    tie: int
+    before: int
+    there: int
+
+
+def _tie(df: DataFrame) -> Column:
+    """Decides between rows of equal value; only rows that are equal in all cells have equal hashes."""
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
+    return F.xxhash64(*plain)
+
+
+def find_cut(df: DataFrame, n: int, order: str) -> Cut | None:
+    """The ``n``-th row of ``df`` by ``order`` (nulls first), or None if there are not so many.
+
+    Only the sort key moves.  It is cut into ranges; the range with the wanted row is cut again until one task can
+    sort what is left.  Counts and ends of the ranges are all that comes back.  Any type that can be ordered will do.
     """
     if n <= 0:
         raise ValueError("n must be positive")
-    part = df.select(F.col(order).alias("v")).where(F.col("v").isNotNull())
-    wanted = n
-    while True:
-        low, high, total = part.agg(F.min("v"), F.max("v"), F.count("v")).first()
-        if total < wanted:
-            return None
-        if total <= SORTED_LIMIT or wanted == total:
-            break
-        step = (high - low) / _SPLITS
-        bucket = F.least(F.lit(_SPLITS - 1), F.floor((F.col("v") - F.lit(low)) / F.lit(step)).cast("int"))
-        counts = sorted(tuple(r) for r in part.groupBy(bucket.alias("b")).count().collect())
-        before = 0
-        for b, count in counts:
-            if before + count >= wanted:
+    keys = df.select(F.struct(F.col(order).alias("value"), _tie(df).alias("tie")).alias("key"))
+    part, before = keys, 0
+    total = part.count()
+    if total < n:
+        return None
+    while total > SORTED_AT_ONCE:
+        ranges = (
+            part.repartitionByRange(RANGES, "key").groupBy(F.spark_partition_id())
+            .agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("low").collect()
+        )
+        for r in ranges:
+            if before + r.n >= n:
                 break
-            before += count
-        if count == total:
-            break  # all values are equal: the column is not unique
-        part = part.where(bucket == F.lit(b))
-        wanted -= before
-    if wanted == total:
-        return high
-    if total > SORTED_LIMIT:
-        raise ValueError(f"column {order} must be unique to cut at row {n}")
-    return part.orderBy("v").limit(wanted).agg(F.max("v")).first()[0]
+            before += r.n
+        if r.low == r.high:
+            return Cut(r.low[0], r.low[1], before, r.n)
+        if r.n == total:  # one value dominates: take out the smallest one
+            first = part.where(_compare(r.low, "=")).count()
+            if before + first >= n:
+                return Cut(r.low[0], r.low[1], before, first)
+            part, before, total = part.where(_compare(r.low, ">")), before + first, total - first
+        else:
+            part, total = part.where(_compare(r.low, ">=") & _compare(r.high, "<=")), r.n
+    key = part.orderBy("key").limit(n - before).agg(F.max("key")).first()[0]
+    counts = part.agg(F.count_if(_compare(key, "<")), F.count_if(_compare(key, "="))).first()
+    return Cut(key[0], key[1], before + counts[0], counts[1])
+
+
+def _compare(key, how: str, value: Column | None = None, tie: Column | None = None) -> Column:
+    """``(value, tie) how key`` in the order of ``orderBy``: null is smaller than anything."""
+    value = F.col("key.value") if value is None else value
+    tie = F.col("key.tie") if tie is None else tie
+    at = F.lit(key[1])
+    if key[0] is None:
+        same, less = value.isNull(), F.lit(False)
+    else:
+        same, less = value.eqNullSafe(F.lit(key[0])), value.isNull() | (value < F.lit(key[0]))
+    ties = {"=": tie == at, ">": tie > at, ">=": tie >= at, "<=": tie <= at, "<": tie < at}[how]
+    if how == "=":
+        return same & ties
+    return (less | (same & ties)) if how in ("<", "<=") else (~less & ~same) | (same & ties)
+
+
+def up_to(df: DataFrame, cut: Cut, order: str, how: str = "<=") -> Column:
+    """True for the rows of ``df`` that stand at or before the cut."""
+    return _compare((cut.value, cut.tie), how, F.col(order), _tie(df))
 
 
 def first_rows(df: DataFrame, n: int, order: str = "row_id") -> DataFrame:
-    """The first ``n`` rows by a unique column.
+    """The first ``n`` rows by ``order``, nulls first; rows of equal value go by a hash of all their cells.
 
-    Small limits are a top-k.  Larger ones find the ``n``-th value and filter on it, which is pushed
-    into the scan and moves no rows.
+    The place of the last row is found first (see ``find_cut``, which runs jobs); the result is a filter on it and
+    moves no rows.  Rows that are equal in all cells are interchangeable, as many as fit are taken.
     """
-    if n <= SORTED_LIMIT:
-        return df.orderBy(order).limit(n)
-    cut = rank_threshold(df, n, order)
-    return df if cut is None else df.where(F.col(order) <= F.lit(cut))
+    cut = find_cut(df, n, order)
+    if cut is None:
+        return df
+    wanted = up_to(df, cut, order)
+    if cut.value is not None:  # this part is pushed into the scan
+        wanted = (F.col(order).isNull() | (F.col(order) <= F.lit(cut.value))) & wanted
+    if cut.before + cut.there == n:
+        return df.where(wanted)
+    equal = df.where(up_to(df, cut, order, "=")).limit(n - cut.before)
+    return df.where(up_to(df, cut, order, "<")).unionByName(equal)
 
 
 def dimensions(df: DataFrame, x: str = "x", y: str | None = "y") -> DataFrame:
@@ -91,15 +134,3 @@ def dimensions(df: DataFrame, x: str = "x", y: str | None = "y") -> DataFrame:
         F.count_if(F.col(x).isNull()).alias("null_x"),
         missing_y.alias("null_y"),
     )
-
-
-def check_training_table(df: DataFrame, x: str = "x", y: str = "y") -> int:
-    """Raise unless the table is non-empty, rectangular and without nulls; return the width."""
-    d = dimensions(df, x, y).first()
-    if d.n_rows == 0:
-        raise ValueError("the table is empty")
-    if d.null_x or d.null_y:
-        raise ValueError(f"{d.null_x} null feature arrays and {d.null_y} null targets")
-    if d.min_width != d.max_width or d.min_width == 0:
-        raise ValueError(f"feature arrays differ in width: {d.min_width} to {d.max_width}")
-    return d.min_width

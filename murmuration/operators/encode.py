@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.functions.vectors import one_hot_against
 
-MAX_VOCABULARY = 10_000
-
 
 def first_seen(df: DataFrame, column: str, order: str) -> DataFrame:
     """Distinct values with the position where each appears first."""
     return df.groupBy(F.col(column).alias("value")).agg(F.min(order).alias("first_at"))
 
 
-def vocabulary(df: DataFrame, column: str, order: str, max_size: int = MAX_VOCABULARY) -> DataFrame:
+def _words(listed: Column, max_size: int | None, what: str) -> Column:
+    """The values of (first_at, value) pairs in order; more than ``max_size`` stop the job."""
+    words = F.transform(F.array_sort(listed), lambda s: s["value"])
+    if max_size is None:
+        return words
+    too_wide = F.raise_error(F.lit(f"{what} has more than {max_size} distinct values"))
+    return F.when(F.size(listed) <= max_size, words).otherwise(too_wide)
+
+
+def vocabulary(df: DataFrame, column: str, order: str, max_size: int | None = None) -> DataFrame:
     """One row with the distinct values as an array in order of first appearance.
 
-    The array is as long as the one-hot block is wide, so its size is checked: the sort stops one
-    past ``max_size`` and a longer vocabulary stops the job.
+    The array is as long as the one-hot block is wide.  ``max_size`` guards against columns that are not categories.
     """
-    seen = first_seen(df, column, order).orderBy("first_at").limit(max_size + 1)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("first_at", "value"))), lambda s: s["value"])
-    too_wide = F.raise_error(F.lit(f"column {column} has more than {max_size} distinct values"))
-    return seen.agg(listed.alias("words")).select(
-        F.when(F.size("words") <= max_size, F.col("words")).otherwise(too_wide).alias("words")
-    )
+    seen = first_seen(df, column, order).agg(F.collect_list(F.struct("first_at", "value")).alias("listed"))
+    return seen.select(_words(F.col("listed"), max_size, f"column {column}").alias("words"))
 
 
-def one_hot_first_seen(df: DataFrame, column: str, order: str, max_size: int = MAX_VOCABULARY) -> Column:
+def one_hot_first_seen(df: DataFrame, column: str, order: str, max_size: int | None = None) -> Column:
     """Indicators of ``column`` in order of first appearance in ``df``.
 
     The vocabulary enters the plan as a scalar subquery: it is computed once and there is no join.
@@ -37,30 +39,27 @@ def one_hot_first_seen(df: DataFrame, column: str, order: str, max_size: int = M
     return one_hot_against(F.col(column), vocabulary(df, column, order, max_size).scalar())
 
 
-def vocabularies(df: DataFrame, columns: list[str], order: str, max_size: int = MAX_VOCABULARY) -> DataFrame:
-    """One row with one array per column, as ``vocabulary`` gives them, from a single pass over ``df``."""
+def vocabularies(df: DataFrame, columns: list[str], order: str, max_size: int | None = None) -> DataFrame:
+    """One row with one array per column, as ``vocabulary`` gives them, from a single pass over ``df``.
+
+    With a number as ``order`` the cells are combined by hashing, without a sort.
+    """
     cells = F.array(*[
         F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)
     ])
     seen = (
-        df.select(F.col(order).alias("at"), F.explode(cells).alias("cell"))
-        .groupBy("cell.i", "cell.value").agg(F.min("at").alias("first_at"))
+        df.select(F.col(order).alias("first_at"), F.explode(cells).alias("cell"))
+        .groupBy("cell.i", "cell.value").agg(F.min("first_at").alias("first_at"))
     )
-    place = F.row_number().over(Window.partitionBy("i").orderBy("first_at"))
-    few = seen.withColumn("place", place).where(F.col("place") <= max_size + 1)
-    listed = few.groupBy().agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct("place", "value")))).alias(f"w{i}")
+    listed = seen.groupBy().agg(*[
+        F.collect_list(F.when(F.col("i") == i, F.struct("first_at", "value"))).alias(f"w{i}")
         for i in range(len(columns))
     ])
-    too_wide = F.raise_error(F.lit(f"one of {columns} has more than {max_size} distinct values"))
-    return listed.select(*[
-        F.when(F.size(f"w{i}") <= max_size, F.transform(f"w{i}", lambda s: s["value"])).otherwise(too_wide).alias(c)
-        for i, c in enumerate(columns)
-    ])
+    return listed.select(*[_words(F.col(f"w{i}"), max_size, f"column {c}").alias(c) for i, c in enumerate(columns)])
 
 
 def assemble_features(df: DataFrame, categorical: list[str], numeric: list[str], order: str,
-                      output: str = "x", max_size: int = MAX_VOCABULARY) -> DataFrame:
+                      output: str = "x", max_size: int | None = None) -> DataFrame:
     """Add one array column: the one-hot blocks of ``categorical``, then ``numeric`` as doubles.
 
     Categories are compared as text.

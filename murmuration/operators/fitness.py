@@ -18,13 +18,13 @@ from murmuration.operators.meeting import BROADCAST_BYTES, meet
 from murmuration.operators.ranking import auc
 
 LOSSES = ("mse", "error", "bce", "f1", "auc")
-_CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 4 << 20
 _HELD_SUMS = 1 << 20
 
 
 def chunk_particles(swarm: DataFrame, keys: list[str], n_weights: int) -> DataFrame:
     """Gather particles into rows of at most about 4 MB: ``*keys, pids, flat``."""
-    per_chunk = max(1, _CHUNK_BYTES // (8 * n_weights))
+    per_chunk = max(1, CHUNK_BYTES // (8 * n_weights))
     members = F.array_sort(F.collect_list(F.struct("pid", "pos")))
     return (
         swarm.groupBy(*keys, F.floor(F.col("pid") / F.lit(per_chunk)).alias("chunk"))
@@ -128,15 +128,17 @@ def loss_value(loss: str) -> Column:
 
 
 def fitness(blocks: DataFrame, swarm: DataFrame, on: list[str], keys: list[str], network: Network,
-            n_inputs: int, loss: str, swarm_bytes: int, hot: DataFrame | None = None, decision: str = "threshold",
+            n_inputs: int, loss: str, swarm_bytes: int | None = None, hot: DataFrame | None = None, decision: str = "threshold",
             broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``*keys, pid, fit`` for every particle.
 
     ``on`` are the keys shared with the blocks, ``keys`` all keys; ``hot`` names the split groups of blocks
-    that are partitioned for swarms too big to broadcast.
+    that are partitioned for swarms too big to broadcast.  ``swarm_bytes`` is measured if it is not known.
     """
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
+    if swarm_bytes is None:
+        swarm_bytes = 8 * network.n_weights(n_inputs) * swarm.count()
     tiered = [*keys, *[c for c in on if c not in keys]]
     chunks = chunk_particles(swarm.select(*tiered, "pid", "pos"), tiered, network.n_weights(n_inputs))
     met = meet(blocks, chunks, on, swarm_bytes, hot, broadcast_bytes=broadcast_bytes).select(

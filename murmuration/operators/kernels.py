@@ -65,54 +65,3 @@ def loss_parts(y, scores, loss, decision="threshold"):
             parts[:, 1] = ((truth == 0.0) & (chosen == 1.0)).sum(axis=0)
             parts[:, 2] = ((truth == 1.0) & (chosen == 0.0)).sum(axis=0)
     return parts
-
-
-def losses(y, scores, loss, decision="threshold"):
-    """The loss of each network on rows that are all here, (m,); NaN where it is undefined."""
-    if loss == "auc":
-        return 1.0 - np.array([_auc(y == 1.0, column) for column in scores.T])
-    s0, s1, s2 = loss_parts(y, scores, loss, decision).T
-    if loss == "bce":
-        return s0
-    if loss in ("mse", "error"):
-        return s0 / len(y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        precision, recall = s0 / (s0 + s1), s0 / (s0 + s2)
-        return 1.0 - 2.0 * (precision * recall) / (precision + recall)
-
-
-def _auc(positive, scores):
-    _, where = np.unique(scores, return_inverse=True)
-    p = np.bincount(where, weights=positive)
-    n = np.bincount(where) - p
-    pairs = p.sum() * n.sum()
-    return (p * (np.cumsum(n) - n + n / 2.0)).sum() / pairs if pairs else np.nan
-
-
-def swarm_steps(evaluate, pos, vel, pulls, inertia, v_max, pos_max, social, running):
-    """All generations of one swarm: ``pos`` and ``vel`` (m, w), ``pulls`` (steps, m, 2).
-
-    ``evaluate`` maps positions to fitness.  Gives the best position, its fitness and the best fitness
-    after each generation.
-    """
-    own, own_fit = pos.copy(), np.full(len(pos), np.inf)
-    best, best_fit, history = pos[0].copy(), np.inf, []
-    for step, pull in enumerate(pulls):
-        fit = evaluate(pos)
-        better = fit < own_fit
-        own[better], own_fit[better] = pos[better], fit[better]
-        first = int(np.argmin(own_fit))
-        lead = None
-        if running and step:
-            met = np.minimum.accumulate(np.concatenate([[best_fit], own_fit]))
-            winner = np.maximum.accumulate(np.where(np.diff(met) < 0, np.arange(len(pos)), -1))
-            lead = np.where((winner < 0)[:, None], best, own[winner])
-        if own_fit[first] < best_fit:
-            best, best_fit = own[first].copy(), own_fit[first]
-        history.append(best_fit)
-        target = own if social == "personal" else best if lead is None else lead
-        vel = np.clip(inertia * vel + pull[:, :1] * (own - pos) + pull[:, 1:] * (target - pos), -v_max, v_max)
-        pos = pos + vel
-        if pos_max is not None:
-            pos = np.clip(pos, -pos_max, pos_max)
-    return best, best_fit, history

@@ -82,7 +82,8 @@ def auc(df: DataFrame, y: str = "real", score: str = "score", by: list[str] | No
     if mode != "literal":
         raise ValueError("mode must be 'rank' or 'literal'")
     counts = _over(df, by).agg(
-        F.count_if(F.col(y) == 1).alias("positives"), F.count_if(F.col(y) != 1).alias("negatives")
+        F.count_if((F.col(y) == 1) & F.col(score).isNotNull()).alias("positives"),
+        F.count_if((F.col(y) != 1) & F.col(score).isNotNull()).alias("negatives"),
     )
     half_each = F.col("positives") * F.lit(0.5)
     return counts.withColumn(

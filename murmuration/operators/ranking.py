@@ -13,10 +13,11 @@ def auc(df: DataFrame, y: str = "y", score: str = "score", by: list[str] | None
     Equal scores collapse to counts first (combined before the shuffle).  The distinct scores are then
     range-partitioned, each range is walked on its own, and one row per range carries the number of
     negatives below it.  With ``counted`` the input already has ``positives`` and ``negatives`` per score.
-    Without positives or without negatives the result is null.
+    Without positives or without negatives the result is null.  Pairs with an unknown side do not count.
     """
     by = by or []
     if not counted:
+        df = df.where(F.col(y).isNotNull() & F.col(score).isNotNull())
         df = df.select(*by, F.col(score).alias("score"), F.col(y).alias("y")).withColumns({
             "positives": F.when(F.col("y") == 1.0, F.lit(1)).otherwise(F.lit(0)).cast("long"),
             "negatives": F.when(F.col("y") == 1.0, F.lit(0)).otherwise(F.lit(1)).cast("long"),

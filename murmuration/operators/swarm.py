@@ -62,19 +62,34 @@ def global_best(swarm: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def best_so_far(keys: list[str], running: bool) -> tuple[Column, Column]:
-    """Position and fitness of the best of the whole group, or with ``running`` of the best among the
-    particles up to and including this one in ``pid`` order."""
-    window = Window.partitionBy(*keys)
-    if running:
-        window = window.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.min_by("pbest", F.struct("pbest_fit", "pid")).over(window), F.min("pbest_fit").over(window)
+def best_seen(fits: DataFrame, keys: list[str], running: bool) -> DataFrame:
+    """Add ``best_pid, best_fit`` of the group, or with ``running`` of the particles up to and including this one in
+    ``pid`` order, and ``lead_pid, lead_fit`` of the group.
+
+    ``fits`` has ``*keys, pid, pbest_fit`` and perhaps more; keep it narrow, because a group meets in one task.
+    """
+    group = Window.partitionBy(*keys)
+    ordered = group.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.struct("pbest_fit", "pid")
+    found = fits.withColumns({
+        "_best": F.min(place).over(ordered if running else group), "_lead": F.min(place).over(group)
+    })
+    return found.select(
+        *fits.columns, F.col("_best.pid").alias("best_pid"), F.col("_best.pbest_fit").alias("best_fit"),
+        F.col("_lead.pid").alias("lead_pid"), F.col("_lead.pbest_fit").alias("lead_fit"),
+    )
 
 
 def attach_best(swarm: DataFrame, keys: list[str], running: bool) -> DataFrame:
-    """Add ``gbest`` and ``gbest_fit``."""
-    position, fit = best_so_far(keys, running)
-    return swarm.withColumns({"gbest": position, "gbest_fit": fit})
+    """Add ``gbest`` and ``gbest_fit``; only the positions of the record holders travel."""
+    seen = best_seen(swarm.select(*keys, "pid", "pbest_fit"), keys, running)
+    holders = seen.select(*keys, F.col("best_pid").alias("pid")).distinct()
+    positions = swarm.join(holders, [*keys, "pid"]).select(
+        *keys, F.col("pid").alias("best_pid"), F.col("pbest").alias("gbest")
+    )
+    known = seen.select(*keys, "pid", "best_pid", F.col("best_fit").alias("gbest_fit"))
+    led = swarm.join(known, [*keys, "pid"]).join(positions, [*keys, "best_pid"])
+    return led.select(*swarm.columns, "gbest", "gbest_fit")
 
 
 def pulls(c1: float, c2: float, seed: int, group: list[Column], step: int | Column, draw: Draw = hashed) -> Column:

@@ -16,7 +16,7 @@ METRICS = ("mse", "macro_mse", "error", "accuracy", "bce", "f1", "auc")
 
 def evaluate(df: DataFrame, weights: DataFrame, group: list[str], metric: str, n_inputs: int,
              network: Network = CLASSIFIER, limit: int | None = None, by_group: bool = False,
-             decision: str = "threshold", mode: str = "rank", weight_bytes: int | None = None,
+             decision: str = "threshold", mode: str = "rank",
              broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row, or one row per group, with the metric of ``weights`` on ``df``.
 
@@ -26,7 +26,7 @@ def evaluate(df: DataFrame, weights: DataFrame, group: list[str], metric: str, n
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     rows = df if limit is None else first_rows(df, limit)
-    scored = predict(rows, weights, group, network, n_inputs, weight_bytes, decide_at=None,
+    scored = predict(rows, weights, group, network, n_inputs, decide_at=None,
                      broadcast_bytes=broadcast_bytes)
     by = group if by_group else None
     if metric == "mse":

@@ -26,13 +26,13 @@ def demand_table(raw: DataFrame, limit: int | None = None, vocabulary: str = "ca
                  target: str = "real_pow") -> DataFrame:
     """``row_id, grp, x, y`` from the text cells of a demand file.
 
-    ``grp`` is the clock hour.  ``vocabulary='first_seen'`` numbers weekdays and minutes in order of
+    ``grp`` is the clock hour as written, whatever the time zone of the session.  ``vocabulary='first_seen'`` numbers weekdays and minutes in order of
     appearance, as wide as the data; the default uses fixed calendar vocabularies.
     """
     rows = complete_rows(raw, [c for c in raw.columns if c != "row_id"])
     if limit is not None:
         rows = first_rows(rows, limit)
-    stamped = rows.withColumn("at", F.col("ts").cast("timestamp"))
+    stamped = rows.withColumn("at", F.col("ts").cast("timestamp_ntz"))
     number = F.col("prog_pow").cast("double")
     if vocabulary == "calendar":
         x = calendar_features(F.col("at"), number)
@@ -60,6 +60,11 @@ def labelled_table(raw: DataFrame, n_features: int = 68, limit: int | None = Non
 
 def health_table(raw: DataFrame, label: str, hearing: tuple[str, str], caries: str, before: list[str],
                  after: list[str], order: str = "row_id") -> DataFrame:
-    """Mixed table: one-hot of both hearing columns and caries, then two runs of numeric columns."""
+    """Mixed table: one-hot of both hearing columns and caries, then two runs of numeric columns.
+
+    Rows with a blank cell in one of these columns are left out before anything is counted.
+    """
+    used = [*hearing, caries, *before, *after, label]
+    raw = complete_rows(raw.withColumns({c: F.col(c).cast("string") for c in used}), used)
     wide = assemble_features(raw, [*hearing, caries], [*before, *after], order)
     return wide.select(F.col(order).alias("row_id"), F.lit(0).alias("grp"), "x", decode_label(F.col(label)).alias("y"))

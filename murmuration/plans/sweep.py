@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from murmuration.functions.draws import Draw, hashed
 from murmuration.network import REGRESSOR, Network
 from murmuration.operators.blocks import PackedTable, pack_blocks
-from murmuration.operators.clean import rank_threshold
+from murmuration.operators.clean import find_cut, up_to
 from murmuration.operators.meeting import BROADCAST_BYTES
 from murmuration.plans.train import SwarmSettings, Trained, train_runs
 
@@ -19,7 +19,7 @@ from murmuration.plans.train import SwarmSettings, Trained, train_runs
 def sweep(df: DataFrame, group: list[str], rows: list[int | None], iterations: list[int], particles: list[int],
           network: Network = REGRESSOR, loss: str = "mse", settings: SwarmSettings = SwarmSettings(),
           order: str = "row_id", draw: Draw = hashed, broadcast_bytes: int = BROADCAST_BYTES,
-          small_group_rows: int = 0, **changes) -> Trained:
+          **changes) -> Trained:
     """Train every combination of row limit, iterations and particles side by side.
 
     Row limits are nested prefixes in ``order`` (None is the whole table): each row is tagged once with
@@ -27,15 +27,15 @@ def sweep(df: DataFrame, group: list[str], rows: list[int | None], iterations: l
     """
     settings = replace(settings, **changes)
     limits = sorted({n for n in rows if n is not None})
-    cuts = [(n, rank_threshold(df, n, order)) for n in limits]
+    cuts = [(n, find_cut(df, n, order)) for n in limits]
     cuts = [(n, c) for n, c in cuts if c is not None]
     whole = None in rows or len(cuts) < len(limits)
     tier = F.lit(len(cuts))
     for t, (_, cut) in reversed(list(enumerate(cuts))):
-        tier = F.when(F.col(order) <= F.lit(cut), F.lit(t)).otherwise(tier)
+        tier = F.when(up_to(df, cut, order), F.lit(t)).otherwise(tier)
     tagged = df.withColumn("tier", tier)
     if not whole:
-        tagged = tagged.where(F.col(order) <= F.lit(cuts[-1][1]))
+        tagged = tagged.where(F.col("tier") < len(cuts))
     table = PackedTable(pack_blocks(tagged, [*group, "tier"]), [*group, "tier"])
     try:
         tiers = {n: t for t, (n, _) in enumerate(cuts)}
@@ -49,8 +49,7 @@ def sweep(df: DataFrame, group: list[str], rows: list[int | None], iterations: l
             }
             for n, i, p in product(rows, iterations, particles)
         ]
-        return train_runs(table, runs, group, network, loss, settings, draw=draw, broadcast_bytes=broadcast_bytes,
-                          small_group_rows=small_group_rows)
+        return train_runs(table, runs, group, network, loss, settings, draw=draw, broadcast_bytes=broadcast_bytes)
     finally:
         table.close()
 

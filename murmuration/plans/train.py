@@ -11,16 +11,14 @@ from pyspark.sql import functions as F
 from murmuration.functions.draws import Draw, hashed
 from murmuration.network import CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
 from murmuration.operators.blocks import PackedTable, pack_blocks
-from murmuration.operators.fitness import LOSSES, fitness, net_arguments
+from murmuration.operators.fitness import LOSSES, fitness
 from murmuration.operators.meeting import BROADCAST_BYTES
-from murmuration.operators.small_groups import train_small_groups
 from murmuration.operators.swarm import (
     LEADER,
-    best_so_far,
+    best_seen,
     init_swarm,
     new_position,
     new_velocity,
-    personal_best,
     pulls,
 )
 from murmuration.sources.scratch import Scratch
@@ -54,14 +52,13 @@ class SwarmSettings:
 # Fixed values of the published set-ups.
 DEMAND_SYNC = (REGRESSOR, SwarmSettings())
 DEMAND_ASYNC = (LINEAR_REGRESSOR, SwarmSettings(v_max=0.48, pos_max=0.8, init_range=0.8, update="async"))
-DEMAND_PER_HOUR = (LINEAR_REGRESSOR, SwarmSettings(v_max=0.48, pos_max=0.8, init_range=2.0, update="async"))
 SMOKER_SYNC = (CLASSIFIER, SwarmSettings(c1=3.5, c2=1.8, v_max=0.1, pos_max=1.0, init_range=1.0))
 
 
 @dataclass
 class Trained:
     """``weights(run_id, *group, pos, fit)``, ``curve(run_id, *group, iter, best_fitness)`` and
-    ``runs(run_id, iters, parts, rows, metric, value)`` with the training time."""
+    ``runs(run_id, iters, parts, rows, metric, value)`` with the training time and the mean loss of the groups."""
 
     weights: DataFrame
     curve: DataFrame
@@ -69,47 +66,69 @@ class Trained:
     seconds: float
     n_inputs: int
     network: Network
+    scratch: Scratch
+
+    def close(self) -> None:
+        """Delete the stored tables; nothing of the result can be read afterwards."""
+        self.scratch.drop()
 
 
 class Generation:
     """One generation: personal bests, global best, move, and the leader row of each group.
 
     Call it with ``state`` (particles and one leader row per group, each with the number of steps done)
-    and ``fits`` (``*keys, pid, fit``).  The expressions are written once: the step number is data, so
-    every generation runs the same compiled code.  In the first generation of an asynchronous run every
-    particle already knows the best of the start.
+    and ``fits`` (``*keys, pid, fit``).  Who is best is found on the fitness alone; then the positions of the record
+    holders are joined to the particles, so whole particles are neither shuffled nor sorted when the small sides can
+    be broadcast.  ``store`` keeps the narrow table between the two steps.  The step number is data, so every
+    generation runs the same compiled code.  In the first generation of an asynchronous run every particle already
+    knows the best of the start.
     """
 
     def __init__(self, keys: list[str], settings: SwarmSettings, draw: Draw = hashed,
-                 draw_keys: list[str] | None = None):
+                 draw_keys: list[str] | None = None, small: bool = True):
         group = [F.col(k) for k in (draw_keys or keys)]
-        leads = F.col("pid") == LEADER
-        best, best_fit = best_so_far(keys, running=False)
-        self.on = [*keys, "pid"]
+        self.keys, self.on = keys, [*keys, "pid"]
         self.asynchronous = settings.update == "async"
-        self.personal = [c.alias(name) for name, c in personal_best().items()]
         self.pulls = pulls(settings.c1, settings.c2, settings.seed, group, F.col("step") + 1, draw).alias("pulls")
-        self.lead = [F.when(leads, best).alias("lead"), best_fit.alias("lead_fit")]
-        self.met_all = best.alias("gbest")
-        self.met_running = best_so_far(keys, running=True)[0].alias("gbest")
         self.velocity = new_velocity(settings.inertia, settings.v_max, settings.social).alias("moved")
-        self.final = {
+        self.pos_max = settings.pos_max
+        self.beside = F.broadcast if small else (lambda df: df)
+
+    def judged(self, state: DataFrame, fits: DataFrame, first: bool) -> DataFrame:
+        """``*keys, pid``, the new ``pbest_fit``, whether it is ``better``, and who is best: narrow rows."""
+        known = state.select(*self.on, F.col("pbest_fit").alias("old_fit")).join(self.beside(fits), self.on, "left")
+        better = F.coalesce(F.col("fit") < F.col("old_fit"), F.lit(False))
+        narrow = known.select(
+            *self.on, better.alias("better"), F.when(better, F.col("fit")).otherwise(F.col("old_fit")).alias("pbest_fit")
+        )
+        seen = best_seen(narrow, self.keys, self.asynchronous and not first)
+        holder = F.when(F.col("pid") == LEADER, F.col("lead_pid")).otherwise(F.col("best_pid"))
+        return seen.select(*self.on, "better", "pbest_fit", holder.alias("holder"), "lead_fit")
+
+    def __call__(self, state: DataFrame, fits: DataFrame, first: bool, store=lambda df: df) -> DataFrame:
+        judged = store(self.judged(state, fits, first))
+        holders = judged.select(*self.keys, F.col("holder").alias("pid")).distinct()
+        own = F.when(F.col("better"), F.col("pos")).otherwise(F.col("pbest"))
+        chosen = judged.join(self.beside(holders), self.on, "left_semi").select(*self.on, "better")
+        positions = state.select(*self.on, "pos", "pbest").join(self.beside(chosen), self.on).select(
+            *self.keys, F.col("pid").alias("holder"), own.alias("gbest")
+        )
+        rest = [c for c in state.columns if c not in ("pbest", "pbest_fit", "vel", "history", "step")]
+        led = state.drop("pbest_fit").join(self.beside(judged), self.on).join(
+            self.beside(positions), [*self.keys, "holder"]
+        )
+        leads = F.col("pid") == LEADER
+        pulled = led.select(*rest, "vel", "step", "history", "gbest", "lead_fit", "pbest_fit", own.alias("pbest"), self.pulls)
+        moved = pulled.select(*rest, "step", "history", "gbest", "lead_fit", "pbest_fit", "pbest", self.velocity)
+        final = {
             "step": F.col("step") + 1,
-            "pos": new_position("moved", settings.pos_max),
+            "pos": new_position("moved", self.pos_max),
             "vel": F.col("moved"),
-            "pbest": F.when(leads, F.col("lead")).otherwise(F.col("pbest")),
+            "pbest": F.when(leads, F.col("gbest")).otherwise(F.col("pbest")),
             "pbest_fit": F.when(leads, F.col("lead_fit")).otherwise(F.col("pbest_fit")),
             "history": F.when(leads, F.concat("history", F.array("lead_fit"))).otherwise(F.col("history")),
         }
-
-    def __call__(self, state: DataFrame, fits: DataFrame, first: bool) -> DataFrame:
-        kept = [c for c in state.columns if c not in ("pbest", "pbest_fit")]
-        met = self.met_running if self.asynchronous and not first else self.met_all
-        scored = state.join(fits, self.on, "left").select(*kept, *self.personal, self.pulls)
-        # The comparison needs a group together; the arithmetic does not, and one group may be all there is.
-        led = scored.select("*", *self.lead, met).repartition(*self.on)
-        moved = led.select(*[c for c in kept if c != "vel"], "lead", "lead_fit", "pbest", "pbest_fit", self.velocity)
-        return moved.select(*[self.final[c].alias(c) if c in self.final else c for c in state.columns])
+        return moved.select(*[final[c].alias(c) if c in final else c for c in state.columns])
 
 
 def with_leaders(swarm: DataFrame) -> DataFrame:
@@ -122,11 +141,10 @@ def with_leaders(swarm: DataFrame) -> DataFrame:
 
 def train_runs(table: PackedTable, runs: list[dict], group: list[str], network: Network, loss: str,
                settings: SwarmSettings, decision: str = "threshold", draw: Draw = hashed,
-               broadcast_bytes: int = BROADCAST_BYTES, small_group_rows: int = 0) -> Trained:
+               broadcast_bytes: int = BROADCAST_BYTES) -> Trained:
     """Train every run of ``runs`` (``run_id, iters, parts, tier, rows``) on every group, side by side.
 
-    The blocks carry ``tier``; a run sees the blocks of its own and all lower tiers.  Groups of at most
-    ``small_group_rows`` rows are trained in one task each; all others advance by generations.
+    The blocks carry ``tier``; a run sees the blocks of its own and all lower tiers.
     """
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
@@ -147,37 +165,24 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
     )
     swarm = init_swarm(seats, keys, F.col("parts"), width, settings.init_range, settings.seed, draw, group,
                        spread=True)
-    small = F.col("n_rows") <= small_group_rows
-    n_large = present.where(~small).count() if small_group_rows else table.n_groups
-    n_small = table.n_groups - n_large
-    found = []
-    blocks = table.blocks
-    if n_small > 0 and small_group_rows:
-        few = blocks
-        if n_large:
-            large = present.where(~small).select(*group)
-            if 64 * n_large <= broadcast_bytes:
-                large = F.broadcast(large)  # counted above
-            few, blocks = few.join(large, group, "left_anti"), blocks.join(large, group, "left_semi")
-        net = net_arguments(network, table.n_inputs)
-        found.append(scratch.store(
-            train_small_groups(few, swarm.where(small), group, net, loss, decision, settings, draw, n_small),
-            "small-groups",
-        ))
-    if n_large:
-        swarm_bytes = 8 * width * n_large * sum(r["parts"] * (r["tier"] + 1) for r in runs)
-        if swarm_bytes > broadcast_bytes and blocks is table.blocks:
-            table.partition_for_joins()
-            blocks = table.blocks
-        state = _advance(scratch, swarm.where(~small), blocks, table, runs, group, keys, network, loss, settings,
-                         decision, draw, swarm_bytes, broadcast_bytes)
-        leaders = state.where(F.col("pid") == LEADER).select(*keys, "pbest", "pbest_fit", "history")
-        found.append(scratch.store(leaders, "leaders"))
-    final = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    n_groups = present.count()
+    swarm_bytes = 8 * width * n_groups * sum(r["parts"] * (r["tier"] + 1) for r in runs)
+    if swarm_bytes > broadcast_bytes:
+        table.partition_for_joins()
+    state = _advance(scratch, swarm, table, runs, group, keys, network, loss, settings, decision, draw, swarm_bytes,
+                     broadcast_bytes)
+    leaders = state.where(F.col("pid") == LEADER).select(*keys, "pbest", "pbest_fit", "history")
+    final = scratch.store(leaders, "leaders")
+    scratch.drop("groups", *[n for n in scratch.names() if n.startswith(("generation", "judged"))])
     seconds = time.perf_counter() - began
-    record = spark.createDataFrame(
-        [(r["run_id"], r["iters"], r["parts"], r["rows"], "train_seconds", seconds) for r in runs],
-        "run_id string, iters int, parts int, rows long, metric string, value double",
+    facts = spark.createDataFrame(
+        [(r["run_id"], r["iters"], r["parts"], r["rows"], seconds) for r in runs],
+        "run_id string, iters int, parts int, rows long, seconds double",
+    )
+    error = final.groupBy("run_id").agg(F.avg("pbest_fit").alias("error"))
+    record = facts.join(error, "run_id", "left").select(
+        "run_id", "iters", "parts", "rows",
+        F.explode(F.create_map(F.lit("train_seconds"), "seconds", F.lit(f"train_{loss}"), "error")).alias("metric", "value"),
     )
     return Trained(
         weights=final.select(*keys, F.col("pbest").alias("pos"), F.col("pbest_fit").alias("fit")),
@@ -186,25 +191,25 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
         seconds=seconds,
         n_inputs=table.n_inputs,
         network=network,
+        scratch=scratch,
     )
 
 
-def _advance(scratch, swarm, blocks, table, runs, group, keys, network, loss, settings, decision, draw, swarm_bytes,
+def _advance(scratch, swarm, table, runs, group, keys, network, loss, settings, decision, draw, swarm_bytes,
              broadcast_bytes) -> DataFrame:
-    """The state after the last generation.  Each generation is one job that ends in a stored table."""
+    """The state after the last generation.  Each generation ends in a stored table."""
     state = scratch.store(with_leaders(swarm).drop("parts", "n_rows"), "generation-0")
     top_tier = max(r["tier"] for r in runs)
-    advance = Generation(keys, settings, draw, group)
+    small = swarm_bytes <= broadcast_bytes  # what is broadcast beside the swarm is smaller than the swarm
+    advance = Generation(keys, settings, draw, group, small)
     for step in range(1, max(r["iters"] for r in runs) + 1):
         active = state.where(F.col("iters") >= step) if len(runs) > 1 else state
         particles = active.where(F.col("pid") != LEADER)
         if top_tier:
             particles = particles.withColumn("tier", F.explode(F.sequence(F.lit(0), F.col("tier"))))
-        fits = fitness(blocks, particles, [*group, "tier"], keys, network, table.n_inputs, loss, swarm_bytes,
+        fits = fitness(table.blocks, particles, [*group, "tier"], keys, network, table.n_inputs, loss, swarm_bytes,
                        table.hot, decision, broadcast_bytes)
-        if swarm_bytes <= broadcast_bytes:
-            fits = F.broadcast(fits)  # one number per particle: smaller than the swarm checked above
-        after = advance(active, fits, first=step == 1)
+        after = advance(active, fits, step == 1, lambda df: scratch.store(df, f"judged-{step % 2}"))
         if len(runs) > 1:
             after = after.unionByName(state.where(F.col("iters") < step))
         state = scratch.store(after, f"generation-{step % 2 + 1}")
@@ -214,11 +219,10 @@ def _advance(scratch, swarm, blocks, table, runs, group, keys, network, loss, se
 def fit(df: DataFrame, group: list[str], network: Network = REGRESSOR, loss: str = "mse",
         settings: SwarmSettings = SwarmSettings(), x: str = "x", y: str = "y", run_id: str = "run",
         decision: str = "threshold", draw: Draw = hashed, broadcast_bytes: int = BROADCAST_BYTES,
-        small_group_rows: int = 0, **changes) -> Trained:
-    """Train one network per value of ``group`` on all rows of ``df``.
+        **changes) -> Trained:
+    """Train one network per value of ``group`` on all rows of ``df``; a null group stops the training.
 
-    With ``small_group_rows`` groups of at most that many rows train in one task each, which pays when
-    there are many; bigger groups, and all groups by default, stay spread over the cluster.  Keyword ``changes`` override single settings, for example ``iterations=20``.
+    Keyword ``changes`` override single settings, for example ``iterations=20``.
     """
     settings = replace(settings, **changes)
     table = PackedTable(
@@ -227,7 +231,6 @@ def fit(df: DataFrame, group: list[str], network: Network = REGRESSOR, loss: str
     try:
         run = {"run_id": run_id, "iters": settings.iterations, "parts": settings.particles, "tier": 0,
                "rows": table.n_rows}
-        return train_runs(table, [run], group, network, loss, settings, decision, draw, broadcast_bytes,
-                          small_group_rows)
+        return train_runs(table, [run], group, network, loss, settings, decision, draw, broadcast_bytes)
     finally:
         table.close()

@@ -15,8 +15,8 @@ _LOCAL_ROOTS: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir`` or set as checkpoint folder; a temporary one only on a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
@@ -33,10 +33,22 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{scratch_root(spark).rstrip('/')}/murmuration-{uuid.uuid4().hex}"
+        self._names: dict[str, None] = {}
 
     def path(self, name: str) -> str:
+        self._names[name] = None
         return f"{self.folder}/{name}"
 
+    def names(self) -> list[str]:
+        return list(self._names)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables by name, or all of them; what still reads them can no longer run."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for path in [f"{self.folder}/{n}" for n in names] or [self.folder]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` (replacing a table of that name) and return a scan of what was written.
 

@@ -10,7 +10,7 @@ from murmuration.functions import calendar, scalar, vectors
 from murmuration.functions.draws import drawn_vector, hashed
 from murmuration.functions.forward import forward
 from murmuration.network import CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
-from murmuration.operators import clean, encode
+from murmuration.operators import clean, encode, metrics
 from murmuration.operators.kernels import network_outputs
 
 
@@ -73,6 +73,9 @@ def test_vocabulary_is_checked(spark):
     df = spark.range(50).select("id", F.col("id").cast("string").alias("v"))
     with pytest.raises(PySparkException):
         encode.vocabulary(df, "v", "id", max_size=10).collect()
+    assert len(encode.vocabulary(df, "v", "id").first().words) == 50
+    many = spark.range(20_000).select("id", F.col("id").cast("string").alias("v"))
+    assert len(encode.vocabularies(many, ["v"], "id").first().v) == 20_000
 
 
 def test_cut_append_dot(spark):
@@ -154,20 +157,36 @@ def test_bad_number_stops(spark):
         df.select(F.col("c").cast("double")).collect()
 
 
-def test_first_rows_large_limit(spark, monkeypatch):
-    df = spark.range(20_000).select(((F.col("id") * 7919) % 1_000_003).alias("row_id"))
-    expected = sorted(r.row_id for r in df.collect())
-    monkeypatch.setattr(clean, "SORTED_LIMIT", 50)
-    for n in (60, 777, 19_999, 20_000, 30_000):
-        assert sorted(r.row_id for r in clean.first_rows(df, n).collect()) == expected[:n]
-
-
-def test_training_table_checks(spark):
-    good = spark.createDataFrame([([1.0, 2.0], 1.0)], "x array<double>, y double")
-    assert clean.check_training_table(good) == 2
-    for rows in ([], [([1.0], 1.0), ([1.0, 2.0], 1.0)], [(None, 1.0)], [([1.0], None)]):
-        with pytest.raises(ValueError):
-            clean.check_training_table(spark.createDataFrame(rows, "x array<double>, y double"))
+@pytest.mark.parametrize("n", [1, 60, 99_999, 150_000, 260_000, 400_000])
+def test_first_rows_of_any_number(spark, n):
+    """Unknown keys come first, many keys are equal, a dominating one among them, some rows are equal altogether."""
+    k = F.col("id")
+    key = F.when(k % 50 == 0, None).when(k % 2 == 0, 7).otherwise((k * 7919) % 1_003)
+    df = spark.range(300_000).select(key.cast("int").alias("key"), (k % 11).alias("other")).cache()
+    counts = {tuple(r)[0]: r["count"] for r in df.groupBy("key").count().collect()}
+    got = {tuple(r)[0]: r["count"] for r in clean.first_rows(df, n, "key").groupBy("key").count().collect()}
+    left, expected = n, {}
+    for value in sorted(counts, key=lambda v: (v is not None, v or 0)):
+        if take := min(left, counts[value]):
+            expected[value] = take
+        left -= take
+    assert got == expected
+
+
+def test_first_rows_of_texts(spark):
+    df = spark.range(200_000).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("key"))
+    assert clean.first_rows(df, 120_000, "key").agg(F.max("key"), F.count("*")).first()[:] == ("000119999", 120_000)
+
+
+def test_unknown_probabilities_stay_unknown(spark):
+    df = spark.createDataFrame([(1.0, 0.5), (1.0, None)], "real double, score double")
+    assert metrics.cross_entropy(df).first().bce == pytest.approx(0.6931471805599453)
+    assert one(spark, scalar.clip_probability(F.lit(None).cast("double"))) is None
+    assert one(spark, scalar.clip_probability(F.lit(float("nan")))) != one(spark, scalar.clip_probability(F.lit(1.0)))
+    ranked = spark.createDataFrame([(1.0, 0.9), (0.0, 0.1), (1.0, None), (None, 0.5)], "real double, score double")
+    for mode, value in (("rank", 1.0), ("literal", 0.5)):
+        found = metrics.auc(ranked, mode=mode).first()
+        assert (found.positives, found.auc) == (1, value)
 
 
 def test_leading_features(spark):

@@ -154,6 +154,40 @@ def test_wrong_weight_length_stops(spark, smoker_file):
         predict(table, weights, ["grp"], CLASSIFIER, 68).collect()
 
 
+def test_rows_follow_the_files_by_name_whatever_their_size(spark, tmp_path):
+    (tmp_path / "part-a.csv").write_text("h,i\n" + "".join(f"a{k},\"x\n" for k in range(3)))
+    (tmp_path / "part-b.csv").write_text("h,i\n" + "".join(f"b{k},y\"\n" for k in range(30_000)))
+    rows = text.read_delimited(spark, str(tmp_path), ["c", "d"]).orderBy("row_id").limit(6).collect()
+    assert [tuple(r)[:2] for r in rows] == [("a0", '"x'), ("a1", '"x'), ("a2", '"x'), ("b0", 'y"'), ("b1", 'y"'), ("b2", 'y"')]
+
+
+def test_every_comma_parts_cells_and_surplus_cells_are_noticed(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('h,i\n1,"x,y"\n2\n')
+    with pytest.raises(PySparkException, match="more cells"):
+        text.read_delimited(spark, str(path), ["c", "d"]).collect()
+    got = text.read_delimited(spark, str(path), ["c", "d"], surplus="ignore").orderBy("row_id").collect()
+    assert [tuple(r)[:2] for r in got] == [("1", '"x'), ("2", None)]
+
+
+def test_hours_are_those_of_the_text(spark):
+    raw = spark.createDataFrame([(0, "k", "1.0", "k", "2.0", "2021-03-28 02:30")], ["row_id", *DEMAND_COLUMNS])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Madrid")
+    try:
+        row = demand_table(raw).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert row.grp == 2 and row.x[:13] == [0.0] * 6 + [1.0] + [0.0] * 3 + [1.0] + [0.0] * 2
+
+
+def test_health_table_leaves_blank_rows_out(spark):
+    schema = "row_id long, left string, right string, caries string, a string, b string, smoker string"
+    rows = [(1, " ", "1", "Y", "1", "2", "1"), (2, "2", "1", "N", "1", "2", "0"), (3, "2", "1", "Y", "", "2", "0")]
+    table = health_table(spark.createDataFrame(rows, schema), "smoker", ("left", "right"), "caries", ["a"], ["b"])
+    assert [(r.row_id, r.x) for r in table.collect()] == [(2, [1.0, 1.0, 1.0, 1.0, 2.0])]
+
+
 def test_health_table(spark):
     rows = [(i, "1" if i % 3 else "2", "1", "Y" if i % 2 else "N", float(i), float(10 * i), str(i % 2)) for i in range(1, 5)]
     raw = spark.createDataFrame(rows, "row_id long, left string, right string, caries string, a double, b double, smoker string")
@@ -174,7 +208,7 @@ def test_scratch_reads_the_session_setting(spark):
 
 def test_scratch_without_setting():
     def session(master):
-        context = SimpleNamespace(master=master, applicationId="app-1")
+        context = SimpleNamespace(master=master, applicationId="app-1", getCheckpointDir=lambda: None)
         return SimpleNamespace(conf={}, sparkContext=context)
 
     folder = scratch_root(session("local[2]"))

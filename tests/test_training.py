@@ -9,12 +9,13 @@ from murmuration import Network, SwarmSettings, evaluate, fit, sweep
 from murmuration.functions.draws import lattice
 from murmuration.functions.forward import forward
 from murmuration.network import CLASSIFIER, REGRESSOR
-from murmuration.operators.blocks import PackedTable, cluster_rows, pack_blocks
-from murmuration.operators.fitness import fitness
+from murmuration.operators.blocks import PackedTable, block_rows, cluster_rows, pack_blocks
+from murmuration.operators.fitness import CHUNK_BYTES, fitness
 from murmuration.operators.score import predict
 from murmuration.operators.swarm import attach_best, global_best, init_swarm, move, update_personal
 from murmuration.sources.scratch import Scratch
 from murmuration.plans.sweep import compare_curves, stack_curves
+from murmuration.plans.train import Generation, with_leaders
 
 NET = Network(hidden="tanh", output="linear", n_hidden=3)
 
@@ -112,7 +113,7 @@ def test_sharded_join_equals_broadcast(rows, loss):
 def test_sharded_prediction_equals_broadcast(rows):
     weights = swarm_of(rows, 1).where("grp <> 2")
     plain = predict(rows, weights, ["grp"], NET, 3)
-    split = predict(rows, weights, ["grp"], NET, 3, broadcast_bytes=0, rows=10)
+    split = predict(rows, weights, ["grp"], NET, 3, broadcast_bytes=0)
     a, b = ({r.row_id: r.predicted for r in df.collect()} for df in (plain, split))
     assert a == b and len(a) == 900
     nulls = {r.row_id for r in rows.where("grp = 2").collect()}
@@ -221,10 +222,9 @@ def loop_training(x, y, group, settings, per_particle):
 
 
 @pytest.mark.parametrize("update", ["sync", "async"])
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_training_equals_nested_loops(rows, update, small):
+def test_training_equals_nested_loops(rows, update):
     settings = SwarmSettings(particles=9, iterations=6, v_max=0.5, pos_max=2.0, init_range=1.5, update=update)
-    trained = fit(rows, ["grp"], NET, "mse", settings, draw=lattice, small_group_rows=small)
+    trained = fit(rows, ["grp"], NET, "mse", settings, draw=lattice)
     weights = {r.grp: r for r in trained.weights.collect()}
     curves = trained.curve.collect()
     for group in range(4):
@@ -243,23 +243,57 @@ def test_training_does_not_depend_on_partitions(rows):
     assert found[0] == found[1] == found[2] == found[3]
 
 
-@pytest.mark.parametrize("update,loss", [("sync", "auc"), ("async", "mse"), ("async", "f1"), ("sync", "error")])
-def test_small_groups_train_alike(rows, update, loss):
-    """Groups of 100 rows train in one task, the group of 600 by generations; as if all went by generations."""
-    net = Network(hidden="relu", output="sigmoid", n_hidden=3)
-    labelled = rows.withColumn("y", (F.col("y") > 0).cast("double"))
-    settings = SwarmSettings(particles=5, iterations=3, v_max=0.5, pos_max=2.0, init_range=1.5, update=update)
-    whole, split = (
-        fit(labelled, ["grp"], net, loss, settings, small_group_rows=n, draw=lattice) for n in (0, 100)
-    )
-    a, b = ({r.grp: r for r in t.weights.collect()} for t in (whole, split))
-    assert a.keys() == b.keys() == {0, 1, 2, 3}
-    for g in a:
-        assert a[g].fit == pytest.approx(b[g].fit, rel=1e-9) and a[g].pos == pytest.approx(b[g].pos, rel=1e-9)
-    one, two = ({(r.grp, r.iter): r.best_fitness for r in t.curve.collect()} for t in (whole, split))
-    assert one.keys() == two.keys()
-    for key in one:
-        assert one[key] == pytest.approx(two[key], rel=1e-9)
+@pytest.mark.parametrize("update", ["sync", "async"])
+def test_generations_move_no_whole_particles(rows, update):
+    """Windows carry who is best, exchanges carry narrow rows or the few record holders."""
+    advance = Generation(["grp"], SwarmSettings(update=update))
+    state = Scratch(rows.sparkSession).store(with_leaders(swarm_of(rows)), "state")
+    fits = Scratch(rows.sparkSession).store(state.select("grp", "pid", F.lit(1.0).alias("fit")), "fits")
+    plan = advance(state, fits, False)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Window" in line or "Exchange hashpartitioning" in line:
+            assert not any(f"{c}#" in line for c in ("pos", "vel", "pbest"))
+    assert "Exchange hashpartitioning(grp" in plan
+
+
+def test_null_groups_and_features_that_are_no_numbers_stop(spark):
+    schema = "row_id long, grp int, x array<double>, y double"
+    with pytest.raises(ValueError, match="null group"):
+        fit(spark.createDataFrame([(0, None, [1.0], 1.0), (1, 1, [1.0], 1.0)], schema), ["grp"], particles=2, iterations=1)
+    with pytest.raises(PySparkException, match="NaN"):
+        fit(spark.createDataFrame([(0, 1, [float("nan")], 1.0)], schema), ["grp"], particles=2, iterations=1)
+
+
+def test_blocks_outweigh_the_particles_beside_them():
+    """What goes to Python in a generation is at most half as much again as the rows."""
+    for width in (14, 64, 1000):
+        assert 8 * (width + 1) * block_rows(width) + CHUNK_BYTES <= 1.5 * 8 * (width + 1) * block_rows(width)
+
+
+def test_stored_tables_can_be_dropped(rows):
+    import os
+
+    trained = fit(rows, ["grp"], NET, "mse", particles=3, iterations=2)
+    assert {t for t in os.listdir(trained.scratch.folder) if not t.startswith(".")} == {"leaders"}
+    errors = {r.metric: r.value for r in trained.runs.collect()}
+    assert errors["train_mse"] == pytest.approx(trained.weights.agg(F.avg("fit")).first()[0]) and errors["train_seconds"] > 0
+    trained.close()
+    assert not os.path.exists(trained.scratch.folder)
+
+
+@pytest.mark.parametrize("broadcast_bytes", [10**9, 0])
+def test_scoring_without_targets(rows, broadcast_bytes):
+    model = swarm_of(rows, 1).where("grp < 3").select("grp", "pos")
+    named = rows.select(F.concat(F.lit("r"), "row_id").alias("name"), "grp", "x", F.col("y").alias("extra")).unionByName(
+        rows.sparkSession.createDataFrame([("null", 0, None, 1.0), ("no group", None, [1.0, 1.0, 1.0], 1.0)],
+                                          "name string, grp int, x array<double>, extra double"))
+    got = predict(named, model, ["grp"], NET, 3, y=None, row_id="name", keep=["extra"], broadcast_bytes=broadcast_bytes)
+    assert got.columns == ["grp", "row_id", "extra", "predicted"]
+    found = {r.row_id: r for r in got.collect()}
+    real = {r.row_id: r.predicted for r in predict(rows, model, ["grp"], NET, 3).collect()}
+    assert len(found) == 902 and found["null"].predicted is None and found["no group"].predicted is None
+    assert all(found[f"r{k}"].predicted == p for k, p in real.items())
+    assert sum(p is None for p in real.values()) == rows.where("grp = 3").count()
 
 
 def test_curves_never_rise_and_training_helps(rows):
@@ -269,7 +303,7 @@ def test_curves_never_rise_and_training_helps(rows):
         curve = [r.best_fitness for r in trained.curve.where(F.col("grp") == group).orderBy("iter").collect()]
         assert len(curve) == 15 and curve == sorted(curve, reverse=True)
         assert curve[-1] < 0.5 * np.var(arrays(rows, group)[1])
-    record = trained.runs.first()
+    record = trained.runs.where("metric = 'train_seconds'").first()
     assert (record.iters, record.parts, record.rows) == (15, 20, 900) and record.value > 0
     mse = evaluate(rows, trained.weights.drop("run_id"), ["grp"], "mse", 3, NET, by_group=True).collect()
     fits = {r.grp: r.fit for r in trained.weights.collect()}
@@ -308,7 +342,7 @@ def test_sweep_equals_single_trainings(rows):
     settings = SwarmSettings(v_max=0.5, init_range=1.0)
     swept = sweep(rows, ["grp"], [300, 700, None], [2, 4], [3, 5], NET, "mse", settings)
     weights = {(r.run_id, r.grp): r for r in swept.weights.collect()}
-    assert len(swept.runs.collect()) == 12
+    assert len(swept.runs.collect()) == 24
     for n in (300, 700, None):
         part = rows if n is None else rows.where(F.col("row_id") < n)
         for iterations, particles in ((2, 5), (4, 3)):
@@ -316,11 +350,6 @@ def test_sweep_equals_single_trainings(rows):
             for r in alone.weights.collect():
                 mine = weights[(f"rows={n or 'all'},iters={iterations},parts={particles}", r.grp)]
                 assert mine.fit == pytest.approx(r.fit, rel=1e-9) and mine.pos == pytest.approx(r.pos, rel=1e-9)
-    in_tasks = sweep(rows, ["grp"], [300, 700, None], [2, 4], [3, 5], NET, "mse", settings, small_group_rows=10**6)
-    for r in in_tasks.weights.collect():
-        mine = weights.pop((r.run_id, r.grp))
-        assert mine.fit == pytest.approx(r.fit, rel=1e-9) and mine.pos == pytest.approx(r.pos, rel=1e-9)
-    assert not weights
     lengths = swept.curve.groupBy("run_id", "grp").count().collect()
     assert all(r["count"] == int(r.run_id.split("iters=")[1][0]) for r in lengths)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +49,9 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).withColumn(
-        "line", F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+        "line",  # the four keys as one number, in their order
+        (F.col("l_orderkey").cast("decimal(38,0)") * F.lit(Decimal(10**22)) + F.col("l_partkey") * F.lit(Decimal(10**12))
+         + F.col("l_suppkey") * F.lit(10**2) + F.col("l_linenumber")).cast("decimal(38,0)"),
     )
 
 

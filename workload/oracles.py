@@ -51,16 +51,6 @@ def net(x, w, d, h, hidden, output="identity") -> str:
     return act(total, output)
 
 
-def net2(x, w, d, h) -> str:
-    one = act(f"list_dot_product({x}, {w}[j * {d} + 1 : (j + 1) * {d}])", "relu")
-    first = f"list_transform(range(0, {h}), lambda j: {one})"
-    return first, (
-        f"list_sum(list_transform(range(0, {h}), lambda j: "
-        + act(f"list_dot_product(z, {w}[{d * h} + j * {h} + 1 : {d * h} + (j + 1) * {h}])", "relu")
-        + f" * {w}[{d * h + h * h} + j + 1]))"
-    )
-
-
 E = f"""e AS MATERIALIZED (
   SELECT event_id AS row_id, CAST(hour(ts) AS INTEGER) AS grp,
          list_concat(list_concat(
@@ -92,6 +82,12 @@ CW = (
     " FROM (SELECT DISTINCT grp FROM c))"
 )
 CP = by_neuron("cp", "c", "cw", "w", CD, CH, "relu", "sigmoid")
+THIRDS = (
+    C + f""",
+c3 AS MATERIALIZED (SELECT row_id, CAST(row_id % 3 AS INTEGER) AS grp, x, y FROM c),
+w3 AS MATERIALIZED (SELECT grp, 0 AS pid, {drawn(CH * (CD + 1), 0.5, 0, 'grp')} AS w
+  FROM (SELECT DISTINCT grp FROM c3 WHERE grp < 2))"""
+)
 L = "l AS (SELECT doc_id AS row_id, CAST(quality AS DOUBLE) AS y, CAST(toxic AS DOUBLE) AS p FROM labels)"
 DECIDED = "CASE WHEN s < 0.5e0 THEN 0e0 ELSE 1e0 END"
 
@@ -310,11 +306,17 @@ FROM (SELECT *, min(fit) OVER (PARTITION BY algo, grp) AS low FROM k) GROUP BY a
 
 
 def _two_layer() -> str:
-    h = 16
-    first, rest = net2("x", "w", CD, h)
+    """Both hidden layers as tables of neurons; quick for wide networks."""
+    h = CH
     weights = f"w2 AS MATERIALIZED (SELECT grp, {drawn(h * (CD + h + 1), 0.5, 0, 'grp')} AS w FROM (SELECT DISTINCT grp FROM c))"
-    hidden = f"z2 AS MATERIALIZED (SELECT row_id, w, {first} AS z FROM c JOIN w2 ON c.grp = w2.grp)"
-    return with_(C, weights, hidden) + f"SELECT row_id, {r6(rest)} AS predicted FROM z2"
+    neurons = f"""n1 AS MATERIALIZED (SELECT grp, j, w[j * {CD} + 1 : (j + 1) * {CD}] AS wj FROM w2, range({h}) AS r(j)),
+n2 AS MATERIALIZED (SELECT grp, w[{CD * h} + j * {h} + 1 : {CD * h} + (j + 1) * {h}] AS wj,
+  w[{CD * h + h * h} + j + 1] AS vj FROM w2, range({h}) AS r(j))"""
+    first = f"""z1 AS MATERIALIZED (SELECT c.grp, row_id, list({act('list_dot_product(x, wj)', 'relu')} ORDER BY j) AS z
+  FROM c JOIN n1 ON c.grp = n1.grp GROUP BY c.grp, row_id)"""
+    second = f"sum({act('list_dot_product(z, wj)', 'relu')} * vj)"
+    return with_(C, weights, neurons, first) + f"""SELECT row_id, {r6(second)} AS predicted
+FROM z1 JOIN n2 ON z1.grp = n2.grp GROUP BY row_id"""
 
 
 def oracles() -> dict[str, str]:
@@ -344,6 +346,12 @@ def oracles() -> dict[str, str]:
     return {
         "clean_limit": """SELECT c_custkey AS row_id, c_acctbal AS balance FROM customer
 WHERE c_mktsegment <> 'HOUSEHOLD' AND c_acctbal IS NOT NULL ORDER BY c_custkey LIMIT 500""",
+        "limit_large": """SELECT day, count(*) AS n_rows FROM (
+  SELECT CASE WHEN l_returnflag <> 'A' THEN strftime(l_shipdate, '%Y-%m-%d') END AS day FROM lineitem
+  ORDER BY day NULLS FIRST LIMIT (SELECT count(*) // 3 FROM lineitem)) GROUP BY day""",
+        "leading_columns": """SELECT c_custkey, c_mktsegment AS label, k, CAST([c_custkey, c_nationkey, c_acctbal][k + 1] AS DOUBLE) AS v
+FROM customer, range(3) AS r(k)""",
+        "fixed_decimals": "SELECT event_id, printf('%.16f', floor(value) / 8e0) AS text FROM events",
         "label_decode": "SELECT doc_id, CASE quality WHEN 0 THEN 0e0 WHEN 1 THEN 1e0 END AS y FROM labels",
         "calendar_parts": """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H:%M:%S') AS time,
   strftime(ts, '%H') AS hour, strftime(ts, '%M') AS minute, upper(dayname(ts)) AS weekday,
@@ -385,10 +393,21 @@ FROM (SELECT event_id, (value - 100e0) / 50e0 AS v FROM events)""",
   {r6(f1_of(*pair_confusion))} AS f1 FROM l""",
         "bce": with_(C, CW, CP) + f"SELECT {r6(entropy)} AS bce FROM cp",
         "auc": with_(C, CW, CP) + f"SELECT positives, negatives, {r6('auc')} AS auc FROM {auc_of('cp', [])}",
-        "auc_hourly": with_(E, EW, EP, "h AS (SELECT grp, CASE WHEN y > 1 THEN 1 ELSE 0 END AS y, round(p, 1) + 0e0 AS s FROM ep)")
+        "auc_hourly": with_(E, EW, EP, "h AS (SELECT grp, CASE WHEN y > 1 THEN 1 ELSE 0 END AS y, round(p, 9) + 0e0 AS s FROM ep)")
         + f"SELECT grp, positives, negatives, {r6('auc')} AS auc FROM {auc_of('h', ['grp'])}",
         "auc_literal": with_(C) + """SELECT count(*) FILTER (y = 1) AS positives, count(*) FILTER (y <> 1) AS negatives,
   round(1e0 / (2 * count(*) FILTER (y <> 1)), 9) AS auc FROM c""",
+        "predict_unlabelled": with_(THIRDS, by_neuron("u", "c3", "w3", "w", CD, CH, "relu", "sigmoid"))
+        + f"SELECT c3.grp, 'v' || c3.row_id AS name, {r6('s')} AS predicted FROM c3 LEFT JOIN u USING (row_id)",
+        "evaluate_bce": with_(THIRDS, by_neuron("u", "c3", "w3", "w", CD, CH, "relu", "sigmoid"))
+        + f"SELECT {r6(entropy)} AS bce FROM u",
+        "evaluate_limit": with_(C, CW, CP, "f AS (SELECT * FROM cp ORDER BY row_id LIMIT 100)")
+        + f"SELECT {r6(f'avg(CASE WHEN y = {DECIDED} THEN 0e0 ELSE 1e0 END)')} AS loss FROM f",
+        "report_lines": with_(E, EW, EP) + """SELECT grp AS hour, 1 AS part, row_id,
+  printf('%.16f', floor(y)) || ' ' || printf('%.16f', floor(p)) AS line FROM ep
+UNION ALL SELECT DISTINCT grp, 0, -1, lpad(CAST(grp AS VARCHAR), 2, '0') || ':00' FROM ep""",
+        "model_lines": with_(E) + f"""SELECT grp, array_to_string(list_transform({drawn(SMALL_W, 0.5, 0, 'grp')},
+  lambda w: CAST(floor(w * 8e0) / 8e0 AS VARCHAR)), ', ') AS line FROM (SELECT DISTINCT grp FROM e)""",
         "summary": with_(C, CW, CP) + f"""SELECT count(*) AS n_rows, count(*) FILTER (y = 1) AS real_ones,
   count(*) FILTER ({DECIDED} = 1) AS predicted_ones,
   {r6(f"1e0 - avg(CASE WHEN y = {DECIDED} THEN 1e0 ELSE 0e0 END)")} AS error,

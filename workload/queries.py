@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from murmuration.functions import calendar, scalar, vectors as vec
 from murmuration.functions.draws import drawn_vector, lattice
 from murmuration.functions.forward import forward
-from murmuration.network import CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
+from murmuration.network import CLASSIFIER, DEEP_CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
 from murmuration.operators import clean, encode, metrics
 from murmuration.operators.blocks import pack_blocks
 from murmuration.operators.fitness import fitness
-from murmuration.operators.score import predict, predict_expression
+from murmuration.operators.score import predict
 from murmuration.operators.swarm import (
     LEADER,
     attach_best,
@@ -26,6 +26,8 @@ from murmuration.operators.swarm import (
 from murmuration.plans.evaluate import evaluate
 from murmuration.plans.sweep import compare_curves, monotone_curve, stack_curves, sweep
 from murmuration.plans.train import Generation, SwarmSettings, fit, with_leaders
+from murmuration.sources import sinks
+from murmuration.sources.scratch import Scratch
 from workload.bindings import (
     DEMAND_INPUTS,
     VECTOR_INPUTS,
@@ -42,7 +44,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Small networks and swarms for the queries that SQL repeats step by step.
 SMALL = Network(hidden="tanh", output="linear", n_hidden=3)
 SMALL_LINEAR = Network(hidden="identity", output="linear", n_hidden=3)
-SMALL_DEEP = Network(hidden="relu", output="linear", layers=2, n_hidden=16)
 SMALL_WEIGHTS = SMALL.n_weights(DEMAND_INPUTS)
 PARTICLES = 6
 ITERATIONS = 4
@@ -54,7 +55,6 @@ PERSONAL = SwarmSettings(particles=PARTICLES, iterations=ITERATIONS, v_max=0.48,
 CLASS_SWARM = SwarmSettings(particles=PARTICLES, iterations=ITERATIONS, c1=3.5, c2=1.8, v_max=0.1, pos_max=1.0,
                             init_range=1.0)
 SMALL_CLASSIFIER = Network(hidden="relu", output="sigmoid", n_hidden=4)
-SMALL_GROUP_ROWS = 100_000  # bigger hours would stay spread over the cluster
 SWEEP_ROWS = [5000, None]
 SWEEP_ITERATIONS = [2, 3]
 SWEEP_PARTICLES = [4, 6]
@@ -89,6 +89,27 @@ def clean_limit(spark, sf_dir):
     return kept.select("row_id", F.col("balance").cast("double").alias("balance"))
 
 
+def limit_large(spark, sf_dir):
+    """The first third of all order lines by ship date: unknown dates come first, dates repeat, the limit is large."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+        F.when(F.col("l_returnflag") != "A", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("day"),
+    )
+    first = clean.first_rows(lines, lines.count() // 3, "day")
+    return first.groupBy("day").agg(F.count("*").alias("n_rows"))
+
+
+def leading_columns(spark, sf_dir):
+    """The first three columns as features, the fourth as label."""
+    lines = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    x, label = clean.leading_features(lines, 3)
+    return spelled(lines.select("c_custkey", label.alias("label"), x.alias("x")), ["c_custkey", "label"], {"v": "x"})
+
+
+def fixed_decimals(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalar.fixed16(F.floor("value") / F.lit(8.0)).alias("text"))
+
+
 def label_decode(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     return labels.select("doc_id", clean.decode_label(F.col("quality").cast("string")).alias("y"))
@@ -180,7 +201,7 @@ def activations(spark, sf_dir):
 def _forward(data_of, network, n_inputs, limit):
     def query(spark, sf_dir):
         data = data_of(spark, sf_dir)
-        scored = predict_expression(data, lattice_weights(data, network, n_inputs, limit), ["grp"], network, n_inputs)
+        scored = predict(data, lattice_weights(data, network, n_inputs, limit), ["grp"], network, n_inputs, y=None)
         return scored.select("row_id", r6(F.col("predicted")).alias("predicted"))
 
     return query
@@ -189,14 +210,13 @@ def _forward(data_of, network, n_inputs, limit):
 def _demand_scores(spark, sf_dir):
     data = demand(spark, sf_dir)
     weights = lattice_weights(data, REGRESSOR, DEMAND_INPUTS, 0.5)
-    return predict(data, weights, ["grp"], REGRESSOR, DEMAND_INPUTS, weight_bytes=24 * 8 * 390)
+    return predict(data, weights, ["grp"], REGRESSOR, DEMAND_INPUTS)
 
 
 def _vector_scores(spark, sf_dir):
     data = vectors(spark, sf_dir)
     weights = lattice_weights(data, CLASSIFIER, VECTOR_INPUTS, 0.5)
-    bytes_ = 8 * CLASSIFIER.n_weights(VECTOR_INPUTS)
-    return predict(data, weights, ["grp"], CLASSIFIER, VECTOR_INPUTS, weight_bytes=bytes_, decide_at=0.5)
+    return predict(data, weights, ["grp"], CLASSIFIER, VECTOR_INPUTS, decide_at=0.5)
 
 
 def hourly_predict(spark, sf_dir):
@@ -208,6 +228,48 @@ def class_predict(spark, sf_dir):
     return _vector_scores(spark, sf_dir).select("row_id", "real", r6(F.col("score")).alias("score"), "predicted")
 
 
+def predict_unlabelled(spark, sf_dir):
+    """Scores of rows without targets, known by a text; one class of rows has no model."""
+    data = vectors(spark, sf_dir).select(
+        F.concat(F.lit("v"), F.col("row_id").cast("string")).alias("name"), "x", (F.col("row_id") % 3).cast("int").alias("grp")
+    )
+    weights = lattice_weights(data.where("grp < 2"), CLASSIFIER, VECTOR_INPUTS, 0.5)
+    scored = predict(data, weights, ["grp"], CLASSIFIER, VECTOR_INPUTS, y=None, row_id="name")
+    return scored.select("grp", F.col("row_id").alias("name"), r6(F.col("predicted")).alias("predicted"))
+
+
+def evaluate_bce(spark, sf_dir):
+    """Cross-entropy where a third of the rows has no model: those rows do not count."""
+    data = vectors(spark, sf_dir).withColumn("grp", (F.col("row_id") % 3).cast("int"))
+    weights = lattice_weights(data.where("grp < 2"), CLASSIFIER, VECTOR_INPUTS, 0.5)
+    value = evaluate(data, weights, ["grp"], "bce", VECTOR_INPUTS, CLASSIFIER)
+    return value.select(r6(F.col("bce")).alias("bce"))
+
+
+def evaluate_limit(spark, sf_dir):
+    """The error on the first 100 rows."""
+    data = vectors(spark, sf_dir)
+    weights = lattice_weights(data, CLASSIFIER, VECTOR_INPUTS, 0.5)
+    value = evaluate(data, weights, ["grp"], "error", VECTOR_INPUTS, CLASSIFIER, limit=100)
+    return value.select(r6(F.col("error")).alias("loss"))
+
+
+def report_lines(spark, sf_dir):
+    """The lines of the prediction report over rounded predictions."""
+    scored = _demand_scores(spark, sf_dir).select(
+        "grp", "row_id", F.floor("real").cast("double").alias("real"), F.floor("predicted").cast("double").alias("predicted")
+    )
+    return sinks.prediction_lines(scored).select("hour", "part", F.coalesce("row_id", F.lit(-1)).alias("row_id"), "line")
+
+
+def model_lines(spark, sf_dir):
+    """The lines of the weight file; eighths have the same text everywhere."""
+    weights = lattice_weights(demand(spark, sf_dir), SMALL, DEMAND_INPUTS, 0.5).withColumn(
+        "pos", F.transform("pos", lambda w: F.floor(w * 8) / F.lit(8.0))
+    )
+    return sinks.weight_lines(weights)
+
+
 # ---- aggregations and metrics ------------------------------------------------------------------
 
 
@@ -252,10 +314,10 @@ def auc(spark, sf_dir):
 
 
 def auc_hourly(spark, sf_dir):
-    """AUC per hour for "value above one", scored by the hourly regressors; many ties and groups."""
+    """AUC per hour for "value above one", scored by the hourly regressors; ties only where the ninth decimal is level."""
     scored = _demand_scores(spark, sf_dir).select(
         "grp", F.when(F.col("real") > 1.0, 1.0).otherwise(0.0).alias("real"),
-        F.round("predicted", 1).alias("score"),
+        F.round("predicted", 9).alias("score"),
     )
     return metrics.auc(scored, by=["grp"]).select("grp", "positives", "negatives", r6(F.col("auc")).alias("auc"))
 
@@ -281,8 +343,7 @@ def _loss(loss, decision="threshold"):
         width = CLASSIFIER.n_weights(VECTOR_INPUTS)
         swarm = init_swarm(data.select("grp", "tier").distinct(), ["grp"], 5, width, 0.5, draw=lattice)
         blocks = pack_blocks(data, ["grp", "tier"])
-        fits = fitness(blocks, swarm, ["grp", "tier"], ["grp"], CLASSIFIER, VECTOR_INPUTS, loss,
-                       5 * 8 * width, decision=decision)
+        fits = fitness(blocks, swarm, ["grp", "tier"], ["grp"], CLASSIFIER, VECTOR_INPUTS, loss, decision=decision)
         return fits.select("grp", "pid", r6(F.col("fit")).alias("loss"))
 
     return query
@@ -292,8 +353,7 @@ def _evaluate(metric, **options):
     def query(spark, sf_dir):
         data = vectors(spark, sf_dir)
         weights = lattice_weights(data, CLASSIFIER, VECTOR_INPUTS, 0.5)
-        value = evaluate(data, weights, ["grp"], metric, VECTOR_INPUTS, CLASSIFIER,
-                         weight_bytes=8 * CLASSIFIER.n_weights(VECTOR_INPUTS), **options)
+        value = evaluate(data, weights, ["grp"], metric, VECTOR_INPUTS, CLASSIFIER, **options)
         return value.select(r6(F.lit(1.0) - F.col(metric)).alias("loss") if metric != "error"
                             else r6(F.col(metric)).alias("loss"))
 
@@ -310,7 +370,7 @@ def _small_swarm(data, settings=FREE, tag=0):
 
 def _small_fitness(data, swarm, network=SMALL):
     blocks = pack_blocks(data, ["grp"])
-    return fitness(blocks, swarm, ["grp"], ["grp"], network, DEMAND_INPUTS, "mse", 24 * PARTICLES * 8 * SMALL_WEIGHTS)
+    return fitness(blocks, swarm, ["grp"], ["grp"], network, DEMAND_INPUTS, "mse")
 
 
 def _evaluated(spark, sf_dir):
@@ -336,7 +396,8 @@ def swarm_fitness(spark, sf_dir):
 def swarm_fitness_expression(spark, sf_dir):
     """The same fitness by a join of rows with particles and Column expressions."""
     data = demand(spark, sf_dir)
-    met = data.join(_small_swarm(data).select("grp", "pid", "pos"), "grp")
+    swarm = _small_swarm(data).select("grp", "pid", "pos")
+    met = data.join(F.broadcast(swarm), "grp")  # 24 hours with a few small particles each
     error = scalar.squared_error(F.col("y"), forward(F.col("x"), F.col("pos"), DEMAND_INPUTS, SMALL))
     return met.groupBy("grp", "pid").agg(r6(F.avg(error)).alias("fit"))
 
@@ -369,29 +430,29 @@ def _move(settings):
 
 
 def _generations(settings, network):
-    """Two whole generations as one plan, without storing the state in between."""
+    """Two whole generations; states and judgements are stored tables, as in a training."""
 
     def query(spark, sf_dir):
         data = demand(spark, sf_dir)
-        advance = Generation(["grp"], settings, lattice)
-        state = with_leaders(_small_swarm(data, settings))
+        advance, scratch = Generation(["grp"], settings, lattice), Scratch(spark)
+        state = scratch.store(with_leaders(_small_swarm(data, settings)), "start")
         for first in (True, False):
-            particles = state.where(F.col("pid") != LEADER)
-            state = advance(state, _small_fitness(data, particles, network), first)
+            fits = _small_fitness(data, state.where(F.col("pid") != LEADER), network)
+            after = advance(state, fits, first, lambda df: scratch.store(df, f"judged-{first}"))
+            state = scratch.store(after, f"state-{first}")
         return spelled(state.where(F.col("pid") != LEADER).withColumn("pbest_fit", r6(F.col("pbest_fit"))),
                        ["grp", "pid", "pbest_fit"], {"pos": "pos", "vel": "vel", "pbest": "pbest"})
 
     return query
 
 
-def _trained_demand(spark, sf_dir, settings, network, small_group_rows=0):
-    return fit(demand(spark, sf_dir), ["grp"], network, "mse", settings, draw=lattice,
-               small_group_rows=small_group_rows)
+def _trained_demand(spark, sf_dir, settings, network):
+    return fit(demand(spark, sf_dir), ["grp"], network, "mse", settings, draw=lattice)
 
 
-def _train(settings, network, small_group_rows=0):
+def _train(settings, network):
     def query(spark, sf_dir):
-        weights = _trained_demand(spark, sf_dir, settings, network, small_group_rows).weights
+        weights = _trained_demand(spark, sf_dir, settings, network).weights
         return spelled(weights.withColumn("fit", r6(F.col("fit"))), ["grp", "fit"], {"pos": "pos"})
 
     return query
@@ -433,6 +494,9 @@ def sweep_runs(spark, sf_dir):
 def registered() -> dict[str, Query]:
     return {
         "clean_limit": clean_limit,
+        "limit_large": limit_large,
+        "leading_columns": leading_columns,
+        "fixed_decimals": fixed_decimals,
         "label_decode": label_decode,
         "calendar_parts": calendar_parts,
         "onehot_first_seen": onehot_first_seen,
@@ -444,9 +508,12 @@ def registered() -> dict[str, Query]:
         "forward_identity": _forward(demand, LINEAR_REGRESSOR, DEMAND_INPUTS, 0.5),
         "forward_tanh": _forward(demand, REGRESSOR, DEMAND_INPUTS, 0.5),
         "forward_class": _forward(vectors, CLASSIFIER, VECTOR_INPUTS, 0.5),
-        "forward_two_layer": _forward(vectors, SMALL_DEEP, VECTOR_INPUTS, 0.5),
+        "forward_two_layer": _forward(vectors, DEEP_CLASSIFIER, VECTOR_INPUTS, 0.5),
         "hourly_predict": hourly_predict,
         "class_predict": class_predict,
+        "predict_unlabelled": predict_unlabelled,
+        "report_lines": report_lines,
+        "model_lines": model_lines,
         "rows_per_hour": rows_per_hour,
         "hourly_mse": hourly_mse,
         "macro_mse": macro_mse,
@@ -466,6 +533,8 @@ def registered() -> dict[str, Query]:
         "loss_f1_signum": _loss("f1", "signum"),
         "loss_auc": _loss("auc"),
         "evaluate_error": _evaluate("error"),
+        "evaluate_bce": evaluate_bce,
+        "evaluate_limit": evaluate_limit,
         "evaluate_f1": _evaluate("f1"),
         "evaluate_f1_signum": _evaluate("f1", decision="signum"),
         "evaluate_auc": _evaluate("auc"),
@@ -482,7 +551,7 @@ def registered() -> dict[str, Query]:
         "generation_async": _generations(BOUNDED, SMALL_LINEAR),
         "train_sync": _train(FREE, SMALL),
         "train_async": _train(BOUNDED, SMALL),
-        "train_per_hour": _train(BOUNDED, SMALL_LINEAR, SMALL_GROUP_ROWS),
+        "train_per_hour": _train(BOUNDED, SMALL_LINEAR),
         "train_personal": _train(PERSONAL, SMALL_LINEAR),
         "train_class_bce": _train_class("bce"),
         "train_class_auc": _train_class("auc"),
