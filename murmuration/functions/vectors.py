@@ -40,7 +40,3 @@ def cut(x: Column, start: int, length: int) -> Column:
 
 def dot(x: Column, w: Column) -> Column:
     return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-
-def doubles(x: Column) -> Column:
-    return x.cast("array<double>")

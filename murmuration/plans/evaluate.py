@@ -47,3 +47,16 @@ def evaluate(df: DataFrame, weights: DataFrame, group: list[str], metric: str, n
     if metric == "accuracy":
         return metrics.accuracy(decided, by=by)
     return metrics.f1(decided, by=by)
+
+
+def error_report(inside: DataFrame, outside: DataFrame, weights: DataFrame, group: list[str], n_inputs: int,
+                 network: Network = CLASSIFIER, decision: str = "threshold") -> DataFrame:
+    """One row: ``error_in`` on the training rows and ``error_out`` on others, with the sizes of both and of the network."""
+    def measured(df: DataFrame, suffix: str) -> DataFrame:
+        error = evaluate(df, weights, group, "error", n_inputs, network, decision=decision)
+        return error.select(F.col("error").alias(f"error_{suffix}")).join(df.agg(F.count("*").alias(f"rows_{suffix}")))
+
+    return measured(inside, "in").join(measured(outside, "out")).select(  # single rows
+        "error_in", "error_out", "rows_in", "rows_out", F.lit(n_inputs).alias("n_inputs"),
+        F.lit(network.width(n_inputs)).alias("n_hidden"),
+    )

@@ -32,10 +32,10 @@ def write_predictions(predictions: DataFrame, path: str, by: list[str], mode: st
     predictions.withColumn("run_ts", run_stamp()).write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def prediction_lines(predictions: DataFrame, hour: str = "grp", separator: str = " ") -> DataFrame:
+def prediction_lines(predictions: DataFrame, hour: str = "grp", separator: str = " ", run_ts: bool = False) -> DataFrame:
     """The report as lines: per hour one label line, then ``real predicted`` pairs by ``row_id``.
 
-    Every line carries its sort key, so the caller may write it range-partitioned.
+    With ``run_ts`` the first line is the date and time of the run (hour -1).  Every line carries its sort key, so the caller may write it range-partitioned.
     """
     pairs = predictions.select(
         F.col(hour).alias("hour"),
@@ -46,14 +46,22 @@ def prediction_lines(predictions: DataFrame, hour: str = "grp", separator: str =
     labels = predictions.select(F.col(hour).alias("hour")).distinct().select(
         "hour", F.lit(0).alias("part"), F.lit(None).cast("long").alias("row_id"), hour_label(F.col("hour")).alias("line")
     )
-    return labels.unionByName(pairs)
+    lines = labels.unionByName(pairs)
+    if not run_ts:
+        return lines
+    kind = lines.schema["hour"].dataType
+    head = predictions.sparkSession.range(1).select(
+        F.lit(-1).cast(kind).alias("hour"), F.lit(0).alias("part"), F.lit(None).cast("long").alias("row_id"),
+        run_stamp().alias("line"),
+    )
+    return head.unionByName(lines)
 
 
 def write_prediction_report(predictions: DataFrame, path: str, hour: str = "grp", separator: str = " ",
                             mode: str = "overwrite") -> None:
-    """The report as text files whose names sort in report order."""
+    """The report as text files whose names sort in report order; the time of the run comes first."""
     (
-        prediction_lines(predictions, hour, separator)
+        prediction_lines(predictions, hour, separator, run_ts=True)
         .repartitionByRange("hour", "part", "row_id")
         .sortWithinPartitions("hour", "part", "row_id")
         .select("line")

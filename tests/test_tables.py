@@ -84,6 +84,7 @@ def test_train_score_and_write_demand(spark, demand_file, tmp_path):
     sinks.write_prediction_report(scored, f"{path}/report")
     files = sorted(p for p in (tmp_path / "report").iterdir() if p.name.startswith("part-"))
     lines = [line for p in files for line in p.read_text().splitlines()]
+    assert lines[0][:2] == "20" and lines.pop(0)[10] == " "  # the time of the run
     assert lines[0] == "05:00" and lines[8 * 6 + 1] == "06:00" and len(lines) == 18 + table.count()
     head = scored.where("grp = 5").orderBy("row_id").first()
     assert lines[1] == f"{head.real:.16f} {head.predicted:.16f}" or lines[1].split(" ")[0].startswith(f"{head.real:.6f}")

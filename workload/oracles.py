@@ -403,6 +403,11 @@ FROM (SELECT event_id, (value - 100e0) / 50e0 AS v FROM events)""",
         + f"SELECT {r6(entropy)} AS bce FROM u",
         "evaluate_limit": with_(C, CW, CP, "f AS (SELECT * FROM cp ORDER BY row_id LIMIT 100)")
         + f"SELECT {r6(f'avg(CASE WHEN y = {DECIDED} THEN 0e0 ELSE 1e0 END)')} AS loss FROM f",
+        "in_out_errors": with_(C, CW, CP) + "SELECT " + ", ".join(
+            f"{r6(f'avg(CASE WHEN y = {DECIDED} THEN 0e0 ELSE 1e0 END) FILTER ({rows})')} AS error_{name},"
+            f" count(*) FILTER ({rows}) AS rows_{name}"
+            for name, rows in (("in", "row_id % 5 <> 0"), ("out", "row_id % 5 = 0"))
+        ) + f", {CD} AS n_inputs, {CH} AS n_hidden FROM cp",
         "report_lines": with_(E, EW, EP) + """SELECT grp AS hour, 1 AS part, row_id,
   printf('%.16f', floor(y)) || ' ' || printf('%.16f', floor(p)) AS line FROM ep
 UNION ALL SELECT DISTINCT grp, 0, -1, lpad(CAST(grp AS VARCHAR), 2, '0') || ':00' FROM ep""",

@@ -23,7 +23,7 @@ from murmuration.operators.swarm import (
     move,
     update_personal,
 )
-from murmuration.plans.evaluate import evaluate
+from murmuration.plans.evaluate import error_report, evaluate
 from murmuration.plans.sweep import compare_curves, monotone_curve, stack_curves, sweep
 from murmuration.plans.train import Generation, SwarmSettings, fit, with_leaders
 from murmuration.sources import sinks
@@ -254,6 +254,15 @@ def evaluate_limit(spark, sf_dir):
     return value.select(r6(F.col("error")).alias("loss"))
 
 
+def in_out_errors(spark, sf_dir):
+    """Error rates of one model on four fifths of the rows and on the rest."""
+    data = vectors(spark, sf_dir)
+    weights = lattice_weights(data, CLASSIFIER, VECTOR_INPUTS, 0.5)
+    inside, outside = data.where("row_id % 5 <> 0"), data.where("row_id % 5 = 0")
+    report = error_report(inside, outside, weights, ["grp"], VECTOR_INPUTS)
+    return report.withColumns({"error_in": r6(F.col("error_in")), "error_out": r6(F.col("error_out"))})
+
+
 def report_lines(spark, sf_dir):
     """The lines of the prediction report over rounded predictions."""
     scored = _demand_scores(spark, sf_dir).select(
@@ -512,6 +521,7 @@ def registered() -> dict[str, Query]:
         "hourly_predict": hourly_predict,
         "class_predict": class_predict,
         "predict_unlabelled": predict_unlabelled,
+        "in_out_errors": in_out_errors,
         "report_lines": report_lines,
         "model_lines": model_lines,
         "rows_per_hour": rows_per_hour,
