@@ -218,6 +218,7 @@ def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str =
     once; null ids are never trusted.  Other columns are left out.
     """
     scratch = scratch or Scratch(docs.sparkSession)
+    others = scratch.names()
     ids = trusted.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
@@ -225,6 +226,7 @@ def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str =
     training = named.join(ids.where(~held_out).hint("merge"), "doc_id", "left_semi").select(F.col("text").cast("binary").alias("bytes"))
     model = fit_model(training, scratch, order)
     scored = stored(score_documents(named, model).select("doc_id", "lang", "perplexity"), scratch, "scored")
+    scratch.drop(*[n for n in scratch.names() if n not in (*others, "scored")])
     limits = scored.join(ids.where(held_out), "doc_id", "left_semi").groupBy("lang").agg(
         F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
     )

@@ -125,6 +125,7 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     are left out.
     """
     scratch = scratch or Scratch(docs.sparkSession)
+    others = scratch.names()
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     marked = scratch.store(fingerprints(named).select("doc_id", "simhash"), "fingerprints")
     prints = scratch.store(marked.groupBy("simhash").agg(F.min("doc_id").alias("first_id")), "prints")
@@ -134,4 +135,5 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
     smallest = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named_roots = scratch.store(joined.join(smallest, "root").select("simhash", "component_id"), "components")
+    scratch.drop(*[n for n in scratch.names() if n not in (*others, "fingerprints", "components")])
     return marked.join(named_roots, "simhash").select("doc_id", "simhash", "component_id")
