@@ -33,7 +33,7 @@ ARTICLE = {"article", "main"}
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertise\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification\w*|"
     r"alerts?|popup|modal|overlay|newsletter|subscri\w*|signup|login|nav|navbar|navigation|menu|topbar|toolbar|"
-    r"breadcrumbs?|sidebar|side|rail|widgets?|footer|masthead|topbar|site-header|page-header|share|sharing|social|related|"
+    r"breadcrumbs?|sidebar|side|rail|widgets?|footer|masthead|site-header|page-header|share|sharing|social|related|"
     r"recommend\w*|comments?|respond|replies|disqus|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
@@ -47,7 +47,6 @@ class Element:
     outside: bool  # does not belong to the text
     within_article: bool
     container: int  # number of the innermost container
-    own: bool = False  # is a container itself
 
 
 @dataclass
@@ -70,7 +69,7 @@ class Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parents = [-1]  # of the containers; the first is the page
         self.kinds = ["page"]
-        self.stack = [Element("page", False, False, 0, True)]
+        self.stack = [Element("page", False, False, 0)]
         self.lines: list[Line] = []
         self.links = 0
         self._open()
@@ -113,7 +112,7 @@ class Events(HTMLParser):
         if tag in CONTAINERS:
             self.parents.append(top.container)
             self.kinds.append(tag)
-            element.container, element.own = len(self.parents) - 1, True
+            element.container = len(self.parents) - 1
         self.links += tag == "a"
         self.stack.append(element)
         if tag not in INLINE or element.outside != top.outside:
