@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from murmuration.llm.rows import Batches, append_columns, appended, strings
 
-WORDS_AT_ONCE = 50_000
+WORDS_AT_ONCE = 20_000
 _SPACE = regex.compile(r"\p{White_Space}+")
 
 
@@ -185,8 +185,8 @@ class Encoder:
         return " ".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-def bpe_encode(docs: DataFrame, path: str, text: str = "text", rows_at_once: int = 500,
-               words_known: int = 500_000) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, text: str = "text", rows_at_once: int = 200,
+               words_known: int = 250_000) -> DataFrame:
     """Every row with ``token_ids`` (array<int>) and ``decoded``, the text that the ids give back.
 
     ``path`` is a tokenizer file that every executor has.  Special tokens inside a text become their ids, nothing

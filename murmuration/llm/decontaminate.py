@@ -15,7 +15,7 @@ from murmuration.llm.rows import Batches, append_columns, appended, utf8, withou
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of lower-cased UTF-8
 WINDOW = 13
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 BLOCK_BYTES = 16 << 20
 
 
@@ -188,7 +188,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                       item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_hit``, ``matches`` and ``contaminated``.
 
-    A task sorts the word suffixes of each shard of its documents (about two million words; a document is never
+    A task sorts the word suffixes of each shard of its documents (about half a million words; a document is never
     cut) and looks up all suffixes of the benchmark items by binary search.  ``matches`` are the longest verbatim
     matches of at least ``window`` words, or of a whole shorter item: item_id, first word in the item and in the
     document, number of words.  ``n_hit`` counts document words inside any match; a document is contaminated when

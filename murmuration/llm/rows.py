@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from murmuration.sources.scratch import Scratch
 
 Batches = Iterator[pa.RecordBatch]
+ROWS_AT_ONCE = 500  # of a batch that are Python objects at the same time
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -22,8 +23,17 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 def append_columns(df: DataFrame, fields: list[T.StructField], worker: Callable[[Batches], Batches]) -> DataFrame:
     """All columns of ``df`` and those that ``worker`` appends to its Arrow batches, without a shuffle."""
+    def in_slices(batches: Batches) -> Batches:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield batch.slice(start, ROWS_AT_ONCE)
+
+    def run(batches: Batches) -> Batches:
+        yield from worker(in_slices(batches))
+        pa.default_memory_pool().release_unused()  # the process serves other tasks
+
     kept = without(df, [f.name for f in fields])
-    return kept.mapInArrow(worker, T.StructType([*kept.schema.fields, *fields]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
 def appended(batch: pa.RecordBatch, **arrays: pa.Array) -> pa.RecordBatch:
