@@ -278,7 +278,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text:
     anchors = all_runs.groupBy("key").agg(
         F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")
     ).where("n > 1").select("key", (F.col("low") != F.col("high")).alias("differ"))
+    anchors = stored(anchors, scratch, "anchors")  # so that the join has two exchanges and Spark splits a hot anchor
     again = stored(all_runs.join(anchors, "key"), scratch, "repeated")
+    scratch.drop("runs", "anchors")
     differing = again.where("differ")
     kinds = stored(
         differing.groupBy("key", "content").agg(
