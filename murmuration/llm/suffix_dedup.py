@@ -26,7 +26,7 @@ from murmuration.sources.scratch import Scratch
 
 WIDTH = 200
 GRAM = 32
-CHUNK = 4 << 20  # bytes handled at once in a task
+CHUNK = 1 << 20  # bytes handled at once in a task
 MANY = 4096  # different runs under one anchor beyond which single strings are counted instead of sorted
 
 
