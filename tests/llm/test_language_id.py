@@ -42,3 +42,25 @@ def test_ids_and_order_do_not_matter(spark):
     one = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     two = spark.createDataFrame([(-k, t, lang) for k, t, lang in reversed(rows)], "doc_id long, text string, lang string")
     assert language_id.learn_dictionaries(one) == language_id.learn_dictionaries(two)
+
+
+def test_short_documents_are_kept_like_long_ones(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").where("text IS NOT NULL")
+    dictionaries = language_id.learn_dictionaries(docs.where(language_id.training_rows(docs)))
+    texts = [r.text for r in docs.select("text").distinct().limit(400).collect()]
+    words = [t.split() for t in texts if len(t.split()) >= 40]
+    compressors = language_id.Compressors(dictionaries)
+    for size in (2, 5, 10, 40):
+        found = [compressors.best(" ".join(w[:size])) for w in words]
+        told = [f for f in found if f[0] != language_id.UNKNOWN]
+        assert sum(f[1] >= language_id.MIN_MARGIN for f in told) >= 0.9 * len(told), size
+    assert compressors.best("eser thed nt of")[1] > 0
+
+
+def test_ties_of_short_texts_are_told_from_the_dictionaries():
+    compressors = language_id.Compressors({k: t.lower().encode() * 20 for k, t in PROSE.items()})
+    for text, lang in (("the", "en"), ("der", "de"), ("that it", "en"), ("und er", "de"), ("fuchs", "de"), ("dog", "en")):
+        name, margin = compressors.best(text)
+        assert name == lang and margin >= language_id.MIN_MARGIN, text
+    same = language_id.Compressors({"a": b"the same words " * 9, "b": b"the same words " * 9})
+    assert same.best("the same") == ("a", 0.0)
