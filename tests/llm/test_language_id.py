@@ -64,3 +64,13 @@ def test_ties_of_short_texts_are_told_from_the_dictionaries():
         assert name == lang and margin >= language_id.MIN_MARGIN, text
     same = language_id.Compressors({"a": b"the same words " * 9, "b": b"the same words " * 9})
     assert same.best("the same") == ("a", 0.0)
+
+
+def test_pieces_come_from_the_whole_text_and_copies_count_once(spark):
+    opening = "licence words that every text begins with " * 30
+    bodies = [" ".join(f"{chr(97 + k % 26)}{chr(97 + j % 26)}body" for j in range(900)) for k in range(26)]
+    rows = [(k, opening + b, "en") for k, b in enumerate(bodies)] + [(100 + k, "copied text", "en") for k in range(5000)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.learn_dictionaries(train, sample_docs=30, dictionary_bytes=1 << 20)["en"].decode()
+    assert learned.count("body") > 2 * learned.count("licence")  # from the first characters it would be none
+    assert sum(f"{chr(97 + k)}abody" in learned for k in range(26)) > 13  # 5,000 copies do not lower the share of others
