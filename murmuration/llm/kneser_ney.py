@@ -1,5 +1,6 @@
-"""Quality by the perplexity of an interpolated modified Kneser-Ney model over bytes.
+"""Quality by the perplexity of an interpolated modified Kneser-Ney model over words (``word_ngrams``).
 
+The model over bytes of this module is a separate, smaller one; ``quality`` does not use it.
 A gram of ``k`` bytes is a number with the first byte highest.  Counts and probabilities of all orders are tables;
 the model is never gathered as a whole unless it fits a shard.
 """
@@ -15,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmuration.llm.rows import Batches, append_columns, appended, stored, without
+from murmuration.llm.word_ngrams import score_words
 from murmuration.sources.scratch import Scratch
 
 ORDER = 5
 CHUNK = 4 << 20
 SHARD_ROWS = 4_000_000  # of a model, that a task holds at once: 24 bytes each
 QUANTILE = 0.98
-HOLD_OUT = 5  # one trusted document in so many only sets the threshold
 START = b"\n"
 
 
@@ -208,26 +209,24 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", shard_row
 
 
 def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
-            order: int = ORDER, quantile: float = QUANTILE, scratch: Scratch | None = None) -> DataFrame:
+            quantile: float = QUANTILE, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id``, language, ``perplexity``, ``threshold`` and ``kept`` for every row.
 
-    ``trusted`` has the ids of trusted documents.  The whole text of four fifths of them, by the hash of the id, trains
-    the model; in each language the ``quantile`` of the perplexities of the others is the threshold, because a model
-    flatters what it has seen.  Documents at or below it are kept.  Null languages are a language of their own.  Empty and null texts have no perplexity and are not kept; where a language has no such
-    document there is no threshold and documents with text are kept.  Ids that occur in several trusted rows count
-    once; null ids are never trusted.  Other columns are left out.
+    ``trusted`` has the ids of trusted documents.  Their whole text is counted; every document, trusted or not, is
+    scored with the counts without its own fold (by the hash of the id), because a model flatters what it has seen.
+    In each language the ``quantile`` of the perplexities of all trusted documents is the threshold.  Documents at or
+    below it are kept.  Null languages are a language of their own.  Empty and null texts have no perplexity and are
+    not kept; where a language has no trusted document with text there is no threshold and documents with text are
+    kept.  Ids that occur in several trusted rows count once; null ids are never trusted.  Other columns are left out.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     others = scratch.names()
     ids = trusted.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
     # One plan at every size: the list of trusted ids grows with the corpus and is not broadcast where it happens to fit.
-    training = named.join(ids.where(~held_out).hint("merge"), "doc_id", "left_semi").select(F.col("text").cast("binary").alias("bytes"))
-    model = fit_model(training, scratch, order)
-    scored = stored(score_documents(named, model).select("doc_id", "lang", "perplexity"), scratch, "scored")
+    scored = stored(score_words(named, ids, scratch), scratch, "scored")
     scratch.drop(*[n for n in scratch.names() if n not in (*others, "scored")])
-    limits = scored.join(ids.where(held_out), "doc_id", "left_semi").groupBy("lang").agg(
+    limits = scored.join(ids, "doc_id", "left_semi").groupBy("lang").agg(
         F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
     )
     limits = limits.withColumnRenamed("lang", "of")
