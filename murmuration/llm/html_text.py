@@ -17,6 +17,8 @@ CHUNK = 1 << 16
 RADIUS = 2  # of the Gaussian, in lines
 WHOLE = 0.9  # share of the content that a container must hold to stand for the one around it
 FAIR = 0.2  # the same for an article element
+SIBLING = 0.1  # share of the largest article that one beside it must hold
+MOST = 0.5  # share of the text that no element loses by its name alone
 OTHER = 0.1  # what a character outside of the content cluster counts
 
 # Elements of HTML by their role.
@@ -29,6 +31,7 @@ AROUND = set("nav header footer aside form menu dialog fieldset search".split())
 ROLES = set("navigation banner contentinfo complementary search menu menubar toolbar dialog alertdialog alert form "
             "note status".split())
 CONTAINERS = set("html body main article section div td center blockquote".split())
+HEAD = set("title script style noscript template base basefont bgsound link meta head html".split())
 ARTICLE = {"article", "main"}
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertise\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification\w*|"
@@ -37,6 +40,12 @@ NAMES = re.compile(
     r"recommend\w*|comments?|respond|replies|disqus|pagination|pager|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+# States of a wrapper, as in no-sidebar or comments-enabled, are not names of what it is.
+STATES = re.compile(
+    r"(?<![\w-])(?:(?:has|have|no|with|without|hide|hides|layout|is|not)[_-][\w-]+|"
+    r"[\w-]+[_-](?:enabled|disabled|open|opened|closed|on|off|layout|active|inactive|visible|present))(?![\w-])",
+    re.IGNORECASE,
+)
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
@@ -47,6 +56,7 @@ class Element:
     outside: bool  # does not belong to the text
     within_article: bool
     container: int  # number of the innermost container
+    named: tuple[int, ...] = ()  # elements around it, and itself, that only a class or an id marks as boilerplate
 
 
 @dataclass
@@ -58,6 +68,8 @@ class Line:
     parts: list[str] = field(default_factory=list)
     tags: int = 0
     linked: int = 0
+    named: tuple[int, ...] = ()
+    within_article: bool = False
 
     @property
     def text(self) -> str:
@@ -72,6 +84,7 @@ class Events(HTMLParser):
         self.stack = [Element("page", False, False, 0)]
         self.lines: list[Line] = []
         self.links = 0
+        self.n_named = 0
         self._open()
 
     def _open(self) -> None:
@@ -80,7 +93,7 @@ class Events(HTMLParser):
         if self.lines and not self.lines[-1].parts:  # its tags belong to the text that follows
             last = self.lines.pop()
             tags = 0 if last.outside else last.tags
-        self.lines.append(Line(top.container, top.outside, tags=tags))
+        self.lines.append(Line(top.container, top.outside, tags=tags, named=top.named, within_article=top.within_article))
 
     def _boilerplate(self, tag: str, attrs: dict[str, str | None], top: Element) -> bool:
         if tag in NEVER:
@@ -91,13 +104,18 @@ class Events(HTMLParser):
             return True
         if (attrs.get("aria-hidden") or "").lower() == "true" or HIDDEN.search(attrs.get("style") or ""):
             return True
+        return False
+
+    def _named(self, tag: str, attrs: dict[str, str | None], top: Element) -> bool:
         if tag in ("html", "body", *ARTICLE):
             return False
-        names = [attrs.get(name) or "" for name in ("class", "id")]
+        names = [STATES.sub(" ", attrs.get(name) or "") for name in ("class", "id")]
         return any(NAMES.search(n) or (not top.within_article and HEADER.search(n)) for n in names)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.lines[-1].tags += 1
+        if tag not in HEAD:
+            self._end_head()
         if tag not in INLINE:
             self._implied(tag)
         top = self.stack[-1]
@@ -108,14 +126,17 @@ class Events(HTMLParser):
                 self._open()
             return
         element = Element(tag, top.outside or self._boilerplate(tag, dict(attrs), top),
-                          top.within_article or tag in ARTICLE, top.container)
+                          top.within_article or tag in ARTICLE, top.container, top.named)
+        if not element.outside and self._named(tag, dict(attrs), top):
+            element.named = (*top.named, self.n_named)
+            self.n_named += 1
         if tag in CONTAINERS:
             self.parents.append(top.container)
             self.kinds.append(tag)
             element.container = len(self.parents) - 1
         self.links += tag == "a"
         self.stack.append(element)
-        if tag not in INLINE or element.outside != top.outside:
+        if tag not in INLINE or element.outside != top.outside or element.named != top.named:
             self._open()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -138,6 +159,11 @@ class Events(HTMLParser):
             if here not in INLINE:
                 return
 
+    def _end_head(self) -> None:
+        """The end tag of a head may be left out: what cannot be in it ends it."""
+        if self.stack[-1].tag == "head":
+            self._close(len(self.stack) - 1)
+
     def _close(self, k: int) -> None:
         self.links -= sum(e.tag == "a" for e in self.stack[k:])
         del self.stack[k:]
@@ -147,7 +173,8 @@ class Events(HTMLParser):
         self.lines[-1].tags += 1
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
-                if tag in INLINE and k == len(self.stack) - 1 and self.stack[k].outside == self.stack[k - 1].outside:
+                if tag in INLINE and k == len(self.stack) - 1 and (
+                    self.stack[k].outside, self.stack[k].named) == (self.stack[k - 1].outside, self.stack[k - 1].named):
                     self.links -= tag == "a"
                     self.stack.pop()
                 else:
@@ -157,6 +184,8 @@ class Events(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         line = self.lines[-1]
         if not line.outside:
             line.parts.append(data)
@@ -189,14 +218,24 @@ def threshold(values: np.ndarray) -> float:
 def _region(events: Events, weight: list[float]) -> tuple[set[int], bool]:
     """Containers that make up the region of the content.
 
-    A main element is trusted, an article if it holds a fair share of the page.  Without either, the way goes down
+    A main element is trusted, an article if it holds a fair share of the page, together with those beside it that hold
+    a fair share of the largest.  Without either, the way goes down
     from the page as long as one child holds nearly everything.  True if an article or main element was found.
     """
     inside = list(weight)
     for k in range(len(inside) - 1, 0, -1):  # children have higher numbers than their parents
         inside[events.parents[k]] += inside[k]
+    largest: dict[int, float] = {}  # article by what is around all articles beside each other
+    for k, kind in enumerate(events.kinds):
+        if kind == "article":
+            largest[events.parents[k]] = max(largest.get(events.parents[k], 0.0), inside[k])
+    together: dict[int, float] = {}
+    for k, kind in enumerate(events.kinds):
+        if kind == "article" and inside[k] >= SIBLING * largest[events.parents[k]] > 0:
+            together[events.parents[k]] = together.get(events.parents[k], 0.0) + inside[k]
     marked = [k for k, kind in enumerate(events.kinds)
-              if kind == "main" and inside[k] > 0 or kind == "article" and inside[k] >= FAIR * inside[0] > 0]
+              if kind == "main" and inside[k] > 0
+              or kind == "article" and together.get(events.parents[k], 0.0) >= FAIR * inside[0] > 0]
     chosen = max(marked, key=lambda k: (events.kinds[k] == "main", inside[k], -k), default=0)
     children: dict[int, list[int]] = {}
     for k, parent in enumerate(events.parents):
@@ -204,12 +243,29 @@ def _region(events: Events, weight: list[float]) -> tuple[set[int], bool]:
     while not marked and (below := [k for k in children.get(chosen, ()) if inside[k] >= WHOLE * inside[chosen] > 0]):
         chosen = below[0]
     region = {chosen}
-    for k in range(chosen + 1, len(events.parents)):
+    if events.kinds[chosen] == "article":
+        beside = events.parents[chosen]
+        region |= {k for k in children[beside] if events.kinds[k] == "article" and inside[k] >= SIBLING * largest[beside]}
+    for k in range(min(region) + 1, len(events.parents)):
         if events.parents[k] in region:
             region.add(k)
     return region, bool(marked)
 
 
+def _spared(events: Events, lines: list[tuple[Line, str]]) -> list[tuple[Line, str]]:
+    """Lines without those in elements that a name marks as boilerplate.
+
+    Where no article or main element has text beside these, an element that holds most of the page's unlinked text stays.
+    """
+    size = [max(0, len(text) - line.linked) for line, text in lines]
+    held = [0] * events.n_named
+    for (line, _), n in zip(lines, size):
+        for e in line.named:
+            held[e] += n
+    least = sum(size) * (1 if any(line.within_article and not line.named for line, _ in lines) else MOST)
+    return [(line, text) for line, text in lines if all(held[e] > least for e in line.named)]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks in page order, joined by an empty line."""
     if not html:
@@ -218,7 +274,7 @@ def main_text(html: str | None) -> str:
     for start in range(0, len(html), CHUNK):
         events.feed(html[start : start + CHUNK])
     events.close()
-    lines = [(line, text) for line in events.lines if (text := line.text)]
+    lines = _spared(events, [(line, text) for line in events.lines if (text := line.text)])
     if not lines:
         return ""
     ratio = smoothed(np.array([len(text) / max(1, line.tags) for line, text in lines]))
@@ -237,7 +293,8 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """Every row with ``text``, the main text of its page, and ``n_chars``, its code points.
 
     Lines are the stretches between block elements.  What elements, roles and names mark as menus, headers, footers,
-    side bars, notices, adverts, forms or comments is left out at once.  Over the other lines the ratio of text to
+    side bars, notices, adverts, forms or comments is left out at once; a name alone does not count where the element holds
+    most of the text of a page without another article.  Over the other lines the ratio of text to
     tags is smoothed by a Gaussian and split into two clusters; the container that holds the content cluster (an
     article or main element if there is one) is the region, all its lines are the text.  Lines made of links count
     only where the region is not marked as an article.  Null and empty pages give an empty text; long pages are

@@ -43,3 +43,23 @@ def test_long_page_and_clashing_columns(spark):
     got = extract_text(df).select("page_id", "text", "n_chars").collect()
     assert sorted(r.n_chars for r in got) == [0, *[20_000 * (len(LINE) + 2) - 2] * 2]
     assert extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<html><head><title>no</title><meta charset=x><body><p>{LINE}</p></body></html>", LINE),
+    (f"<head><title>no</title><script>no</script><p>{LINE}</p>", LINE),
+    (f"<head><title>no</title>\n{LINE}", LINE),
+    (f"<head><style>no</style></head><body><p>{LINE}</p>", LINE),
+    *[(f"<body><div class='{name}'><h1>T</h1><p>{LINE}</p><p>{LINE}</p></div><div class=footer>no words here</div>",
+       f"T\n\n{LINE}\n\n{LINE}") for name in ("content has-sidebar", "no-sidebar", "comments-enabled", "layout-sidebar")],
+    (f"<div class=page-sidebar-2><div class=sidebar><h1>T</h1><p>{LINE}</p><p>{LINE}</p></div></div>", f"T\n\n{LINE}\n\n{LINE}"),
+    (f"<div class=has-sidebar><p>{LINE}</p><p>{LINE}</p></div><div class=related><article>Teaser.</article></div>", f"{LINE}\n\n{LINE}"),
+    (f"<article><p>Short one.</p></article><div class=sidebar><p>{LINE}</p></div>", "Short one."),
+    (f"<div class=no-sidebar><div class=content><p>{LINE}</p><p>{LINE}</p></div><div class=sidebar><p>{LINE}</p></div></div>",
+     f"{LINE}\n\n{LINE}"),
+    ("<body>" + "".join(f"<article><h2>{k}</h2><p>{LINE}</p></article>" for k in range(7)) + "<p>no</p>",
+     "\n\n".join(f"{k}\n\n{LINE}" for k in range(7))),
+    (f"<article><p>{LINE * 20}</p></article><article><p>Tiny teaser.</p></article>", LINE * 20),
+])
+def test_pages_that_lose_nothing(page, text):
+    assert main_text(page) == text
