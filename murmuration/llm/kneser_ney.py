@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,6 +208,27 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", shard_row
     return out.withColumn("perplexity", F.when(size > 0, F.exp(-F.col("log_likelihood") / size)))
 
 
+def exact_quantile(scored: DataFrame, quantile: float) -> DataFrame:
+    """``lang, threshold``: the smallest perplexity that at least ``quantile`` of a language's rows do not exceed.
+
+    Rough quantiles bracket it; ranks are counted only inside, over different values, from the rows below on.
+    """
+    accuracy = 10_000
+    step = 2.0 / accuracy
+    rough = F.percentile_approx("perplexity", [max(0.0, quantile - step), min(1.0, quantile + step)], accuracy)
+    known = scored.where(F.col("perplexity").isNotNull())
+    ends = known.groupBy("lang").agg(rough.alias("ends"), F.ceil(F.count("*") * quantile).alias("rank")).select(
+        F.col("lang").alias("of"), "rank", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high")
+    )
+    met = known.join(F.broadcast(ends), known["lang"].eqNullSafe(ends["of"])).where("perplexity <= high")
+    value = F.when(F.col("perplexity") >= F.col("low"), F.col("perplexity"))  # null: below the bracket
+    tallied = met.groupBy("lang", "rank", value.alias("value")).agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy("lang").orderBy(F.col("value").asc_nulls_first()))
+    return tallied.withColumn("up_to", up_to).where("value IS NOT NULL AND up_to >= rank").groupBy("lang").agg(
+        F.min("value").alias("threshold")
+    )
+
+
 def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
             quantile: float = QUANTILE, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id``, language, ``perplexity``, ``threshold`` and ``kept`` for every row.
@@ -226,9 +247,7 @@ def quality(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str =
     # One plan at every size: the list of trusted ids grows with the corpus and is not broadcast where it happens to fit.
     scored = stored(score_words(named, ids, scratch), scratch, "scored")
     scratch.drop(*[n for n in scratch.names() if n not in (*others, "scored")])
-    limits = scored.join(ids, "doc_id", "left_semi").groupBy("lang").agg(
-        F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
-    )
+    limits = exact_quantile(scored.join(ids, "doc_id", "left_semi"), quantile)
     limits = limits.withColumnRenamed("lang", "of")
     joined = scored.join(limits, scored["lang"].eqNullSafe(limits["of"]), "left")
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))

@@ -88,3 +88,19 @@ def test_rows_with_equal_and_null_ids(spark):
     got = kneser_ney.quality(docs, docs.where("doc_id = 1").select("doc_id")).collect()
     assert len(got) == 5 and sum(r.perplexity is None for r in got) == 1
     assert all(math.isfinite(r.perplexity) for r in got if r.perplexity is not None)
+
+
+def test_thresholds_are_exact_ranks(spark):
+    draw = random.Random(2)
+    values = {lang: [draw.lognormvariate(1, 2) for _ in range(n)] for lang, n in (("en", 60_000), ("de", 7), (None, 1))}
+    values["en"] += [3.0] * 20_000
+    rows = [(lang, v) for lang, held in values.items() for v in held] + [("fr", None)]
+    scored = spark.createDataFrame(rows, "lang string, perplexity double").repartition(7)
+    for q in (0.98, 0.5, 1.0):
+        wanted = {lang: sorted(held)[math.ceil(len(held) * q) - 1] for lang, held in values.items()}
+        assert {r.lang: r.threshold for r in kneser_ney.exact_quantile(scored, q).collect()} == wanted
+
+
+def test_every_trusted_document_sets_a_threshold(spark):
+    docs = spark.createDataFrame([(k, f"lang{k}", "some words of a text") for k in range(20)], "doc_id long, lang string, text string")
+    assert all(r.threshold is not None for r in kneser_ney.quality(docs, docs.select("doc_id")).collect())
