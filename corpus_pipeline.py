@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from murmuration.llm import bpe, decontaminate, exact_dedup, language_id, simhash
 from murmuration.llm.queries import table, tokenizer_path
+from murmuration.llm.rows import stored
 from murmuration.sources.scratch import Scratch
 
+ROW = "__row"
+
+
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` stored with a running number, as ids may repeat or be null."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), Scratch(spark), "numbered")
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a clear margin."""
@@ -17,15 +25,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space the longest, then the one with the smallest id."""
-    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+    """Of texts that are equal without white space the longest, then the one with the smallest id; one row of each."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns, "text_sha256")
+    rows = numbered(spark, kept)
+    first = rows.groupBy("text_sha256").agg(F.min(ROW).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    again = rows.select("text_sha256", ROW).join(first, "text_sha256").where(F.col(ROW) != F.col("__first"))
+    return rows.join(again.select(ROW), ROW, "left_anti").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-equal fingerprints; documents without an id stay."""
-    groups = simhash.simhash_groups(docs.select("doc_id", "text"))
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-equal fingerprints, that with the smallest id; rows without an id come last."""
+    rows = numbered(spark, docs)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    groups = simhash.simhash_groups(rows.select(key.alias("doc_id"), "text"))
+    dropped = groups.where(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias(ROW))
+    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

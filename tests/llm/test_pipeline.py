@@ -85,3 +85,14 @@ def test_awkward_rows_pass_all_stages(spark, sf_dir):
 def test_every_row_has_its_result(spark, sf_dir, name):
     rows = queries.table(spark, sf_dir, "pages" if "html" in name else "documents").count()
     assert queries.registered()[name](spark, sf_dir).count() == rows
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark, sf_dir):
+    base = " ".join(f"word{k}" for k in range(300))
+    other, third = " ".join(f"other{k * k}" for k in range(300)), " ".join(f"third{k * 7}" for k in range(300))
+    rows = [(1, base), (2, base), (2, other), (None, third), (None, third), (5, base), (1, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in near) == sorted([(1, base), (2, other), (0, third)])
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in exact) == sorted([(1, base), (2, other), (0, third)])
