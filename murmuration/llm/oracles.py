@@ -65,9 +65,55 @@ FROM n GROUP BY conv_id
 """
 
 
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT r, i, ls[i] AS line, translate(trim(ls[i], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+c AS (SELECT k FROM l WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10),
+s AS (
+  SELECT r, count(*) - count(stay) AS n_dropped, string_agg(stay, chr(10) ORDER BY i) AS kept
+  FROM (SELECT r, i, CASE WHEN c.k IS NULL THEN line END AS stay FROM l LEFT JOIN c ON l.k = c.k) GROUP BY r)
+SELECT doc_id, len(ls) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN s USING (r)
+"""
+
+PHRASES = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS head, array_to_string(list_slice(w, j + 1, k), ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, j, h.f AS l, t.f AS r, CAST((CAST(a AS HUGEINT) * 2000000) // (h.f + t.f) AS BIGINT) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS f FROM (
+    SELECT lang, a, array_to_string(list_slice(w, i, i + s - 1), ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM c WHERE k > 2)))
+  GROUP BY lang, phrase),
+ranked AS (
+  SELECT lowest.*, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, lowest.phrase) AS rank
+  FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE inside.f IS NULL OR 100 * inside.f < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op3_exact_dedup": EXACT_DEDUP,
         "op4_decontamination": DECONTAMINATION,
         "op10_chat_formatting": _chat(),
+        "op11_line_dedup": LINE_DEDUP,
+        "op12_phrases": PHRASES,
     }

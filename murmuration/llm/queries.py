@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import bpe, chat, decontaminate, exact_dedup, html_text, kneser_ney, language_id, simhash, suffix_dedup, toxicity
+from murmuration.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    kneser_ney,
+    language_id,
+    line_dedup,
+    phrases,
+    simhash,
+    spelling,
+    suffix_dedup,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -107,6 +121,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return phrases.collocations(docs, min_count=30, top=2000, covered=80)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
@@ -119,4 +147,7 @@ def registered() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_quality": op9_quality,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_phrases": op12_phrases,
+        "op13_spelling_variants": op13_spelling_variants,
     }
