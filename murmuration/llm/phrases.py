@@ -3,7 +3,8 @@
 Candidates are safe in the manner of Apriori: a frequent phrase has frequent parts.  Words are counted first; then tasks
 sum the hashes of neighbouring frequent words, and of three and four words whose pairs survive.  A hash stands for all
 phrases that share it, so its sum is never below the count of a phrase, and what is below the least count can go.  What
-the tasks need to know of the survivors is a bitmap of a fixed size.  The phrases behind the surviving hashes are dealt to
+the tasks need to know of the survivors is a bitmap of a fixed size.  Texts are read twice; from then on they are stored as
+numbers of frequent words.  The phrases behind the surviving hashes are dealt to
 shards; each shard is a double-array trie of bounded size that goes to the tasks, which advance the states of all
 positions of the text level by level and count accepting states.  Counts are summed over tasks; they are exact, whatever
 the hashes.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from murmuration.llm.rows import Batches, stored
 from murmuration.sources.scratch import Scratch
 
 LONGEST = 4
-CHUNK = 2 << 20  # bytes of text that are Python objects at once
+CHUNK = 1 << 20  # bytes of text that are Python objects at once
 HELD = 1 << 22  # hashes, and words, that a task combines at once
 BITS = 1 << 27  # of a bitmap of hashes: 16 MB at most at every size of the corpus
 SHARD_PHRASES = 1 << 18
@@ -34,7 +35,8 @@ END = b"\xff"  # of a piece; no byte of UTF-8
 _FROM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09"
 TABLE = bytes.maketrans(_FROM, b"abcdefghijklmnopqrstuvwxyz" + END * 10 + b" ")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-FOUND = "k int, lang string, phrase string, hash long, n long"
+CHUNKS = "lang string, words binary, hashes binary, ids binary"
+FOUND = "lang string, phrase string, hash long, n long"
 TRIE = ("shard int, langs array<string>, words array<string>, base binary, check binary, accept binary, "
         "phrases array<struct<lang: string, phrase: string>>")
 
@@ -112,137 +114,149 @@ def chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
+    """One bit for each ``hash`` modulo ``bits``, in 64-bit words; gathered as words that are not zero."""
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
+    found = hashes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _marked(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes & np.uint64(64 * len(words) - 1)
+    return words[(place >> np.uint64(6)).astype(np.int64)] >> (hashes & np.uint64(63)) & np.uint64(1) == 1
+
+
 class Words(dict):
     """Numbers of the words of one language in the order of their first use, with their hashes."""
 
     def __init__(self, lang: str):
-        self.lang, self.hashes = lang, np.zeros(0, np.uint64)
+        self.lang, self.names, self.hashes = lang, [], np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = len(self)
+        self.names.append(word)
         return self[word]
 
     def numbers(self, tokens: list[bytes]) -> np.ndarray:
         got = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        new = [word_hash(self.lang, w) for w in islice(self, len(self.hashes), None)]
+        new = [word_hash(self.lang, w) for w in self.names[len(self.hashes) :]]
         self.hashes = np.concatenate([self.hashes, np.array(new, np.uint64)])
         return got
 
 
-def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """One bit for each ``hash`` modulo ``bits``, in 64-bit words; gathered as words that are not zero."""
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
-    found = hashes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def _marked(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = hashes & np.uint64(64 * len(words) - 1)
-    return words[(place >> np.uint64(6)).astype(np.int64)] >> (hashes & np.uint64(63)) & np.uint64(1) == 1
+def encode(texts: DataFrame, words: np.ndarray) -> DataFrame:
+    """``CHUNKS``: pieces of text as places in their own list of words; words that are not frequent, by the bitmap, and
+    ends of pieces are -1, once where several follow each other."""
+    shared = texts.sparkSession.sparkContext.broadcast(words)
 
+    def worker(batches: Batches) -> Batches:
+        known: dict[str, Words] = {}
+        for lang, tokens in token_lists(batches):
+            if sum(map(len, known.values())) > HELD // 4:
+                known.clear()
+            mine = known.setdefault(lang, Words(lang))
+            number = mine.numbers(tokens)
+            frequent = _marked(shared.value, mine.hashes)
+            if END in mine:
+                frequent[mine[END]] = False
+            alive = frequent[number]
+            here, place = np.unique(number[alive], return_inverse=True)
+            ids = np.full(len(number), -1, np.int32)
+            ids[alive] = place
+            ids = ids[alive | np.r_[True, alive[:-1]]]
+            row = [lang, b" ".join([mine.names[k] for k in here]), mine.hashes[here].tobytes(), ids.tobytes()]
+            kinds = pa.string(), *[pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["lang", "words", "hashes", "ids"])
+
+    return texts.mapInArrow(worker, CHUNKS)
+
+
+def chunk_rows(batches: Batches) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """``lang``, words, their hashes and the places in these lists."""
+    for batch in batches:
+        for lang, words, hashes, ids in zip(*(batch.column(c) for c in ("lang", "words", "hashes", "ids"))):
+            yield lang.as_py(), words.as_py().split(), np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(ids.as_buffer(), np.int32)
 
-class Survivors:
-    """Per task: where the words and shorter phrases of a text have survived."""
-
-    def __init__(self, words: np.ndarray, phrases: list[np.ndarray]):
-        self.words, self.phrases, self.known = words, phrases, {}
-
-    def read(self, lang: str, tokens: list[bytes], longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For k = 1 ... ``longest``: hash of the k words from each position on, and whether they may be frequent.
-
-        Where no bitmap tells of k words, it is asked of both their parts of k - 1 words.
-        """
-        known = self.known.get(lang)
-        if known is None or len(known) > HELD // 4:
-            known = self.known[lang] = Words(lang)
-        single = known.numbers(tokens)
-        alive = _marked(self.words, known.hashes)
-        if END in known:
-            alive[known[END]] = False
-        word, ok = known.hashes[single], [alive[single]]
-        hashes = [word]
-        for k in range(2, longest + 1):
-            if len(word) < k:
-                break
-            hashes.append(chained(hashes[-1][:-1], word[k - 1 :]))
-            may = ok[-1][:-1] & ok[-1][1:]
-            if k - 2 < len(self.phrases):
-                may[may] = _marked(self.phrases[k - 2], hashes[-1][may])
-            ok.append(may)
-        return hashes, ok
 
+def survivors(hashes: np.ndarray, ids: np.ndarray, bitmaps: list[np.ndarray], longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For k = 1 ... ``longest``: hash of the k words from each position on, and whether they may be frequent.
 
-def find_phrases(texts: DataFrame, words: np.ndarray, phrases: list[np.ndarray], named_k: list[int], summed_k: list[int],
-                 min_count: int) -> DataFrame:
-    """``FOUND``: sums of the hashes of the phrases of ``summed_k`` words that reach ``min_count``, and the different
-    phrases of ``named_k`` words, where the bitmaps of words and of shorter phrases let them through."""
-    shared = texts.sparkSession.sparkContext.broadcast((words, phrases))
+    Where no bitmap tells of k words, it is asked of both their parts of k - 1 words.
+    """
+    ok = [ids >= 0]
+    word = np.where(ok[0], hashes[ids], np.uint64(0)) if len(hashes) else np.zeros(len(ids), np.uint64)
+    found = [word]
+    for k in range(2, longest + 1):
+        if len(word) < k:
+            break
+        found.append(chained(found[-1][:-1], word[k - 1 :]))
+        may = ok[-1][:-1] & ok[-1][1:]
+        if k - 2 < len(bitmaps):
+            may[may] = _marked(bitmaps[k - 2], found[-1][may])
+        ok.append(may)
+    return found, ok
+
+
+def find_phrases(chunks: DataFrame, bitmaps: list[np.ndarray], min_count: int, names: bool = True, sums: bool = True) -> DataFrame:
+    """``FOUND`` from the bitmaps of the hashes of 2, 3 ... words: the different phrases that the last of them lets
+    through, and for phrases of one word more the sums of their hashes that reach ``min_count``."""
+    shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)
+    named = len(bitmaps) + 1
 
     def worker(batches: Batches) -> Batches:
-        survivors = Survivors(*shared.value)
-        held: dict[int, list[np.ndarray]] = {k: [] for k in summed_k}
-        seen: dict[tuple[str, int], set] = {}
-        waiting = 0
-
-        def sums() -> Batches:
-            for k, parts in held.items():
-                hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
-                none = pa.nulls(len(hashes), pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(hashes), k, np.int32)), none, none, pa.array(hashes.view(np.int64)), pa.array(counts)],
-                    names=["k", "lang", "phrase", "hash", "n"])
-                parts.clear()
-
-        def names() -> Batches:
-            rows = [(k, lang, p, h) for (lang, k), pairs in seen.items() for p, h in pairs]
-            seen.clear()
-            if rows:
-                k, lang, phrase, hashes = (list(c) for c in zip(*rows))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k, pa.int32()), pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()),
-                     pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(np.zeros(len(k), np.int64))],
-                    names=["k", "lang", "phrase", "hash", "n"])
-
-        for lang, tokens in token_lists(batches):
-            hashes, ok = survivors.read(lang, tokens, max(named_k + summed_k))
-            for k in summed_k:
-                if k <= len(ok):
-                    held[k].append(hashes[k - 1][ok[k - 1]])
-                    waiting += len(held[k][-1])
-            for k in named_k:
-                if k <= len(ok):
-                    at = np.flatnonzero(ok[k - 1])
-                    different, first = np.unique(hashes[k - 1][at], return_index=True)
-                    found = seen.setdefault((lang, k), set())
-                    found.update((b" ".join(tokens[i : i + k]), int(h)) for h, i in zip(different, at[first]))
+        held, seen, waiting = [], {}, 0
+
+        def summed() -> pa.RecordBatch:
+            hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            none = pa.nulls(len(hashes), pa.string())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(hashes.view(np.int64)), pa.array(counts)], names=["lang", "phrase", "hash", "n"])
+
+        def listed() -> pa.RecordBatch:
+            lang, phrase, hashes = zip(*((lang, p, h) for lang, pairs in seen.items() for p, h in pairs))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()),
+                 pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(np.zeros(len(lang), np.int64))],
+                names=["lang", "phrase", "hash", "n"])
+
+        for lang, words, single, ids in chunk_rows(batches):
+            hashes, ok = survivors(single, ids, shared.value, named + 1)
+            if sums and len(ok) > named:
+                held.append(hashes[named][ok[named]])
+                waiting += len(held[-1])
+            if names and len(ok) >= named:
+                at = np.flatnonzero(ok[named - 1])
+                different, first = np.unique(hashes[named - 1][at], return_index=True)
+                found = seen.setdefault(lang, set())
+                found.update((b" ".join([words[j] for j in ids[i : i + named]]), int(h)) for h, i in zip(different, at[first]))
             if waiting >= HELD:
-                yield from sums()
-                waiting = 0
+                yield summed()
+                held, waiting = [], 0
             if sum(map(len, seen.values())) >= HELD // 8:
-                yield from names()
-        yield from sums()
-        yield from names()
+                yield listed()
+                seen = {}
+        yield summed()
+        if any(seen.values()):
+            yield listed()
 
-    found = texts.mapInArrow(worker, FOUND).groupBy("k", "lang", "phrase", "hash").agg(F.sum("n").alias("n"))
+    found = chunks.mapInArrow(worker, FOUND).groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
     return found.where(F.col("phrase").isNotNull() | (F.col("n") >= min_count))
 
 
-def candidates(texts: DataFrame, words: DataFrame, scratch: Scratch, min_count: int) -> DataFrame:
-    """``k, lang, phrase``: every phrase of 2 to 4 words that occurs ``min_count`` times, and few others."""
-    single = bitmap(hashed_words(words.where("word IS NOT NULL")))
-    pairs = stored(find_phrases(texts, single, [], [], [2], min_count).select("hash"), scratch, "pairs")
-    two = bitmap(pairs)
-    first = stored(find_phrases(texts, single, [two], [2], [3, 4], min_count), scratch, "first")
-    longer = first.where("phrase IS NULL").select("k", "hash")
-    more = [bitmap(longer.where(F.col("k") == k).select("hash")) for k in (3, 4)]
-    second = find_phrases(texts, single, [two, *more], [3, 4], [], min_count)
-    sums = pairs.select(F.lit(2).alias("k"), "hash").unionByName(longer)
-    texts_of = first.where("phrase IS NOT NULL").unionByName(second)
-    # Bitmaps let a few through by chance; the sums do not.
-    return stored(texts_of.join(sums.hint("merge"), ["k", "hash"], "left_semi").select("k", "lang", "phrase"), scratch, "candidates")
+def candidates(chunks: DataFrame, scratch: Scratch, min_count: int) -> DataFrame:
+    """``lang, phrase``: every phrase of 2 to 4 words that occurs ``min_count`` times, and few others."""
+    found = stored(find_phrases(chunks, [], min_count, names=False), scratch, "hashes-2")
+    bitmaps, every = [], None
+    for k in range(2, LONGEST + 1):
+        sums = found.where("phrase IS NULL").select("hash")
+        bitmaps.append(bitmap(sums))
+        found = stored(find_phrases(chunks, bitmaps, min_count, sums=k < LONGEST), scratch, f"hashes-{k + 1}")
+        # Bitmaps let a few through by chance; the sums do not.
+        named = found.where("phrase IS NOT NULL").join(sums.hint("merge"), "hash", "left_semi").select("lang", "phrase")
+        every = named if every is None else every.unionByName(named)
+    return stored(every, scratch, "candidates")
 
 
 def double_array(sequences: list[list[int]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,9 +348,10 @@ class Trie:
             self.symbols.setdefault(lang, {})[word.encode()] = k + 1
         self.base, self.check, self.accept = (np.frombuffer(a, np.int64) for a in (base, check, accept))
 
-    def accepted(self, lang: str, tokens: list[bytes]) -> Iterator[np.ndarray]:
+    def accepted(self, lang: str, words: list[bytes], ids: np.ndarray) -> Iterator[np.ndarray]:
         """For each number of words the accepting states of all positions, advanced together."""
-        symbol = np.fromiter(map(self.symbols.get(lang, {}).get, tokens, repeat(0)), np.int64, len(tokens))
+        own = np.fromiter(map(self.symbols.get(lang, {}).get, [*words, b""], repeat(0)), np.int64, len(words) + 1)
+        symbol = own[ids]  # -1 is the last one, and no symbol
         at, state = np.arange(len(symbol)), np.zeros(len(symbol), np.int64)
         for k in range(LONGEST):
             inside = at + k < len(symbol)
@@ -349,20 +364,20 @@ class Trie:
             yield state[self.accept[state] >= 0]
 
 
-def count_phrases(texts: DataFrame, trie: DataFrame) -> DataFrame:
+def count_phrases(chunks: DataFrame, trie: DataFrame) -> DataFrame:
     """``lang, phrase, n``: occurrences of the phrases of one trie, of bounded size, summed over the tasks."""
-    shared = texts.sparkSession.sparkContext.broadcast(trie.select("langs", "words", "base", "check", "accept").first().asDict())
+    shared = chunks.sparkSession.sparkContext.broadcast(trie.select("langs", "words", "base", "check", "accept").first().asDict())
 
     def worker(batches: Batches) -> Batches:
         mine = Trie(**shared.value)
         counts = np.zeros(len(mine.check), np.int64)
-        for lang, tokens in token_lists(batches):
-            for states in mine.accepted(lang, tokens):
+        for lang, words, _, ids in chunk_rows(batches):
+            for states in mine.accepted(lang, words, ids):
                 counts += np.bincount(states, minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(mine.accept[at]), pa.array(counts[at])], names=["number", "n"])
 
-    counted = texts.mapInArrow(worker, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+    counted = chunks.mapInArrow(worker, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
     keys = trie.select(F.posexplode("phrases").alias("number", "key"))
     return counted.join(keys, "number").select("key.lang", "key.phrase", "n")
 
@@ -374,11 +389,13 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang
     scratch = scratch or Scratch(docs.sparkSession)
     texts = named(docs, text, lang)
     words = stored(count_words(texts, min_count), scratch, "words")
-    found = candidates(texts, words, scratch, min_count)
+    single = bitmap(hashed_words(words.where("word IS NOT NULL")))
+    chunks = stored(encode(texts, single), scratch, "chunks")
+    found = candidates(chunks, scratch, min_count)
     built = stored(tries(found, found.count(), shard_phrases), scratch, "tries")
     counted = None
     for shard in sorted(r.shard for r in built.select("shard").collect()):
-        part = stored(count_phrases(texts, built.where(F.col("shard") == shard)), scratch, f"counts-{shard}")
+        part = stored(count_phrases(chunks, built.where(F.col("shard") == shard)), scratch, f"counts-{shard}")
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         counted = docs.sparkSession.createDataFrame([], "lang string, phrase string, n long")
