@@ -3,8 +3,7 @@
 Candidates are safe in the manner of Apriori: a frequent phrase has frequent parts.  Words are counted first; then tasks
 sum the hashes of neighbouring frequent words, and of three and four words whose pairs survive.  A hash stands for all
 phrases that share it, so its sum is never below the count of a phrase, and what is below the least count can go.  What
-the tasks need to know of the survivors is a bitmap of a fixed size.  Texts are read twice; from then on they are stored as
-numbers of frequent words.  The phrases behind the surviving hashes are dealt to
+the tasks need to know of the survivors is a bitmap of a fixed size.  Texts are read once and stored as numbers of words.  The phrases behind the surviving hashes are dealt to
 shards; each shard is a double-array trie of bounded size that goes to the tasks, which advance the states of all
 positions of the text level by level and count accepting states.  Counts are summed over tasks; they are exact, whatever
 the hashes.
@@ -67,28 +66,33 @@ def named(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
 
-def count_words(texts: DataFrame, min_count: int) -> DataFrame:
+def count_words(chunks: DataFrame, min_count: int) -> DataFrame:
     """``lang, word, n`` of words with at least ``min_count`` occurrences, and the sum over all words under a null word."""
     def worker(batches: Batches) -> Batches:
-        held: dict[str, Counter] = {}
+        held: dict[str, dict[bytes, int]] = {}
+        totals: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, None if w == END else w.decode(), n) for lang, words in held.items() for w, n in words.items()]
+            rows = [(lang, w.decode(), n) for lang, words in held.items() for w, n in words.items()]
+            rows += [(lang, None, n) for lang, n in totals.items()]
             held.clear()
+            totals.clear()
             columns = [list(c) for c in zip(*rows)] or [[], [], []]
             kinds = pa.string(), pa.string(), pa.int64()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["lang", "word", "n"])
 
-        for lang, tokens in token_lists(batches):
-            mine = held.setdefault(lang, Counter())
-            total = mine.pop(END, 0)
-            mine.update(tokens)
-            mine[END] = total + len(tokens) - mine.get(END, 0)
+        for lang, words, _, ids in chunk_rows(batches):
+            mine = held.setdefault(lang, {})
+            get = mine.get
+            counts = np.bincount(ids[ids >= 0], minlength=len(words))
+            for w, n in zip(words, counts.tolist()):
+                mine[w] = get(w, 0) + n
+            totals[lang] += int(counts.sum())
             if sum(map(len, held.values())) >= HELD // 4:
                 yield flush()
         yield flush()
 
-    counted = texts.mapInArrow(worker, "lang string, word string, n long")
+    counted = chunks.mapInArrow(worker, "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | F.col("word").isNull())
 
 
@@ -147,11 +151,8 @@ class Words(dict):
         return got
 
 
-def encode(texts: DataFrame, words: np.ndarray) -> DataFrame:
-    """``CHUNKS``: pieces of text as places in their own list of words; words that are not frequent, by the bitmap, and
-    ends of pieces are -1, once where several follow each other."""
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-
+def encode(texts: DataFrame) -> DataFrame:
+    """``CHUNKS``: some pieces of text as places in their own list of words, with -1 between pieces."""
     def worker(batches: Batches) -> Batches:
         known: dict[str, Words] = {}
         for lang, tokens in token_lists(batches):
@@ -159,15 +160,13 @@ def encode(texts: DataFrame, words: np.ndarray) -> DataFrame:
                 known.clear()
             mine = known.setdefault(lang, Words(lang))
             number = mine.numbers(tokens)
-            frequent = _marked(shared.value, mine.hashes)
+            present = np.zeros(len(mine) + 1, bool)
+            present[number] = True
             if END in mine:
-                frequent[mine[END]] = False
-            alive = frequent[number]
-            here, place = np.unique(number[alive], return_inverse=True)
-            ids = np.full(len(number), -1, np.int32)
-            ids[alive] = place
-            ids = ids[alive | np.r_[True, alive[:-1]]]
-            row = [lang, b" ".join([mine.names[k] for k in here]), mine.hashes[here].tobytes(), ids.tobytes()]
+                present[mine[END]] = False
+            here = np.flatnonzero(present)
+            place = np.where(present, np.cumsum(present) - 1, -1).astype(np.int32)
+            row = [lang, b" ".join([mine.names[k] for k in here]), mine.hashes[here].tobytes(), place[number].tobytes()]
             kinds = pa.string(), *[pa.binary()] * 3
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["lang", "words", "hashes", "ids"])
 
@@ -184,27 +183,29 @@ def chunk_rows(batches: Batches) -> Iterator[tuple[str, list[bytes], np.ndarray,
 def survivors(hashes: np.ndarray, ids: np.ndarray, bitmaps: list[np.ndarray], longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For k = 1 ... ``longest``: hash of the k words from each position on, and whether they may be frequent.
 
-    Where no bitmap tells of k words, it is asked of both their parts of k - 1 words.
+    Where no bitmap (the first is that of words) tells of k words, it is asked of both their parts of k - 1 words.
     """
-    ok = [ids >= 0]
-    word = np.where(ok[0], hashes[ids], np.uint64(0)) if len(hashes) else np.zeros(len(ids), np.uint64)
+    hashes = np.append(hashes, np.uint64(0))  # of the place -1
+    frequent = _marked(bitmaps[0], hashes)
+    frequent[-1] = False
+    word, ok = hashes[ids], [frequent[ids]]
     found = [word]
     for k in range(2, longest + 1):
         if len(word) < k:
             break
         found.append(chained(found[-1][:-1], word[k - 1 :]))
         may = ok[-1][:-1] & ok[-1][1:]
-        if k - 2 < len(bitmaps):
-            may[may] = _marked(bitmaps[k - 2], found[-1][may])
+        if k <= len(bitmaps):
+            may[may] = _marked(bitmaps[k - 1], found[-1][may])
         ok.append(may)
     return found, ok
 
 
 def find_phrases(chunks: DataFrame, bitmaps: list[np.ndarray], min_count: int, names: bool = True, sums: bool = True) -> DataFrame:
-    """``FOUND`` from the bitmaps of the hashes of 2, 3 ... words: the different phrases that the last of them lets
+    """``FOUND`` from the bitmaps of the hashes of 1, 2, 3 ... words: the different phrases that the last of them lets
     through, and for phrases of one word more the sums of their hashes that reach ``min_count``."""
     shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)
-    named = len(bitmaps) + 1
+    named = len(bitmaps)
 
     def worker(batches: Batches) -> Batches:
         held, seen, waiting = [], {}, 0
@@ -245,10 +246,10 @@ def find_phrases(chunks: DataFrame, bitmaps: list[np.ndarray], min_count: int, n
     return found.where(F.col("phrase").isNotNull() | (F.col("n") >= min_count))
 
 
-def candidates(chunks: DataFrame, scratch: Scratch, min_count: int) -> DataFrame:
+def candidates(chunks: DataFrame, words: DataFrame, scratch: Scratch, min_count: int) -> DataFrame:
     """``lang, phrase``: every phrase of 2 to 4 words that occurs ``min_count`` times, and few others."""
-    found = stored(find_phrases(chunks, [], min_count, names=False), scratch, "hashes-2")
-    bitmaps, every = [], None
+    bitmaps, every = [bitmap(hashed_words(words.where("word IS NOT NULL")))], None
+    found = stored(find_phrases(chunks, bitmaps, min_count, names=False), scratch, "hashes-2")
     for k in range(2, LONGEST + 1):
         sums = found.where("phrase IS NULL").select("hash")
         bitmaps.append(bitmap(sums))
@@ -263,60 +264,58 @@ def double_array(sequences: list[list[int]], symbols: int) -> tuple[np.ndarray,
     """``base``, ``check`` and ``accept`` (number of the sequence or -1) of a trie over symbols from 1 on.
 
     From state s the symbol c leads to t = base[s] + c if check[t] = s.  The root is 0.  Nodes with many children are
-    placed first, each at the first base where all its children find free cells.
+    placed first, each at the first base of growing windows where all its children find free cells; the children of nodes with a single one fill the gaps.
     """
-    children: list[dict[int, int]] = [{}]
-    ends = [-1]
+    nodes, ends = {}, [-1]  # (parent, symbol): node; parents have lower numbers than their children
     for number, sequence in enumerate(sequences):
         node = 0
         for c in sequence:
-            if c not in children[node]:
-                children[node][c] = len(children)
-                children.append({})
+            node = nodes.setdefault((node, c), len(nodes) + 1)
+            if node == len(ends):
                 ends.append(-1)
-            node = children[node][c]
         ends[node] = number
-    taken = np.zeros(2 * (len(children) + symbols) + WINDOW, bool)
+    if not nodes:
+        return np.zeros(1, np.int64), np.full(1, -1, np.int64), np.full(1, -1, np.int64)
+    pairs = np.array(list(nodes), np.int64)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    parent, code, child = pairs[order, 0], pairs[order, 1], order + 1
+    opens = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+    sizes = np.diff(np.r_[opens, len(parent)])
+    base_of = np.zeros(len(ends), np.int64)
+    taken = np.zeros(2 * (len(ends) + symbols) + WINDOW, bool)
     taken[0] = True
-    place, start = {}, 1
-    by_size = sorted((n for n in range(len(children)) if children[n]), key=lambda n: (n != 0, -len(children[n])))
-    several = [n for n in by_size if len(children[n]) > 1 or n == 0]
-    for node in several:
-        codes = np.sort(np.fromiter(children[node], np.int64))
-        codes -= (first := int(codes[0]))
-        at, width = start, WINDOW
+    cell, size = 1, 0
+    several = np.flatnonzero((sizes > 1) | (parent[opens] == 0))
+    for k in several[np.lexsort((-sizes[several], parent[opens[several]] != 0))]:
+        codes = code[opens[k] : opens[k] + sizes[k]]
+        first, codes = int(codes[0]), codes - codes[0]
+        # Nodes of one size go on where the last one found room.
+        at, width = (cell if sizes[k] == size else 1), WINDOW
+        size = sizes[k]
         while True:
-            short = at + width + int(codes[-1]) + 1 - len(taken)
-            if short > 0:
-                taken = np.concatenate([taken, np.zeros(short + len(taken), bool)])
+            if at + width + int(codes[-1]) >= len(taken):
+                taken = np.concatenate([taken, np.zeros(len(taken) + width + int(codes[-1]), bool)])
             fits = at + np.flatnonzero(~taken[at : at + width])
-            if at == start and 20 * len(fits) < width:
-                start += width  # what is left there is for nodes with one child
             for c in codes[1:]:
+                if not len(fits):
+                    break
                 fits = fits[~taken[fits + c]]
             if len(fits):
                 break
             at, width = at + width, 2 * width
-        taken[fits[0] + codes] = True
-        place[node] = int(fits[0]) - first
-    single = by_size[len(several) :]
+        cell = int(fits[0])
+        taken[cell + codes] = True
+        base_of[parent[opens[k]]] = cell - first
+    single = np.setdiff1d(np.arange(len(opens)), several)
     cells = np.flatnonzero(~taken)
-    if len(cells) < len(single):
-        cells = np.concatenate([cells, len(taken) + np.arange(len(single) - len(cells))])
-    cells = cells[: len(single)]
-    for node, cell in zip(single, cells):
-        place[node] = int(cell) - next(iter(children[node]))
-    taken = np.concatenate([taken, np.zeros(max(0, int(cells[-1]) + 1 - len(taken)) if len(cells) else 0, bool)])
-    taken[cells] = True
-    size = int(np.flatnonzero(taken)[-1]) + 1
+    cells = np.concatenate([cells, len(taken) + np.arange(max(0, len(single) - len(cells)))])[: len(single)]
+    base_of[parent[opens[single]]] = cells - code[opens[single]]
+    state = np.zeros(len(ends), np.int64)
+    state[child] = base_of[parent] + code
+    size = int(state.max()) + 1
     base, check, accept = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-    state = np.zeros(len(children), np.int64)
-    for node in range(len(children)):  # parents have lower numbers than their children
-        for c, child in children[node].items():
-            state[child] = place[node] + c
-            check[state[child]] = state[node]
-        base[state[node]] = place.get(node, 0)
-        accept[state[node]] = ends[node]
+    base[state], accept[state] = base_of, ends
+    check[state[child]] = state[parent]
     return base, check, accept
 
 
@@ -326,8 +325,10 @@ def tries(found: DataFrame, n_phrases: int, shard_phrases: int = SHARD_PHRASES)
 
     def build(table: pa.Table) -> pa.Table:
         langs, phrases = table["lang"].to_pylist(), table["phrase"].to_pylist()
-        numbers: dict[tuple[str, str], int] = {}
-        sequences = [[numbers.setdefault((lang, w), len(numbers) + 1) for w in p.split(" ")] for lang, p in zip(langs, phrases)]
+        # Frequent words get low symbols: the children of a node lie close together.
+        common = Counter((lang, w) for lang, p in zip(langs, phrases) for w in p.split(" "))
+        numbers = {w: k + 1 for k, (w, _) in enumerate(common.most_common())}
+        sequences = [[numbers[lang, w] for w in p.split(" ")] for lang, p in zip(langs, phrases)]
         base, check, accept = double_array(sequences, len(numbers))
         keys = [{"lang": lang, "phrase": p} for lang, p in zip(langs, phrases)]
         arrays = [a.tobytes() for a in (base, check, accept)]
@@ -388,10 +389,9 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang
     phrases that occur ``min_count`` times."""
     scratch = scratch or Scratch(docs.sparkSession)
     texts = named(docs, text, lang)
-    words = stored(count_words(texts, min_count), scratch, "words")
-    single = bitmap(hashed_words(words.where("word IS NOT NULL")))
-    chunks = stored(encode(texts, single), scratch, "chunks")
-    found = candidates(chunks, scratch, min_count)
+    chunks = stored(encode(texts), scratch, "chunks")
+    words = stored(count_words(chunks, min_count), scratch, "words")
+    found = candidates(chunks, words, scratch, min_count)
     built = stored(tries(found, found.count(), shard_phrases), scratch, "tries")
     counted = None
     for shard in sorted(r.shard for r in built.select("shard").collect()):
