@@ -18,6 +18,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,14 +119,18 @@ def chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """One bit for each ``hash`` modulo ``bits``, in 64-bit words; gathered as words that are not zero."""
+def bitmap(hashes: DataFrame, most_bits: int = BITS) -> Broadcast:
+    """One bit for each ``hash`` modulo the number of bits, in 64-bit words; gathered as words that are not zero.
+
+    There are about 64 bits for each hash, but never more than ``most_bits``.
+    """
+    bits = max(64, min(most_bits, 1 << (64 * hashes.count()).bit_length()))
     place = F.col("hash").bitwiseAND(F.lit(bits - 1))
     bit = F.expr("shiftleft(1L, cast(hash & 63 as int))")
     found = hashes.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return out
+    return hashes.sparkSession.sparkContext.broadcast(out)
 
 
 def _marked(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -201,14 +206,14 @@ def survivors(hashes: np.ndarray, ids: np.ndarray, bitmaps: list[np.ndarray], lo
     return found, ok
 
 
-def find_phrases(chunks: DataFrame, bitmaps: list[np.ndarray], min_count: int, names: bool = True, sums: bool = True) -> DataFrame:
+def find_phrases(chunks: DataFrame, bitmaps: list[Broadcast], min_count: int, names: bool = True, sums: bool = True) -> DataFrame:
     """``FOUND`` from the bitmaps of the hashes of 1, 2, 3 ... words: the different phrases that the last of them lets
     through, and for phrases of one word more the sums of their hashes that reach ``min_count``."""
-    shared = chunks.sparkSession.sparkContext.broadcast(bitmaps)
     named = len(bitmaps)
 
     def worker(batches: Batches) -> Batches:
         held, seen, waiting = [], {}, 0
+        known = [b.value for b in bitmaps]
 
         def summed() -> pa.RecordBatch:
             hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
@@ -223,7 +228,7 @@ def find_phrases(chunks: DataFrame, bitmaps: list[np.ndarray], min_count: int, n
                 names=["lang", "phrase", "hash", "n"])
 
         for lang, words, single, ids in chunk_rows(batches):
-            hashes, ok = survivors(single, ids, shared.value, named + 1)
+            hashes, ok = survivors(single, ids, known, named + 1)
             if sums and len(ok) > named:
                 held.append(hashes[named][ok[named]])
                 waiting += len(held[-1])
@@ -257,7 +262,10 @@ def candidates(chunks: DataFrame, words: DataFrame, scratch: Scratch, min_count:
         # Bitmaps let a few through by chance; the sums do not.
         named = found.where("phrase IS NOT NULL").join(sums.hint("merge"), "hash", "left_semi").select("lang", "phrase")
         every = named if every is None else every.unionByName(named)
-    return stored(every, scratch, "candidates")
+    found = stored(every, scratch, "candidates")
+    for shared in bitmaps:  # what was made with them is stored
+        shared.destroy()
+    return found
 
 
 def double_array(sequences: list[list[int]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -365,9 +373,8 @@ class Trie:
             yield state[self.accept[state] >= 0]
 
 
-def count_phrases(chunks: DataFrame, trie: DataFrame) -> DataFrame:
+def count_phrases(chunks: DataFrame, trie: DataFrame, shared: Broadcast) -> DataFrame:
     """``lang, phrase, n``: occurrences of the phrases of one trie, of bounded size, summed over the tasks."""
-    shared = chunks.sparkSession.sparkContext.broadcast(trie.select("langs", "words", "base", "check", "accept").first().asDict())
 
     def worker(batches: Batches) -> Batches:
         mine = Trie(**shared.value)
@@ -395,7 +402,11 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang
     built = stored(tries(found, found.count(), shard_phrases), scratch, "tries")
     counted = None
     for shard in sorted(r.shard for r in built.select("shard").collect()):
-        part = stored(count_phrases(chunks, built.where(F.col("shard") == shard)), scratch, f"counts-{shard}")
+        trie = built.where(F.col("shard") == shard)
+        arrays = trie.select("langs", "words", "base", "check", "accept").first().asDict()
+        shared = docs.sparkSession.sparkContext.broadcast(arrays)
+        part = stored(count_phrases(chunks, trie, shared), scratch, f"counts-{shard}")
+        shared.destroy()
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:
         counted = docs.sparkSession.createDataFrame([], "lang string, phrase string, n long")
