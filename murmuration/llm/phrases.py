@@ -27,7 +27,7 @@ from murmuration.sources.scratch import Scratch
 
 LONGEST = 4
 CHUNK = 1 << 20  # bytes of text that are Python objects at once
-HELD = 1 << 22  # hashes, and words, that a task combines at once
+HELD = 1 << 21  # hashes, and words, that a task combines at once
 BITS = 1 << 27  # of a bitmap of hashes: 16 MB at most at every size of the corpus
 SHARD_PHRASES = 1 << 18
 WINDOW = 4096  # cells that are tried together
@@ -63,6 +63,15 @@ def token_lists(batches: Batches) -> Iterator[tuple[str, list[bytes]]]:
                         start = cut + 1
 
 
+def released(worker):
+    """``worker`` that gives memory back at the end of a task: the process serves other tasks."""
+    def run(batches: Batches) -> Batches:
+        yield from worker(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def named(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
@@ -93,7 +102,7 @@ def count_words(chunks: DataFrame, min_count: int) -> DataFrame:
                 yield flush()
         yield flush()
 
-    counted = chunks.mapInArrow(worker, "lang string, word string, n long")
+    counted = chunks.mapInArrow(released(worker), "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | F.col("word").isNull())
 
 
@@ -108,7 +117,7 @@ def hashed_words(words: DataFrame) -> DataFrame:
             hashes = np.array([word_hash(lang, w.encode()) for lang, w in pairs], np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["hash"])
 
-    return words.select("lang", "word").mapInArrow(worker, "hash long")
+    return words.select("lang", "word").mapInArrow(released(worker), "hash long")
 
 
 def chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -116,7 +125,8 @@ def chained(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (before ^ (before >> np.uint64(29))) * _ODD[0] + word
         x = (x ^ (x >> np.uint64(32))) * _ODD[1]
-    return x ^ (x >> np.uint64(31))
+    # 48 bits: neighbours in order share most of their bytes in a shuffle.  Equal hashes only let more phrases through.
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(16)
 
 
 def bitmap(hashes: DataFrame, most_bits: int = BITS) -> Broadcast:
@@ -175,7 +185,7 @@ def encode(texts: DataFrame) -> DataFrame:
             kinds = pa.string(), *[pa.binary()] * 3
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["lang", "words", "hashes", "ids"])
 
-    return texts.mapInArrow(worker, CHUNKS)
+    return texts.mapInArrow(released(worker), CHUNKS)
 
 
 def chunk_rows(batches: Batches) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
@@ -247,7 +257,7 @@ def find_phrases(chunks: DataFrame, bitmaps: list[Broadcast], min_count: int, na
         if any(seen.values()):
             yield listed()
 
-    found = chunks.mapInArrow(worker, FOUND).groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
+    found = chunks.mapInArrow(released(worker), FOUND).groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
     return found.where(F.col("phrase").isNotNull() | (F.col("n") >= min_count))
 
 
@@ -385,7 +395,7 @@ def count_phrases(chunks: DataFrame, trie: DataFrame, shared: Broadcast) -> Data
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(mine.accept[at]), pa.array(counts[at])], names=["number", "n"])
 
-    counted = chunks.mapInArrow(worker, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+    counted = chunks.mapInArrow(released(worker), "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
     keys = trie.select(F.posexplode("phrases").alias("number", "key"))
     return counted.join(keys, "number").select("key.lang", "key.phrase", "n")
 
