@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from murmuration.functions.draws import Draw, hashed
 from murmuration.network import CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
 from murmuration.operators.blocks import PackedTable, pack_blocks
-from murmuration.operators.fitness import LOSSES, fitness
+from murmuration.operators.fitness import LOSSES, chunk_fitness
 from murmuration.operators.meeting import BROADCAST_BYTES
+from murmuration.operators.packed_swarm import PackedGeneration, leaders, pack_swarm
 from murmuration.operators.swarm import (
     LEADER,
     best_seen,
@@ -74,7 +76,9 @@ class Trained:
 
 
 class Generation:
-    """One generation: personal bests, global best, move, and the leader row of each group.
+    """One generation in row form: personal bests, global best, move, and the leader row of each group.
+
+    ``train_runs`` does the same on packed chunks (``operators.packed_swarm``).
 
     Call it with ``state`` (particles and one leader row per group, each with the number of steps done)
     and ``fits`` (``*keys, pid, fit``).  Who is best is found on the fitness alone; then the positions of the record
@@ -169,11 +173,10 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
     swarm_bytes = 8 * width * n_groups * sum(r["parts"] * (r["tier"] + 1) for r in runs)
     if swarm_bytes > broadcast_bytes:
         table.partition_for_joins()
-    state = _advance(scratch, swarm, table, runs, group, keys, network, loss, settings, decision, draw, swarm_bytes,
+    found = _advance(scratch, swarm, table, runs, group, keys, network, loss, settings, decision, draw, swarm_bytes,
                      broadcast_bytes)
-    leaders = state.where(F.col("pid") == LEADER).select(*keys, "pbest", "pbest_fit", "history")
-    final = scratch.store(leaders, "leaders")
-    scratch.drop("groups", *[n for n in scratch.names() if n.startswith(("generation", "judged"))])
+    final = scratch.store(found, "leaders")
+    scratch.drop("groups", *[n for n in scratch.names() if n.startswith(("generation", "final"))])
     seconds = time.perf_counter() - began
     facts = spark.createDataFrame(
         [(r["run_id"], r["iters"], r["parts"], r["rows"], seconds) for r in runs],
@@ -197,23 +200,27 @@ def train_runs(table: PackedTable, runs: list[dict], group: list[str], network:
 
 def _advance(scratch, swarm, table, runs, group, keys, network, loss, settings, decision, draw, swarm_bytes,
              broadcast_bytes) -> DataFrame:
-    """The state after the last generation.  Each generation ends in a stored table."""
-    state = scratch.store(with_leaders(swarm).drop("parts", "n_rows"), "generation-0")
+    """The leaders of all groups and runs.  Each generation ends in one stored table."""
+    width = network.n_weights(table.n_inputs)
+    state = scratch.store(pack_swarm(swarm, keys, width), "generation-0")
     top_tier = max(r["tier"] for r in runs)
+    ends = {r["iters"] for r in runs}
     small = swarm_bytes <= broadcast_bytes  # what is broadcast beside the swarm is smaller than the swarm
-    advance = Generation(keys, settings, draw, group, small)
-    for step in range(1, max(r["iters"] for r in runs) + 1):
-        active = state.where(F.col("iters") >= step) if len(runs) > 1 else state
-        particles = active.where(F.col("pid") != LEADER)
+    generation = PackedGeneration(keys, settings, draw, group, small)
+    found = []
+    for step in range(1, max(ends) + 1):
+        active = state.where(F.col("iters") >= step) if len(ends) > 1 else state
+        chunks = generation.moved(active, step)
         if top_tier:
-            particles = particles.withColumn("tier", F.explode(F.sequence(F.lit(0), F.col("tier"))))
-        fits = fitness(table.blocks, particles, [*group, "tier"], keys, network, table.n_inputs, loss, swarm_bytes,
-                       table.hot, decision, broadcast_bytes)
-        after = advance(active, fits, step == 1, lambda df: scratch.store(df, f"judged-{step % 2}"))
-        if len(runs) > 1:
-            after = after.unionByName(state.where(F.col("iters") < step))
-        state = scratch.store(after, f"generation-{step % 2 + 1}")
-    return state
+            chunks = chunks.withColumn("tier", F.explode(F.sequence(F.lit(0), F.col("tier"))))
+        fits, shared = chunk_fitness(table.blocks, chunks, [*group, "tier"], keys, network, table.n_inputs, loss, swarm_bytes,
+                                     table.hot, decision, broadcast_bytes)
+        state = scratch.store(generation.judged(active, fits, step), f"generation-{step % 2 + 1}")
+        if shared is not None:
+            shared.destroy()
+        if step in ends:
+            found.append(scratch.store(leaders(state.where(F.col("iters") == step), keys), f"final-{step}"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def fit(df: DataFrame, group: list[str], network: Network = REGRESSOR, loss: str = "mse",
