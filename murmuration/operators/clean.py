@@ -45,9 +45,9 @@ class Cut:
 
 
 def _tie(df: DataFrame) -> Column:
-    """Decides between rows of equal value; only rows that are equal in all cells have equal hashes."""
+    """Decides between rows of equal value: a hash of all cells and of which of them are null."""
     plain = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
-    return F.xxhash64(*plain)
+    return F.xxhash64(*plain, *[F.col(c).isNull() for c in plain])
 
 
 def find_cut(df: DataFrame, n: int, order: str) -> Cut | None:
@@ -106,11 +106,24 @@ def up_to(df: DataFrame, cut: Cut, order: str, how: str = "<=") -> Column:
     return _compare((cut.value, cut.tie), how, F.col(order), _tie(df))
 
 
+def at_cut(df: DataFrame, cut: Cut, order: str) -> DataFrame:
+    """The rows that stand at the cut, numbered from 0 in ``rank``, wherever they are: counts per partition give offsets."""
+    equal = df.where(up_to(df, cut, order, "="))
+    counts = sorted(equal.groupBy(F.spark_partition_id().alias("part")).count().collect())
+    starts, before = [], 0
+    for r in counts:
+        starts.append((r.part, before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(starts, "part int, start long")
+    placed = equal.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    return placed.join(F.broadcast(offsets), "part").select(*df.columns, (F.col("start") + F.col("row")).alias("rank"))
+
+
 def first_rows(df: DataFrame, n: int, order: str = "row_id") -> DataFrame:
     """The first ``n`` rows by ``order``, nulls first; rows of equal value go by a hash of all their cells.
 
     The place of the last row is found first (see ``find_cut``, which runs jobs); the result is a filter on it and
-    moves no rows.  Rows that are equal in all cells are interchangeable, as many as fit are taken.
+    moves no rows.  Of rows that are equal in all cells as many as fit are taken, by their places in the partitions.
     """
     cut = find_cut(df, n, order)
     if cut is None:
@@ -120,7 +133,7 @@ def first_rows(df: DataFrame, n: int, order: str = "row_id") -> DataFrame:
         wanted = (F.col(order).isNull() | (F.col(order) <= F.lit(cut.value))) & wanted
     if cut.before + cut.there == n:
         return df.where(wanted)
-    equal = df.where(up_to(df, cut, order, "=")).limit(n - cut.before)
+    equal = at_cut(df, cut, order).where(F.col("rank") < n - cut.before).drop("rank")
     return df.where(up_to(df, cut, order, "<")).unionByName(equal)
 
 

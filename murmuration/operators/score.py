@@ -92,7 +92,8 @@ def predict(df: DataFrame, weights: DataFrame, group: list[str], network: Networ
     ``weights`` has one row per group: ``*group, pos``.  Without targets (``y=None``) there is no ``real``; ``row_id``
     is of any type; the columns ``keep`` come along.  The size of all models is measured: up to ``broadcast_bytes``
     every task has them and rows are read once, beyond it bundles of rows meet the models of their group in a sharded
-    join.  Rows without features and rows of a group without a model keep a null prediction.
+    join.  Rows without features and rows of a group without a model keep a null prediction, and so do
+    rows whose group is null in any column, whatever the models: both ways give the same answers.
     """
     named = [*([F.col(row_id).alias("row_id")] if row_id else []), *([F.col(y).cast("double").alias("real")] if y else [])]
     source = df.select(*group, *named, *(keep or []), F.col(x).cast("array<double>").alias("_x"))
@@ -102,7 +103,12 @@ def predict(df: DataFrame, weights: DataFrame, group: list[str], network: Networ
     weight_bytes = 8 * (models.agg(F.sum(F.size("pos"))).first()[0] or 0)
     net = net_arguments(network, n_inputs)
     if weight_bytes <= broadcast_bytes:
-        known = {tuple(r[k] for k in group): np.array(r["pos"]) for r in models.collect()}  # measured above
+        table, known = models.toArrow(), {}  # measured above
+        for batch in table.to_batches():
+            for i in range(batch.num_rows):
+                key = tuple(batch.column(k)[i].as_py() for k in group)
+                if None not in key:
+                    known[key] = batch.column("pos")[i].values.to_numpy(zero_copy_only=False)
         scored = source.mapInArrow(_predictor(tuple(group), net, df.sparkSession.sparkContext.broadcast(known)), schema)
     else:
         bundled = T.StructType([*[source.schema[k] for k in group], T.StructField("block", T.LongType()),

@@ -9,8 +9,11 @@ from murmuration import Network, SwarmSettings, evaluate, fit, sweep
 from murmuration.functions.draws import lattice
 from murmuration.functions.forward import forward
 from murmuration.network import CLASSIFIER, REGRESSOR
-from murmuration.operators.blocks import PackedTable, block_rows, cluster_rows, pack_blocks
-from murmuration.operators.fitness import CHUNK_BYTES, fitness
+from murmuration.operators.blocks import PackedTable, cluster_rows, pack_blocks
+from murmuration.operators import fitness as fitness_module
+from murmuration.operators.clean import _tie, first_rows
+from murmuration.operators.fitness import chunk_fitness, fitness
+from murmuration.operators.packed_swarm import PackedGeneration, pack_swarm
 from murmuration.operators.score import predict
 from murmuration.operators.swarm import attach_best, global_best, init_swarm, move, update_personal
 from murmuration.sources.scratch import Scratch
@@ -264,10 +267,34 @@ def test_null_groups_and_features_that_are_no_numbers_stop(spark):
         fit(spark.createDataFrame([(0, 1, [float("nan")], 1.0)], schema), ["grp"], particles=2, iterations=1)
 
 
-def test_blocks_outweigh_the_particles_beside_them():
-    """What goes to Python in a generation is at most half as much again as the rows."""
-    for width in (14, 64, 1000):
-        assert 8 * (width + 1) * block_rows(width) + CHUNK_BYTES <= 1.5 * 8 * (width + 1) * block_rows(width)
+@pytest.mark.parametrize("loss", ["mse", "auc"])
+def test_blocks_travel_without_particles(rows, loss):
+    """A swarm within the limit is in the tasks: Python is sent the packed rows and nothing beside them."""
+    classes = rows.withColumns({"tier": F.lit(0), "y": (F.col("y") > 0).cast("double")})
+    table = PackedTable(pack_blocks(classes, ["grp", "tier"]), ["grp", "tier"])
+    start = init_swarm(rows.select("grp").distinct(), ["grp"], 7, 12, 1.0).withColumns({"iters": F.lit(1), "tier": F.lit(0)})
+    chunks = PackedGeneration(["grp"], SwarmSettings()).moved(pack_swarm(start, ["grp"], 12), 1)
+    for limit in (1 << 20, 0):
+        fits, shared = chunk_fitness(table.blocks, chunks, ["grp", "tier"], ["grp"], NET, 3, loss, 8 * 12 * 28, broadcast_bytes=limit)
+        plan = fits._jdf.queryExecution().analyzed().toString()
+        assert ("flat" in plan) == (limit == 0) and (shared is None) == (limit == 0)
+        found = {(r.grp, p.pid): p.fit for r in fits.collect() for p in r.fits}
+        plain = fitness(table.blocks, start, ["grp", "tier"], ["grp"], NET, 3, loss).collect()
+        assert found == {(r.grp, r.pid): pytest.approx(r.fit, rel=1e-12) for r in plain}
+    table.close()
+
+
+@pytest.mark.parametrize("update", ["sync", "async"])
+def test_groups_of_several_chunks(rows, update, monkeypatch):
+    """Two particles a chunk: the best before a chunk comes from the chunks before it."""
+    settings = SwarmSettings(particles=9, iterations=5, v_max=0.5, pos_max=2.0, init_range=1.5, update=update)
+    whole = fit(rows, ["grp"], NET, "mse", settings, draw=lattice)
+    monkeypatch.setattr(fitness_module, "CHUNK_BYTES", 8 * 12 * 2)
+    for limit in (1 << 20, 0):
+        parts = fit(rows, ["grp"], NET, "mse", settings, draw=lattice, broadcast_bytes=limit)
+        assert {r.grp: r.pos for r in parts.weights.collect()} == {r.grp: r.pos for r in whole.weights.collect()}
+        curves = [{(r.grp, r.iter): r.best_fitness for r in t.curve.collect()} for t in (parts, whole)]
+        assert curves[0] == pytest.approx(curves[1], rel=1e-12)
 
 
 def test_stored_tables_can_be_dropped(rows):
@@ -354,6 +381,35 @@ def test_sweep_equals_single_trainings(rows):
     assert all(r["count"] == int(r.run_id.split("iters=")[1][0]) for r in lengths)
 
 
+def test_sweep_limits_end_among_equal_rows(spark):
+    same = [(5, 0, [1.0, 2.0, 3.0], 4.0)] * 6
+    rows = spark.createDataFrame([(1, 0, [0.5, 0.5, 0.5], 1.0), *same, (9, 0, [3.0, 1.0, 2.0], 2.0)],
+                                 "row_id int, grp int, x array<double>, y double").repartition(3).cache()
+    limits = [2, 4, 7, None]
+    swept = sweep(rows, ["grp"], limits, [2], [3], NET, "mse", SwarmSettings(v_max=0.5, init_range=1.0))
+    fits = {r.run_id: r.fit for r in swept.weights.collect()}
+    for n in limits:
+        part = rows if n is None else first_rows(rows, n)
+        assert part.count() == (n or 8)
+        alone = fit(part, ["grp"], NET, "mse", SwarmSettings(v_max=0.5, init_range=1.0), iterations=2, particles=3)
+        assert fits[f"rows={n or 'all'},iters=2,parts=3"] == pytest.approx(alone.weights.first().fit, rel=1e-9)
+
+
+def test_nulls_in_different_cells_are_different_rows(spark):
+    rows = spark.createDataFrame([(1, None, 7), (1, 7, None)] * 4, "row_id int, a int, b int")
+    assert rows.select(_tie(rows)).distinct().count() == 2
+    assert first_rows(rows, 4).distinct().count() == 1 and first_rows(rows, 3).count() == 3
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 30, 0])
+def test_null_groups_have_no_model(spark, broadcast_bytes):
+    rows = spark.createDataFrame([(1, None, [1.0]), (2, 3, [1.0])], "row_id int, grp int, x array<double>")
+    weights = spark.createDataFrame([(None, [2.0, 3.0]), (3, [2.0, 3.0])], "grp int, pos array<double>")
+    net = Network(hidden="identity", output="linear", n_hidden=1)
+    found = predict(rows, weights, ["grp"], net, 1, y=None, broadcast_bytes=broadcast_bytes)
+    assert {r.row_id: r.predicted for r in found.collect()} == {1: None, 2: 6.0}
+
+
 def test_curve_comparison(spark):
     a = spark.createDataFrame([(0, 5.0), (1, 3.0), (2, 3.0)], "iter int, best_fitness double")
     b = spark.createDataFrame([(0, 9.0), (1, 8.0)], "iter int, best_fitness double")

@@ -8,6 +8,7 @@ from workload.queries import (
     FREE,
     PARTICLES,
     PERSONAL,
+    PUBLISHED,
     SWEEP_ITERATIONS,
     SWEEP_PARTICLES,
     SWEEP_ROWS,
@@ -195,9 +196,9 @@ def generations(prefix, data, settings, size, fit_of, particles, iterations) ->
     return ctes, f"{prefix}s{iterations}", f"{prefix}{iterations}g"
 
 
-def demand_training(prefix, settings, hidden, data="e", particles=PARTICLES, iterations=None):
+def demand_training(prefix, settings, hidden, data="e", particles=PARTICLES, iterations=None, h=SMALL_H):
     return generations(
-        prefix, data, settings, SMALL_W, lambda n, d, s: mse_fit(n, d, s, D, SMALL_H, hidden), particles,
+        prefix, data, settings, h * (D + 1), lambda n, d, s: mse_fit(n, d, s, D, h, hidden), particles,
         iterations or settings.iterations,
     )
 
@@ -207,9 +208,9 @@ def spelled(keys, arrays, source, size) -> str:
     return f"SELECT {keys}, i - 1 AS k, {columns} FROM (SELECT *, unnest(range(1, {size + 1})) AS i FROM {source})"
 
 
-def trained(settings, hidden) -> str:
-    ctes, _, leader = demand_training("t", settings, hidden)
-    return with_(E, *ctes) + spelled("grp, round(fit, 6) + 0e0 AS fit", {"pos": "pos"}, leader, SMALL_W)
+def trained(settings, hidden, h=SMALL_H) -> str:
+    ctes, _, leader = demand_training("t", settings, hidden, particles=settings.particles, h=h)
+    return with_(E, *ctes) + spelled("grp, round(fit, 6) + 0e0 AS fit", {"pos": "pos"}, leader, h * (D + 1))
 
 
 def trained_class(fit_of) -> str:
@@ -446,6 +447,7 @@ UNION ALL SELECT DISTINCT grp, 0, -1, lpad(CAST(grp AS VARCHAR), 2, '0') || ':00
         "generation_async": generation_pair(BOUNDED, "identity"),
         "train_sync": trained(FREE, "tanh"),
         "train_async": trained(BOUNDED, "tanh"),
+        "train_published_width": trained(PUBLISHED, "tanh", H),
         "train_per_hour": trained(BOUNDED, "identity"),
         "train_personal": trained(PERSONAL, "identity"),
         "train_class_bce": trained_class(bce_fit),

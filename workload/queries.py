@@ -54,6 +54,7 @@ PERSONAL = SwarmSettings(particles=PARTICLES, iterations=ITERATIONS, v_max=0.48,
                          update="async", social="personal")
 CLASS_SWARM = SwarmSettings(particles=PARTICLES, iterations=ITERATIONS, c1=3.5, c2=1.8, v_max=0.1, pos_max=1.0,
                             init_range=1.0)
+PUBLISHED = SwarmSettings(particles=4, iterations=2)  # the published constants and width, few particles and generations
 SMALL_CLASSIFIER = Network(hidden="relu", output="sigmoid", n_hidden=4)
 SWEEP_ROWS = [5000, None]
 SWEEP_ITERATIONS = [2, 3]
@@ -561,6 +562,7 @@ def registered() -> dict[str, Query]:
         "generation_async": _generations(BOUNDED, SMALL_LINEAR),
         "train_sync": _train(FREE, SMALL),
         "train_async": _train(BOUNDED, SMALL),
+        "train_published_width": _train(PUBLISHED, REGRESSOR),
         "train_per_hour": _train(BOUNDED, SMALL_LINEAR),
         "train_personal": _train(PERSONAL, SMALL_LINEAR),
         "train_class_bce": _train_class("bce"),
