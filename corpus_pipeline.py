@@ -11,11 +11,14 @@ from murmuration.llm.rows import stored
 from murmuration.sources.scratch import Scratch
 
 ROW = "__row"
+FEW_ROWS = 1 << 20  # eight bytes each
 
 
-def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` stored with a running number, as ids may repeat or be null."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), Scratch(spark), "numbered")
+def without_rows(docs: DataFrame, dropped: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` without the rows whose numbers ``dropped`` has; few numbers, counted first, go to all tasks."""
+    numbers = stored(dropped.select(ROW), scratch, "dropped")
+    few = numbers.count() <= FEW_ROWS
+    return docs.join(F.broadcast(numbers) if few else numbers.hint("merge"), ROW, "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +30,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space the longest, then the one with the smallest id; one row of each."""
     kept = exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns, "text_sha256")
-    rows = numbered(spark, kept)
+    scratch = Scratch(spark)
+    rows = stored(kept.withColumn(ROW, F.monotonically_increasing_id()), scratch, "numbered")
     first = rows.groupBy("text_sha256").agg(F.min(ROW).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
     again = rows.select("text_sha256", ROW).join(first, "text_sha256").where(F.col(ROW) != F.col("__first"))
-    return rows.join(again.select(ROW), ROW, "left_anti").select(*docs.columns)
+    return without_rows(rows, again, scratch).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-equal fingerprints, that with the smallest id; rows without an id come last."""
-    rows = numbered(spark, docs)
+    # ``docs`` is a stored table: each scan numbers its rows alike.
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
     groups = simhash.simhash_groups(rows.select(key.alias("doc_id"), "text"))
     dropped = groups.where(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias(ROW))
-    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)
+    return without_rows(rows, dropped, Scratch(spark)).select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
