@@ -292,14 +292,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, text:
             (F.col("start") + F.col("count") + F.lit(width - 1)).alias("end")]
     copied = kinds.where("copies > 1").select("key", "content")
     spans = again.where(~F.col("differ")).select(*span).unionByName(
-        differing.join(copied, ["key", "content"]).select(*span)
+        differing.join(copied.hint("merge"), ["key", "content"]).select(*span)  # Spark splits it where a run is hot
     )
 
     crowds = stored(kinds.groupBy("key").count().where(F.col("count") > many).select("key"), scratch, "crowds")
     spans = spans.unionByName(_sorted_spans(texts, kinds.join(crowds, "key", "left_anti"), owner, width))
     if not crowds.isEmpty():
         spans = spans.unionByName(_counted_spans(texts, kinds.join(crowds, "key"), owner, width))
-    found = spans.groupBy("doc_id", "digest").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+    found = spans.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("begin", "end")).alias("found"))
     result = T.StructType([
         owner[0], T.StructField("n_bytes", long), T.StructField("n_removed", long),
         T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", long), T.StructField("end", long)]))),

@@ -73,3 +73,10 @@ def test_equal_strings_have_equal_anchors():
     for b, c, h in zip(begin.tolist(), count.tolist(), key.tolist()):
         for k in range(b, b + c):
             assert keys.setdefault(data[k : k + 40].tobytes(), h) == h
+
+
+def test_rows_that_repeat_gather_their_spans_once(spark):
+    text = "".join(chr(97 + (k * k * 7 + k // 3) % 26) for k in range(300))
+    rows = spark.createDataFrame([(7, text)] * 400 + [(8, "other " + text[:250])], "doc_id long, text string").repartition(4)
+    found = suffix_dedup.remove_repeats(rows).collect()
+    assert len(found) == 401 and {(r.doc_id, r.n_removed, len(r.spans)) for r in found} == {(7, 300, 1), (8, 250, 1)}
