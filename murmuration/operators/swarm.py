@@ -14,6 +14,7 @@ from murmuration.functions.draws import Draw, drawn_vector, hashed
 from murmuration.functions.scalar import clamp
 
 LEADER = -1
+SPAN = 1 << 16  # particles of a group that one task walks through in order
 
 
 def place_particles(groups: DataFrame, n_particles: int | Column) -> DataFrame:
@@ -66,14 +67,24 @@ def best_seen(fits: DataFrame, keys: list[str], running: bool) -> DataFrame:
     """Add ``best_pid, best_fit`` of the group, or with ``running`` of the particles up to and including this one in
     ``pid`` order, and ``lead_pid, lead_fit`` of the group.
 
-    ``fits`` has ``*keys, pid, pbest_fit`` and perhaps more; keep it narrow, because a group meets in one task.
+    ``fits`` has ``*keys, pid, pbest_fit`` and perhaps more; ``pid`` is a number that occurs once in a group, and no key
+    is null.  Particles meet in spans of ``SPAN`` numbers; a window over one row per span carries the best so far from
+    span to span, so a group of any size is split.
     """
-    group = Window.partitionBy(*keys)
-    ordered = group.orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = [*keys, "_span"]
     place = F.struct("pbest_fit", "pid")
-    found = fits.withColumns({
-        "_best": F.min(place).over(ordered if running else group), "_lead": F.min(place).over(group)
-    })
+    # One exchange serves the spans and the rows.
+    dealt = fits.withColumn("_span", F.floor(F.col("pid") / F.lit(SPAN))).repartition(*at)
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = dealt.groupBy(*at).agg(F.min(place).alias("_least")).select(
+        *at, F.min("_least").over(group).alias("_lead"), F.min("_least").over(before).alias("_before")
+    )
+    if running:
+        inside = Window.partitionBy(*at).orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        dealt = dealt.withColumn("_inside", F.min(place).over(inside))
+    best = F.least("_before", "_inside") if running else F.col("_lead")
+    found = dealt.join(spans, at).withColumn("_best", best)
     return found.select(
         *fits.columns, F.col("_best.pid").alias("best_pid"), F.col("_best.pbest_fit").alias("best_fit"),
         F.col("_lead.pid").alias("lead_pid"), F.col("_lead.pbest_fit").alias("lead_fit"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,18 +45,21 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str], with_posi
     return placed.join(pieces, "_piece").select(*columns, row_id.alias("row_id"))
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Every line, header included, as an array of trimmed cells; lines may differ in length."""
+def read_cells(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Every line, header included, as an array of trimmed cells; lines may differ in length.
+
+    ``keys`` are the names of folders (``name=value``) to keep as columns.
+    """
     return spark.read.text(path).select(
-        F.transform(F.split("value", ","), lambda cell: F.trim(cell)).alias("cells")
+        *keys, F.transform(F.split("value", ","), lambda cell: F.trim(cell)).alias("cells")
     )
 
 
-def read_curve(spark: SparkSession, path: str, algo: str) -> DataFrame:
-    """A headerless file with one best fitness per line, numbered from zero in file order.
+def read_curve(spark: SparkSession, path: str, algo: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Headerless files with one best fitness per line, numbered from zero in file order; ``keys`` as in ``read_cells``.
 
     A curve has one line per generation, a number set by the trainer and not by the data.
     """
     lines = spark.read.schema("best_fitness double").csv(path).withColumn("line", F.monotonically_increasing_id())
     position = F.row_number().over(Window.partitionBy(F.input_file_name()).orderBy("line")) - 1
-    return lines.select(F.lit(algo).alias("algo"), position.alias("iter"), "best_fitness")
+    return lines.select(F.lit(algo).alias("algo"), *keys, position.alias("iter"), "best_fitness")

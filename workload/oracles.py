@@ -343,7 +343,14 @@ def oracles() -> dict[str, str]:
         f" WHEN {i} = base + 3 THEN l_tax END AS x{i}"
         for i in range(14)
     )
-    sync, _, _ = demand_training("t", FREE, "tanh")
+    sync, _, led = demand_training("t", FREE, "tanh")
+    keyed = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+    parts = "vp AS (SELECT l_partkey AS v, row_number() OVER (ORDER BY min(rid)) - 1 AS i FROM m GROUP BY l_partkey)"
+
+    def weight(at):
+        return f"CASE WHEN {at} IS NULL THEN 0e0 ELSE (({at}) * 7919 % 1000) / 1000e0 END"
+
+    model = drawn(SMALL_W, 0.5, 0, "grp")
     return {
         "clean_limit": """SELECT c_custkey AS row_id, c_acctbal AS balance FROM customer
 WHERE c_mktsegment <> 'HOUSEHOLD' AND c_acctbal IS NOT NULL ORDER BY c_custkey LIMIT 500""",
@@ -456,4 +463,19 @@ UNION ALL SELECT DISTINCT grp, 0, -1, lpad(CAST(grp AS VARCHAR), 2, '0') || ':00
         + f"SELECT grp, iter, {r6('fit')} AS best_fitness FROM ({curve_rows('t', FREE.iterations)})",
         "curve_compare": compared(),
         "sweep": swept(),
+        "onehot_wide": with_(lines, parts) + f"SELECT {keyed}, i AS place FROM m JOIN vp ON l_partkey = v",
+        "sparse_wide": with_(lines, seen[0], parts) + f"""SELECT {keyed}, {r6(
+            f"{weight('vp.i')} + {weight('vp_n + va.i')} + l_quantity * {weight('vp_n + va_n')}")} AS score
+FROM m JOIN vp ON l_partkey = vp.v JOIN va ON l_returnflag = va.v,
+  (SELECT count(*) AS vp_n FROM vp), (SELECT count(*) AS va_n FROM va)""",
+        "csv_roundtrip": """SELECT row_number() OVER (ORDER BY event_id) - 1 AS number, event_id, event_type, value
+FROM events""",
+        "cells_roundtrip": with_(E) + f"""SELECT CAST({SMALL_W} AS BIGINT) AS n_weights, {r6('w[1]')} AS w0, {r6('w[2]')} AS w1,
+  {r6('w[45]')} AS w44 FROM (SELECT {model} AS w FROM (SELECT DISTINCT grp FROM e))""",
+        "curve_file": with_(E, *sync)
+        + f"SELECT 'sync' AS algo, grp, iter, {r6('fit')} AS best_fitness FROM ({curve_rows('t', FREE.iterations)})",
+        "class_results_file": with_(C, CW, CP) + f"""SELECT y AS real, {DECIDED} AS predicted, 2 * count(*) AS n_rows
+FROM cp GROUP BY ALL""",
+        "runs_file": with_(E, *sync) + f"""SELECT 'train_mse' AS metric, CAST({FREE.iterations} AS BIGINT) AS iters,
+  CAST({PARTICLES} AS BIGINT) AS parts, (SELECT count(*) FROM e) AS n_rows, {r6('avg(fit)')} AS value FROM {led}""",
     }

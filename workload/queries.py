@@ -11,7 +11,7 @@ from murmuration.functions import calendar, scalar, vectors as vec
 from murmuration.functions.draws import drawn_vector, lattice
 from murmuration.functions.forward import forward
 from murmuration.network import CLASSIFIER, DEEP_CLASSIFIER, LINEAR_REGRESSOR, REGRESSOR, Network
-from murmuration.operators import clean, encode, metrics
+from murmuration.operators import clean, encode, metrics, wide
 from murmuration.operators.blocks import pack_blocks
 from murmuration.operators.fitness import fitness
 from murmuration.operators.score import predict
@@ -26,7 +26,7 @@ from murmuration.operators.swarm import (
 from murmuration.plans.evaluate import error_report, evaluate
 from murmuration.plans.sweep import compare_curves, monotone_curve, stack_curves, sweep
 from murmuration.plans.train import Generation, SwarmSettings, fit, with_leaders
-from murmuration.sources import sinks
+from murmuration.sources import sinks, text
 from murmuration.sources.scratch import Scratch
 from workload.bindings import (
     DEMAND_INPUTS,
@@ -501,6 +501,74 @@ def sweep_runs(spark, sf_dir):
     return trained.weights.select("run_id", "grp", r6(F.col("fit")).alias("fit"))
 
 
+# ---- wide vocabularies ---------------------------------------------------------------------------
+
+LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def onehot_wide(spark, sf_dir):
+    """Where the one stands in the one-hot vector of every part number, over order lines, by first appearance."""
+    lines = mixed(spark, sf_dir).select(*LINE_KEYS, "line")
+    numbered = wide.number_values(lines, "l_partkey", "line")
+    return wide.look_up(lines, "l_partkey", numbered, "place").select(*LINE_KEYS, "place")
+
+
+def sparse_wide(spark, sf_dir):
+    """Scores of sparse vectors of part number, return flag and quantity."""
+    features = wide.assemble_sparse(mixed(spark, sf_dir), ["l_partkey", "l_returnflag"], ["l_quantity"], "line")
+    width = features.agg(F.max("x.size")).first()[0]
+    weights = spark.range(width).select(F.col("id").alias("index"), ((F.col("id") * 7919) % 1000 / F.lit(1000.0)).alias("weight"))
+    return wide.sparse_scores(features, LINE_KEYS, "x", weights).select(*LINE_KEYS, r6(F.col("score")).alias("score"))
+
+
+# ---- text files, written and read again ----------------------------------------------------------
+
+
+def csv_roundtrip(spark, sf_dir):
+    """Events as delimited text, read back and numbered in the order of the files."""
+    path = Scratch(spark).path("events")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    events.repartitionByRange("event_id").sortWithinPartitions("event_id").write.option("header", True).csv(path)
+    read = text.read_delimited(spark, path, events.columns)
+    return wide.number_rows(read, ["row_id"], Scratch(spark)).select(
+        "number", F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("value").cast("double").alias("value")
+    )
+
+
+def cells_roundtrip(spark, sf_dir):
+    """Models as lines of weights, read back as cells."""
+    path = Scratch(spark).path("weights")
+    models = lattice_weights(demand(spark, sf_dir), SMALL, DEMAND_INPUTS, 0.5)
+    sinks.write_weights_text(models, path)
+    cells = text.read_cells(spark, path).select(F.transform("cells", lambda c: c.cast("double")).alias("pos"))
+    return cells.select(F.size("pos").cast("long").alias("n_weights"), *[r6(F.col("pos")[i]).alias(f"w{i}") for i in (0, 1, 44)])
+
+
+def curve_file(spark, sf_dir):
+    path = Scratch(spark).path("curves")
+    sinks.write_curve_text(_trained_demand(spark, sf_dir, FREE, SMALL).curve, path)
+    return text.read_curve(spark, path, "sync", ["grp"]).select(
+        "algo", "grp", F.col("iter").cast("long").alias("iter"), r6(F.col("best_fitness")).alias("best_fitness")
+    )
+
+
+def class_results_file(spark, sf_dir):
+    """Two runs appended to the results of a classification."""
+    path = Scratch(spark).path("results")
+    for _ in range(2):
+        sinks.write_class_results(_vector_scores(spark, sf_dir), path)
+    pairs = text.read_cells(spark, path).select(*[F.col("cells")[i].cast("double").alias(c) for i, c in enumerate(("real", "predicted"))])
+    return pairs.groupBy("real", "predicted").agg(F.count("*").alias("n_rows"))
+
+
+def runs_file(spark, sf_dir):
+    path = Scratch(spark).path("runs")
+    sinks.write_runs_text(_trained_demand(spark, sf_dir, FREE, SMALL).runs, path)
+    cells = text.read_cells(spark, path, ["metric"]).where("metric = 'train_mse'")
+    facts = [F.col("cells")[i].cast("long").alias(c) for i, c in enumerate(("iters", "parts", "n_rows"))]
+    return cells.select("metric", *facts, r6(F.col("cells")[3].cast("double")).alias("value"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "clean_limit": clean_limit,
@@ -570,4 +638,11 @@ def registered() -> dict[str, Query]:
         "curve": curve,
         "curve_compare": curve_compare,
         "sweep": sweep_runs,
+        "onehot_wide": onehot_wide,
+        "sparse_wide": sparse_wide,
+        "csv_roundtrip": csv_roundtrip,
+        "cells_roundtrip": cells_roundtrip,
+        "curve_file": curve_file,
+        "class_results_file": class_results_file,
+        "runs_file": runs_file,
     }
