@@ -22,7 +22,8 @@ BLOCK_BYTES = 16 << 20
 LEAST_ROWS = 1024  # of a block, where a task has less than a block's bytes of a group
 _PIECES = 8
 _PARTITION_BYTES = 128 << 20
-_BUFFERED_VALUES = 1 << 23  # doubles waiting in one task (64 MB)
+_BUFFERED_VALUES = 1 << 22  # doubles waiting in one task (32 MB)
+_SENT_BYTES = 4 << 20  # of blocks that leave a task at once
 
 
 def _matrix(column, n):
@@ -53,24 +54,31 @@ def _packer(keys, rows, with_ids):
         serial = TaskContext.get().partitionId() << 33
         waiting, schema, buffered = {}, None, 0
 
-        def flush(groups):
+        def packed(made):
+            columns = list(zip(*made))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
+            )
+
+        def flush(groups, pieces=1):
+            """The waiting rows of ``groups``, a few blocks at a time."""
             nonlocal serial
-            made = []
+            made, held = [], 0
             for key in groups:
-                xs, ys, ids = waiting.pop(key)
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                tags = np.concatenate(ids) if with_ids else None
+                x, y, tags = (np.concatenate(part) if part else None for part in waiting.pop(key))
                 full = rows or block_rows(x.shape[1])
-                size = full if rows or len(y) >= full else min(full, max(LEAST_ROWS, -(-len(y) // _PIECES)))
+                size = full if rows or len(y) >= full else min(full, max(LEAST_ROWS, -(-len(y) // pieces)))
                 for i in range(0, len(y), size):
                     piece = x[i : i + size]
                     row = (*key, serial, len(piece), piece.shape[1], piece.tobytes(), y[i : i + size].tobytes())
                     made.append((*row, tags[i : i + size].tobytes()) if with_ids else row)
                     serial += 1
-            columns = list(zip(*made))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema
-            )
+                    held += piece.nbytes
+                    if held >= _SENT_BYTES:
+                        yield packed(made)
+                        made, held = [], 0
+            if made:
+                yield packed(made)
 
         for batch in batches:
             n = batch.num_rows
@@ -98,16 +106,16 @@ def _packer(keys, rows, with_ids):
                     slot[2].append(ids[index])
                 buffered += x[index].size
             if buffered > _BUFFERED_VALUES:
-                yield flush(list(waiting))
+                yield from flush(list(waiting))
                 buffered = 0
             else:
                 full = [k for k, slot in waiting.items()
                         if sum(map(len, slot[1])) >= (rows or block_rows(x.shape[1]))]
                 if full:
                     buffered -= sum(a.size for k in full for a in waiting[k][0])
-                    yield flush(full)
-        if waiting:
-            yield flush(list(waiting))
+                    yield from flush(full)
+        if waiting:  # a small table is cut finer, so that its blocks can be spread
+            yield from flush(list(waiting), _PIECES)
 
     return pack
 

@@ -22,6 +22,7 @@ from murmuration.operators.ranking import auc
 LOSSES = ("mse", "error", "bce", "f1", "auc")
 CHUNK_BYTES = 4 << 20
 _HELD_SUMS = 1 << 20
+_SCORED_AT_ONCE = 1 << 20  # scores (rows x particles) in memory, 8 MB
 
 
 def per_chunk(n_weights: int) -> int:
@@ -70,6 +71,15 @@ def _resident(on, swarm):
     return meetings
 
 
+def _parts(x, y, weights, net, loss, decision):
+    """The additive parts of a loss over a block, by slices of its rows: the scores of a wide swarm are far more than the block."""
+    at_once = max(1, _SCORED_AT_ONCE // len(weights))
+    return sum(
+        kernels.loss_parts(y[i : i + at_once], kernels.network_outputs(x[i : i + at_once], weights, *net), loss, decision)
+        for i in range(0, len(y), at_once)
+    )
+
+
 def _summer(meetings, key_types, net, loss, decision):
     def run(batches):
         held, size = {}, 0
@@ -88,20 +98,26 @@ def _summer(meetings, key_types, net, loss, decision):
             columns += [pa.array(np.ascontiguousarray(parts[:, j])) for j in range(3)]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for batch in batches:
+        def add(batch):
+            """Its own function: no array of the batch outlives it while the next one is read."""
+            nonlocal size
             for key, x, y, pids, weights in meetings(batch):
-                scores = kernels.network_outputs(x, weights, *net)
-                parts = kernels.loss_parts(y, scores, loss, decision)
+                parts = _parts(x, y, weights, net, loss, decision)
                 slot = (key, int(pids[0]))
                 if slot in held:
                     old = held[slot]
-                    held[slot] = (old[0] + len(y), old[1] + parts, pids)
+                    held[slot] = (old[0] + len(y), old[1] + parts, old[2])
                 else:
                     held[slot] = (len(y), parts, np.array(pids))
                     size += parts.size
+
+        for batch in batches:
+            add(batch)
+            del batch
             if size > _HELD_SUMS:
                 yield flush()
-                held, size = {}, 0
+                held.clear()
+                size = 0
         if held:
             yield flush()
 
@@ -115,20 +131,22 @@ def _scorer(meetings, key_types, net):
         names = [*[f"k{j}" for j in range(len(key_types))], "pid", "score", "positives", "negatives"]
         for batch in batches:
             for key, x, y, pids, weights in meetings(batch):
-                scores = kernels.network_outputs(x, weights, *net)
-                found = []
-                for j, pid in enumerate(pids):
-                    values, where = np.unique(scores[:, j], return_inverse=True)
-                    positives = np.bincount(where, weights=(y == 1.0), minlength=len(values))
-                    found.append((np.full(len(values), pid), values, positives,
-                                  np.bincount(where, minlength=len(values)) - positives))
-                pid, values, positives, negatives = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v] * len(values), type=kind) for v, kind in zip(key, key_types)]
-                    + [pa.array(pid, type=pa.int64()), pa.array(values), pa.array(positives.astype(np.int64)),
-                       pa.array(negatives.astype(np.int64))],
-                    names=names,
-                )
+                at_once = max(1, _SCORED_AT_ONCE // len(y))
+                for start in range(0, len(pids), at_once):
+                    scores = kernels.network_outputs(x, weights[start : start + at_once], *net)
+                    found = []
+                    for j, pid in enumerate(pids[start : start + at_once]):
+                        values, where = np.unique(scores[:, j], return_inverse=True)
+                        positives = np.bincount(where, weights=(y == 1.0), minlength=len(values))
+                        found.append((np.full(len(values), pid), values, positives,
+                                      np.bincount(where, minlength=len(values)) - positives))
+                    pid, values, positives, negatives = (np.concatenate(c) for c in zip(*found))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([v] * len(values), type=kind) for v, kind in zip(key, key_types)]
+                        + [pa.array(pid, type=pa.int64()), pa.array(values), pa.array(positives.astype(np.int64)),
+                           pa.array(negatives.astype(np.int64))],
+                        names=names,
+                    )
 
     return run
 

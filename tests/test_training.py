@@ -1,7 +1,12 @@
 """Packing, the two fitness forms, both update orders, skew, sweeps and the properties of a training."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -9,10 +14,11 @@ from murmuration import Network, SwarmSettings, evaluate, fit, sweep
 from murmuration.functions.draws import lattice
 from murmuration.functions.forward import forward
 from murmuration.network import CLASSIFIER, REGRESSOR
-from murmuration.operators.blocks import PackedTable, cluster_rows, pack_blocks
+from murmuration.operators.blocks import PackedTable, _packer, cluster_rows, pack_blocks
 from murmuration.operators import fitness as fitness_module
 from murmuration.operators.clean import _tie, first_rows
 from murmuration.operators.fitness import chunk_fitness, fitness
+from murmuration.operators.kernels import loss_parts, network_outputs
 from murmuration.operators.packed_swarm import PackedGeneration, pack_swarm
 from murmuration.operators.score import predict
 from murmuration.operators.swarm import attach_best, global_best, init_swarm, move, update_personal
@@ -426,3 +432,54 @@ def test_two_layer_training(rows):
     for r in trained.weights.collect():
         assert mse[r.grp] == pytest.approx(r.fit, rel=1e-9)
     assert REGRESSOR.layers == 1
+
+
+def test_packing_sends_its_rows_in_parts(monkeypatch):
+    """A task lets go of its waiting rows a few blocks at a time, with no second copy of all of them."""
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 0)))
+
+    def source():
+        for start in range(0, 200_000, 10_000):
+            ids = np.arange(start, start + 10_000)
+            x = pa.ListArray.from_arrays(pa.array(np.arange(10_001, dtype=np.int32) * 40), pa.array(np.repeat(ids * 1.0, 40)))
+            yield pa.RecordBatch.from_pydict({"grp": pa.array(ids % 5), "x": x, "y": pa.array(ids * 1.0)})
+
+    sizes, seen = [], []
+    tracemalloc.start()
+    for batch in _packer(("grp",), None, False)(source()):
+        sizes.append(batch.nbytes)
+        seen += [np.frombuffer(b.as_py()) for b in batch.column("by")]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(np.concatenate(seen)) == list(range(200_000))
+    assert max(sizes) < 16 << 20 and peak < 72 << 20  # 64 MB of rows in all
+
+
+@pytest.mark.parametrize("loss", ["mse", "bce", "f1"])
+def test_scores_of_a_wide_swarm_are_taken_in_slices(loss):
+    rng = np.random.default_rng(1)
+    net = ("tanh", "sigmoid", 1, 2)
+    x, y, weights = rng.normal(size=(10_001, 3)), rng.integers(0, 2, 10_001) * 1.0, rng.normal(size=(500, 8))
+    whole = loss_parts(y, network_outputs(x, weights, *net), loss)
+
+    def meetings(batch):
+        yield (1,), x, y, np.arange(500), weights
+
+    tracemalloc.start()
+    (got,) = fitness_module._summer(meetings, [pa.int32()], net, loss, "threshold")(iter([None]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("n").to_pylist() == [10_001] * 500
+    assert np.allclose(np.column_stack([got.column(f"s{j}") for j in range(3)]), whole)
+    assert peak < 64 << 20  # all scores are 40 MB, and a loss needs them several times
+
+
+def test_auc_scores_are_sent_in_slices():
+    rng = np.random.default_rng(1)
+    net = ("tanh", "sigmoid", 1, 2)
+    x, y, weights = rng.normal(size=(3_000, 3)), rng.integers(0, 2, 3_000) * 1.0, rng.normal(size=(800, 8))
+    sent = list(fitness_module._scorer(lambda batch: [((1,), x, y, np.arange(800), weights)], [pa.int32()], net)(iter([None])))
+    assert max(b.num_rows for b in sent) <= 1 << 20
+    assert sorted(set(np.concatenate([b.column("pid") for b in sent]))) == list(range(800))
+    assert sum(sum(b.column("positives").to_pylist()) for b in sent) == 800 * y.sum()
+    assert sum(sum(b.column("negatives").to_pylist()) for b in sent) == 800 * (len(y) - y.sum())
