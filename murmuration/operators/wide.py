@@ -5,6 +5,9 @@ Nothing here is as long as the vocabulary: not a cell, not a task, not the drive
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,6 +123,22 @@ def dense(x: Column) -> Column:
     return F.when(x["size"] > 0, entries).otherwise(F.array().cast("array<double>"))
 
 
+def assemble_with_width(df: DataFrame, categorical: list[str], numeric: list[str], order: str, output: str = "x",
+                        scratch: Scratch | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, int]:
+    """``assemble_sparse`` and the width of its vectors, which the vocabularies tell without another pass over the rows."""
+    scratch = scratch or Scratch(df.sparkSession)
+    coded, blocks, width = df, [], len(numeric)
+    for i, column in enumerate(categorical):
+        numbered = number_values(df, column, order, scratch, f"values-{i}")
+        size = numbered.count()
+        coded = look_up(coded, column, numbered, f"_index{i}", broadcast_bytes)
+        blocks.append(sparse_one_hot(F.col(f"_index{i}"), size))
+        width += size
+    if numeric:
+        blocks.append(sparse_numbers([F.col(c) for c in numeric]))
+    return coded.select(*[c for c in df.columns if c != output], sparse_concat(*blocks).alias(output)), width
+
+
 def assemble_sparse(df: DataFrame, categorical: list[str], numeric: list[str], order: str, output: str = "x",
                     scratch: Scratch | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add one sparse column: one-hot blocks of ``categorical`` by first appearance, then ``numeric`` as doubles.
@@ -127,26 +146,58 @@ def assemble_sparse(df: DataFrame, categorical: list[str], numeric: list[str], o
     As ``encode.assemble_features``, for vocabularies of any width.  Null categories give only zeros, null numbers
     stay null, an empty table has blocks of no width.  Runs jobs: vocabularies are stored below the scratch folder.
     """
-    scratch = scratch or Scratch(df.sparkSession)
-    coded, blocks = df, []
-    for i, column in enumerate(categorical):
-        numbered = number_values(df, column, order, scratch, f"values-{i}")
-        coded = look_up(coded, column, numbered, f"_index{i}", broadcast_bytes)
-        blocks.append(sparse_one_hot(F.col(f"_index{i}"), numbered.count()))
-    if numeric:
-        blocks.append(sparse_numbers([F.col(c) for c in numeric]))
-    return coded.select(*[c for c in df.columns if c != output], sparse_concat(*blocks).alias(output))
+    return assemble_with_width(df, categorical, numeric, order, output, scratch, broadcast_bytes)[0]
+
+
+def _dot(shared, n_keys: int):
+    """Scores of batches ``*keys, entries``; ``shared`` holds the places that have a weight, in order, and the weights."""
+    def work(batches):
+        index, weight = shared.value
+        for batch in batches:
+            entries = batch.column(n_keys)
+            lengths = pc.fill_null(pc.list_value_length(entries), 0).to_numpy(zero_copy_only=False)
+            flat = entries.flatten()
+            places, values = flat.field("i"), flat.field("v")
+            known = places.is_valid().to_numpy(zero_copy_only=False) & values.is_valid().to_numpy(zero_copy_only=False)
+            places = pc.fill_null(places, 0).to_numpy(zero_copy_only=False)
+            terms = np.zeros(len(places))
+            if len(index):
+                at = np.minimum(np.searchsorted(index, places), len(index) - 1)
+                known &= index[at] == places
+                terms[known] = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False)[known] * weight[at[known]]
+            rows = np.repeat(np.arange(batch.num_rows), lengths)
+            scores = pa.array(np.bincount(rows, weights=terms, minlength=batch.num_rows).astype(np.float64))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:n_keys], scores], names=[*batch.schema.names[:n_keys], "score"]
+            )
+
+    return work
 
 
 def sparse_scores(df: DataFrame, keys: list[str], x: str, weights: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``*keys, score``: dot products of sparse vectors with the table ``index, weight``.  ``keys`` tell the rows apart.
+    """``*keys, score``, one row per row of ``df``: dot products of sparse vectors with the table ``index, weight``.
 
-    Entries without a weight count as zero, vectors without entries score zero.  Entries find their weights as in
-    ``look_up``, so an index that a third of all rows has is split.
+    Entries without a weight count as zero, vectors without entries score zero; ``keys`` may repeat or be null.  Weights of
+    at most ``broadcast_bytes`` (16 bytes each) are in the tasks, and rows are scored where they are.  Beyond it the
+    rows are stored with a number, and their entries find their weights as in ``look_up``, so an index that a third
+    of all rows has is split.
     """
-    terms = df.select(*keys, F.explode_outer(F.arrays_zip(F.col(f"{x}.indices").alias("i"), F.col(f"{x}.values").alias("v"))).alias("e"))
-    terms = terms.select(*keys, F.col("e.i").alias("_i"), F.col("e.v").alias("_v"))
+    entries = F.arrays_zip(F.col(f"{x}.indices").alias("i"), F.col(f"{x}.values").alias("v"))
+    known = weights.where(F.col("index").isNotNull()).groupBy(F.col("index").cast("long").alias("index")).agg(
+        F.sum(F.col("weight").cast("double")).alias("weight")).where(F.col("weight").isNotNull())
+    if 16 * known.count() <= broadcast_bytes:
+        held = known.toArrow()
+        index, weight = (held.column(c).to_numpy() for c in ("index", "weight"))
+        order = np.argsort(index)
+        shared = df.sparkSession.sparkContext.broadcast((index[order], weight[order]))
+        rows = df.select(*keys, entries.alias("_entries"))
+        return rows.mapInArrow(_dot(shared, len(keys)), T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    # Numbers of rows are read from the stored table, so a task that runs again finds the same ones.
+    numbered = Scratch(df.sparkSession).store(df.select(*keys, entries.alias("_e"), F.monotonically_increasing_id().alias("_row")), "rows")
+    terms = numbered.select(*keys, "_row", F.explode_outer("_e").alias("e")).select(
+        *keys, "_row", F.col("e.i").alias("_i"), F.col("e.v").alias("_v"))
     used = terms.where(F.col("_i").isNotNull()).groupBy(F.col("_i").alias("value")).agg(F.count("*").alias("n"))
-    named = weights.select(F.col("index").alias("value"), F.col("weight").alias("number")).join(used, "value")
+    named = known.select(F.col("index").alias("value"), F.col("weight").alias("number")).join(used, "value")
     met = look_up(terms, "_i", named, "_weight", broadcast_bytes)
-    return met.groupBy(*keys).agg(F.coalesce(F.sum(F.col("_v") * F.col("_weight")), F.lit(0.0)).alias("score"))
+    scored = met.groupBy("_row", *keys).agg(F.coalesce(F.sum(F.col("_v") * F.col("_weight")), F.lit(0.0)).alias("score"))
+    return scored.select(*keys, "score")

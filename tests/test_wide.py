@@ -127,3 +127,17 @@ def test_one_large_group_is_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert sum(parts) == 2_000_000 and max(parts) < 1_500_000
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_sparse_scores_of_repeated_and_null_keys(spark, limit):
+    """One score per row, though keys, even whole rows, come twice; unknown entries count as zero."""
+    rows = [(1, [0, 2], [1.0, 3.0]), (1, [0, 2], [1.0, 3.0]), (1, [1], [1.0]), (None, [2], [None]), (None, [7], [1.0]), (2, [], []),
+            (3, [None, 1], [4.0, 2.0]), (4, None, None)]
+    df = spark.createDataFrame([(k, None if i is None else (9, i, v)) for k, i, v in rows], f"id long, x {wide.SPARSE}").repartition(3)
+    weights = spark.createDataFrame([(0, 0.5), (1, 2.0), (2, 1.0), (1, 1.0), (3, None), (None, 9.0)], "index long, weight double")
+    got = sorted(((r.id is None, r.id or 0), r.score) for r in wide.sparse_scores(df, ["id"], "x", weights, limit).collect())
+    assert got == [((False, 1), 3.0), ((False, 1), 3.5), ((False, 1), 3.5), ((False, 2), 0.0), ((False, 3), 6.0), ((False, 4), 0.0),
+                   ((True, 0), 0.0), ((True, 0), 0.0)]
+    assert wide.sparse_scores(df.limit(0), ["id"], "x", weights, limit).count() == 0
+    assert {r.score for r in wide.sparse_scores(df, ["id"], "x", weights.limit(0), limit).collect()} == {0.0}

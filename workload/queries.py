@@ -515,8 +515,8 @@ def onehot_wide(spark, sf_dir):
 
 def sparse_wide(spark, sf_dir):
     """Scores of sparse vectors of part number, return flag and quantity."""
-    features = wide.assemble_sparse(mixed(spark, sf_dir), ["l_partkey", "l_returnflag"], ["l_quantity"], "line")
-    width = features.agg(F.max("x.size")).first()[0]
+    lines = mixed(spark, sf_dir).select(*LINE_KEYS, "l_returnflag", "l_quantity", "line")
+    features, width = wide.assemble_with_width(lines, ["l_partkey", "l_returnflag"], ["l_quantity"], "line")
     weights = spark.range(width).select(F.col("id").alias("index"), ((F.col("id") * 7919) % 1000 / F.lit(1000.0)).alias("weight"))
     return wide.sparse_scores(features, LINE_KEYS, "x", weights).select(*LINE_KEYS, r6(F.col("score")).alias("score"))
 
