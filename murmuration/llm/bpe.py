@@ -7,7 +7,7 @@ import json
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -62,14 +62,16 @@ class PairIndex:
     """
 
     def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
-        self.merges = merges
+        # A pair is one number, its place in the list of merges another: both are cheaper to look up than tuples.
+        self.shift = max((max(pair) for pair in merges), default=0).bit_length()
+        self.ranks = {left << self.shift | right: rank for (left, right), (rank, _) in merges.items()}
+        self.parts = {rank: (*pair, merged) for pair, (rank, merged) in merges.items()}
+        self.most = 1 << self.shift
 
     def encode(self, words: list[list[int]]) -> list[list[int]]:
         symbol = list(chain.from_iterable(words))
-        ends, total = [], 0
-        for word in words:
-            total += len(word)
-            ends.append(total)
+        ends = list(accumulate(map(len, words)))
+        total = len(symbol)
         after = list(range(1, total + 1))
         before = list(range(-1, total - 1))
         start = 0
@@ -77,21 +79,29 @@ class PairIndex:
             if end > start:
                 before[start] = after[end - 1] = -1
             start = end
-        places: dict[tuple[int, int], list[int]] = {}
-        merges = self.merges
-        for at in range(total):
-            if (nxt := after[at]) >= 0 and (pair := (symbol[at], symbol[nxt])) in merges:
-                places.setdefault(pair, []).append(at)
-        heap = [(merges[pair][0], pair) for pair in places]
+        places: dict[int, list[int]] = {}
+        rank_of, parts, shift, most = self.ranks.get, self.parts, self.shift, self.most
+        first = np.array(symbol, np.int64)
+        keys = np.full(total, -1)
+        keys[:-1] = first[:-1] << shift | first[1:]
+        keys[:-1][(first[:-1] >= most) | (first[1:] >= most)] = -1  # in no pair
+        keys[np.array([e - 1 for e in ends if e], np.int64)] = -1
+        for at, rank in enumerate(map(rank_of, keys.tolist())):
+            if rank is not None:
+                if rank in places:
+                    places[rank].append(at)
+                else:
+                    places[rank] = [at]
+        heap = list(places)
         heapq.heapify(heap)
         while heap:
-            rank, pair = heapq.heappop(heap)
-            todo = places.pop(pair, None)
+            rank = heapq.heappop(heap)
+            todo = places.pop(rank, None)
             if not todo:
                 continue
             todo.sort()
-            left, right = pair
-            merged = merges[pair][1]
+            left, right, merged = parts[rank]
+            pairs = merged < most
             for k, at in enumerate(todo):
                 nxt = after[at]
                 if symbol[at] != left or nxt < 0 or symbol[nxt] != right:
@@ -102,13 +112,28 @@ class PairIndex:
                 lower = False
                 if far >= 0:
                     before[far] = at
-                    lower = self._list(places, heap, (merged, symbol[far]), at, rank)
+                    if pairs and (other := symbol[far]) < most and (found := rank_of(merged << shift | other)) is not None:
+                        if found in places:
+                            places[found].append(at)
+                        else:
+                            places[found] = [at]
+                            heapq.heappush(heap, found)
+                        lower = found < rank
                 if (prev := before[at]) >= 0:
-                    lower |= self._list(places, heap, (symbol[prev], merged), prev, rank)
+                    if pairs and (other := symbol[prev]) < most and (found := rank_of(other << shift | merged)) is not None:
+                        if found in places:
+                            places[found].append(prev)
+                        else:
+                            places[found] = [prev]
+                            heapq.heappush(heap, found)
+                        lower |= found < rank
                 if lower:  # a pair that goes first has come up: the rest of this list waits
                     if rest := todo[k + 1 :]:
-                        places.setdefault(pair, []).extend(rest)
-                        heapq.heappush(heap, (rank, pair))
+                        if rank in places:
+                            places[rank].extend(rest)
+                        else:
+                            places[rank] = rest
+                        heapq.heappush(heap, rank)
                     break
         out, start = [], 0
         for end in ends:
@@ -116,17 +141,6 @@ class PairIndex:
             start = end
         return out
 
-    def _list(self, places: dict, heap: list, pair: tuple[int, int], at: int, rank: int) -> bool:
-        known = self.merges.get(pair)
-        if known is None:
-            return False
-        if pair in places:
-            places[pair].append(at)
-        else:
-            places[pair] = [at]
-            heapq.heappush(heap, (known[0], pair))
-        return known[0] < rank
-
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
@@ -135,7 +149,10 @@ class Encoder:
         self.words = regex.compile(vocabulary.pattern)
         marks = sorted(vocabulary.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
-        self.stand_in = byte_characters()
+        shown, ids = byte_characters(), vocabulary.ids
+        self.inner = [ids.get(shown[b], -1) for b in range(256)]
+        self.last = [ids.get(shown[b] + vocabulary.suffix, -1) for b in range(256)]
+        self.complete = -1 not in self.inner and -1 not in self.last
         self.known: dict[str, tuple[int, ...]] = {}
 
     def normalised(self, text: str) -> str:
@@ -156,10 +173,10 @@ class Encoder:
         return out
 
     def letters(self, word: str) -> list[int]:
-        shown = [self.stand_in[b] for b in word.encode()]
-        shown[-1] += self.vocabulary.suffix
-        ids = self.vocabulary.ids
-        return [ids[s] for s in shown if s in ids]
+        data = word.encode()
+        ids = [self.inner[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        return ids if self.complete else [i for i in ids if i >= 0]
 
     def learn(self, texts: Iterable[list[str]]) -> None:
         """Encode the words that have not been seen yet, many at once."""

@@ -56,3 +56,10 @@ def test_merges_whose_results_merge_earlier():
         merges = {p: (ranks.index(r), t) for p, (r, t) in merges.items()}
         words = [[rng.randrange(4) for _ in range(rng.randint(0, 14))] for _ in range(8)]
         assert PairIndex(merges).encode(words) == [plain(w, merges) for w in words]
+
+
+def test_pairs_of_symbols_beyond_those_that_merge():
+    """Merged symbols that are in no pair, empty words and an empty list."""
+    index = PairIndex({(1, 2): (0, 900), (3, 3): (1, 2)})
+    assert index.encode([[], [1, 2, 1], [900, 1, 2], [1, 3, 3], [3, 3, 3], [7], []]) == [[], [900, 1], [900, 900], [900], [2, 3], [7], []]
+    assert index.encode([]) == [] and PairIndex({}).encode([[5, 6]]) == [[5, 6]]
