@@ -18,7 +18,10 @@ from pyspark.sql import types as T
 from murmuration.llm.rows import Batches, append_columns, appended, strings
 
 WORDS_AT_ONCE = 20_000
+PASSES = 24  # over all words of a batch, one merge of each
+NEVER = (1 << 31) - 1  # rank of pairs that do not merge
 _SPACE = regex.compile(r"\p{White_Space}+")
+_NO_WHITE_SPACE = "\x1c\x1d\x1e\x1f"  # where str.split splits all the same
 
 
 def byte_characters() -> dict[int, str]:
@@ -55,10 +58,11 @@ class Vocabulary:
 
 
 class PairIndex:
-    """All words of a batch side by side; every active pair knows the places where it occurs.
+    """All words of a batch side by side; every active pair is listed with the place where it occurs, ranks in ascending order.
 
-    The pair of the lowest rank is taken from a heap and merged wherever it still stands; each merge strikes the
-    places of the pairs it destroys (they no longer match) and lists those it creates.
+    A pass merges the first pair of every word, the lowest rank at its leftmost place, strikes the pairs it destroys and
+    lists those it creates; words without an active pair leave.  After ``PASSES`` only long words are left: their pairs are
+    taken from a heap, the lowest rank first, and merged wherever they still stand.
     """
 
     def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
@@ -67,8 +71,81 @@ class PairIndex:
         self.ranks = {left << self.shift | right: rank for (left, right), (rank, _) in merges.items()}
         self.parts = {rank: (*pair, merged) for pair, (rank, merged) in merges.items()}
         self.most = 1 << self.shift
+        pairs = sorted(self.ranks)
+        self.pairs = np.array([*pairs, np.iinfo(np.int64).max], np.int64)  # the last one stands for pairs that never merge
+        self.pair_ranks = np.array([*(self.ranks[p] for p in pairs), NEVER], np.int64)
+        self.merged = np.zeros(max(self.parts, default=-1) + 1, np.int64)
+        for rank, (_, _, merged) in self.parts.items():
+            self.merged[rank] = merged
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << self.shift | right
+        keys[(left >= self.most) | (right >= self.most)] = -1  # in no pair
+        at = np.searchsorted(self.pairs, keys)
+        return np.where(self.pairs[at] == keys, self.pair_ranks[at], NEVER)
 
     def encode(self, words: list[list[int]]) -> list[list[int]]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbols, sizes = self.encode_flat(np.fromiter(chain.from_iterable(words), np.int64, sizes.sum()), sizes)
+        ends = np.cumsum(sizes).tolist()
+        flat = symbols.tolist()
+        return [flat[start:end] for start, end in zip([0, *ends], ends)]
+
+    def encode_flat(self, symbol: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' symbols one after the other and the number of each word; the same of what they become."""
+        found_sizes = np.zeros(len(sizes), np.int64)
+        word = np.flatnonzero(sizes)
+        size = sizes[word]
+        start = np.cumsum(size) - size
+        rank = np.full(len(symbol), NEVER)
+        rank[:-1] = self._ranks_of(symbol[:-1], symbol[1:])
+        rank[start + size - 1] = NEVER
+        done: list[tuple[np.ndarray, np.ndarray]] = []  # words and their symbols
+
+        def leave(which: np.ndarray, symbols: np.ndarray) -> None:
+            found_sizes[word[which]] = size[which]
+            done.append((word[which], symbols))
+
+        for _ in range(PASSES):
+            if not len(word):
+                break
+            listed = rank << 32 | np.arange(len(rank))
+            first = np.minimum.reduceat(listed, start)
+            ready = first >> 32 == NEVER
+            if ready.any():
+                gone = np.repeat(ready, size)
+                leave(ready, symbol[gone])
+                left = (start - (np.cumsum(size * ready) - size * ready))[~ready]
+                first = first[~ready] - start[~ready] + left
+                symbol, rank = symbol[~gone], rank[~gone]
+                word, size, start = word[~ready], size[~ready], left
+                if not len(word):
+                    break
+            at = first & 0xFFFFFFFF
+            symbol[at] = self.merged[first >> 32]
+            stays = np.ones(len(symbol), bool)
+            stays[at + 1] = False
+            symbol, rank = symbol[stays], rank[stays]
+            before = np.arange(len(word))  # as many places went before those of a word
+            at, start, size = at - before, start - before, size - 1
+            rank[at] = NEVER
+            here = at[at + 1 < start + size]
+            rank[here] = self._ranks_of(symbol[here], symbol[here + 1])
+            here = at[at > start]
+            rank[here - 1] = self._ranks_of(symbol[here - 1], symbol[here])
+        if len(word):
+            flat, ends = symbol.tolist(), (start + size).tolist()
+            rest = self._walk([flat[s:e] for s, e in zip(start.tolist(), ends)])
+            size = np.fromiter(map(len, rest), np.int64, len(rest))
+            leave(np.ones(len(word), bool), np.fromiter(chain.from_iterable(rest), np.int64, size.sum()))
+        out = np.empty(found_sizes.sum(), np.int64)
+        begin = np.cumsum(found_sizes) - found_sizes
+        for words, symbols in done:
+            n = found_sizes[words]
+            out[np.repeat(begin[words] - (np.cumsum(n) - n), n) + np.arange(len(symbols))] = symbols
+        return out, found_sizes
+
+    def _walk(self, words: list[list[int]]) -> list[list[int]]:
         symbol = list(chain.from_iterable(words))
         ends = list(accumulate(map(len, words)))
         total = len(symbol)
@@ -150,16 +227,19 @@ class Encoder:
         marks = sorted(vocabulary.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         shown, ids = byte_characters(), vocabulary.ids
-        self.inner = [ids.get(shown[b], -1) for b in range(256)]
-        self.last = [ids.get(shown[b] + vocabulary.suffix, -1) for b in range(256)]
-        self.complete = -1 not in self.inner and -1 not in self.last
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.inner = np.array([ids.get(shown[b], -1) for b in range(256)], np.int64)
+        self.last = np.array([ids.get(shown[b] + vocabulary.suffix, -1) for b in range(256)], np.int64)
+        self.known: dict[str, bytes] = {}  # the ids of a word, four bytes each
 
     def normalised(self, text: str) -> str:
         """NFC, white space runs to one space, lower case character by character (sigma has no final form)."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        return _SPACE.sub(" ", text).replace("Σ", "σ").lower()
+        if any(c in text for c in _NO_WHITE_SPACE):
+            text = _SPACE.sub(" ", text)
+        else:  # the same in one step; white space at the ends is in no word
+            text = " ".join(text.split())
+        return text.replace("Σ", "σ").lower()
 
     def split(self, text: str | None) -> list[str]:
         """Words of the text; special tokens stand for themselves."""
@@ -172,25 +252,37 @@ class Encoder:
             out += [part] if part in self.vocabulary.special else self.words.findall(self.normalised(part))
         return out
 
-    def letters(self, word: str) -> list[int]:
-        data = word.encode()
-        ids = [self.inner[b] for b in data]
-        ids[-1] = self.last[data[-1]]
-        return ids if self.complete else [i for i in ids if i >= 0]
+    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of the bytes of all words, one after the other, and the number of each word; bytes without a symbol go."""
+        data = [word.encode() for word in words]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        octets = np.frombuffer(b"".join(data), np.uint8)
+        symbols = self.inner[octets]
+        ends = np.cumsum(sizes) - 1
+        symbols[ends] = self.last[octets[ends]]
+        unknown = symbols < 0
+        if unknown.any():
+            sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[unknown], minlength=len(sizes))
+            symbols = symbols[~unknown]
+        return symbols, sizes
 
     def learn(self, texts: Iterable[list[str]]) -> None:
         """Encode the words that have not been seen yet, many at once."""
         new = [w for w in set(chain.from_iterable(texts)) if w not in self.known]
         special = self.vocabulary.special
+        for w in special.keys() & set(new):
+            self.known[w] = np.int32(special[w]).tobytes()
+        new = [w for w in new if w not in special]
         for start in range(0, len(new), WORDS_AT_ONCE):
             part = new[start : start + WORDS_AT_ONCE]
-            encoded = self.index.encode([[] if w in special else self.letters(w) for w in part])
-            self.known.update((w, (special[w],) if w in special else tuple(e)) for w, e in zip(part, encoded))
+            symbols, sizes = self.index.encode_flat(*self.letters(part))
+            data, ends = symbols.astype(np.int32).tobytes(), (4 * np.cumsum(sizes)).tolist()
+            self.known.update((w, data[a:b]) for w, a, b in zip(part, [0, *ends], ends))
 
     def encode(self, texts: list[list[str]]) -> list[list[int]]:
         self.learn(texts)
         known = self.known.__getitem__
-        return [list(chain.from_iterable(map(known, words))) for words in texts]
+        return [np.frombuffer(b"".join(map(known, words)), np.int32).tolist() for words in texts]
 
     def forget(self, most: int) -> None:
         """Keep the memory of a long partition bounded."""

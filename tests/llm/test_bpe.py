@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -63,3 +64,34 @@ def test_pairs_of_symbols_beyond_those_that_merge():
     index = PairIndex({(1, 2): (0, 900), (3, 3): (1, 2)})
     assert index.encode([[], [1, 2, 1], [900, 1, 2], [1, 3, 3], [3, 3, 3], [7], []]) == [[], [900, 1], [900, 900], [900], [2, 3], [7], []]
     assert index.encode([]) == [] and PairIndex({}).encode([[5, 6]]) == [[5, 6]]
+
+
+def test_long_words_leave_the_passes(library):
+    rng = random.Random(7)
+    encoder = Encoder(Vocabulary.load(PATH))
+    words = ["".join(rng.choice("aeinrst") for _ in range(n)) for n in (1, 23, 24, 25, 26, 60, 3000)]
+    texts = ["a" * 999, "abababab" * 40, "é" * 80, "!?" * 77, " ".join(words), " ".join(reversed(words))]
+    for text, ids in zip(texts, encoder.encode([encoder.split(t) for t in texts])):
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_white_space_that_only_some_split_at(library):
+    encoder = Encoder(Vocabulary.load(PATH))
+    for c in map(chr, [*range(0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2030), 0x205F, 0x3000, 0xFEFF]):
+        for text in (f"{c}it{c}'s{c}{c} a{c}", f"it{c}\x1f{c}s"):
+            assert encoder.encode([encoder.split(text)])[0] == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_of_a_batch_merge_side_by_side():
+    """Passes over a batch cost a part of the walk from pair to pair."""
+    rng = random.Random(3)
+    encoder = Encoder(Vocabulary.load(PATH))
+    words = ["".join(rng.choice("aeioulmnrstdk") for _ in range(rng.randint(4, 11))) for _ in range(20_000)]
+    symbols, sizes = encoder.letters(words)
+    ends = sizes.cumsum().tolist()
+    letters = [symbols[a:b].tolist() for a, b in zip([0, *ends], ends)]
+    start = time.process_time()
+    walked = encoder.index._walk(letters)
+    middle = time.process_time()
+    assert encoder.index.encode(letters) == walked
+    assert time.process_time() - middle < 0.6 * (middle - start)
