@@ -104,3 +104,46 @@ def test_thresholds_are_exact_ranks(spark):
 def test_every_trusted_document_sets_a_threshold(spark):
     docs = spark.createDataFrame([(k, f"lang{k}", "some words of a text") for k in range(20)], "doc_id long, lang string, text string")
     assert all(r.threshold is not None for r in kneser_ney.quality(docs, docs.select("doc_id")).collect())
+
+
+def test_parts_and_rounds_give_the_scores_of_nested_dictionaries(spark):
+    draw = random.Random(3)
+    names = [f"w{k}" for k in range(60)]
+    texts = [" ".join(draw.choices(names, [1 / (k + 1) for k in range(60)], k=draw.randint(1, 40))) for _ in range(60)]
+    docs = spark.createDataFrame([(k, "en", t) for k, t in enumerate(texts)], "doc_id long, lang string, text string")
+    ids = docs.where("doc_id < 40").select("doc_id")
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(word_ngrams.FOLDS)).alias("f")).collect()}
+    size = sum(map(len, texts))
+    assert word_ngrams.frequent_words(docs, size, 5)  # their pairs lie in several parts
+    models = {f: plain_log_p([texts[k] for k in range(40) if fold[k] != f]) for f in range(word_ngrams.FOLDS)}
+    for r in word_ngrams.score_words(docs, ids, Scratch(spark), 5).collect():
+        w = ["", "", *word_ngrams.WORD.findall(texts[r.doc_id]), None]
+        wanted = -sum(math.log(models[fold[r.doc_id]](g)) for g in zip(w, w[1:], w[2:])) / len(texts[r.doc_id].encode())
+        assert abs(math.log(r.perplexity) - wanted) < 1e-6, r
+
+
+def test_packed_trigrams_are_small_and_dealt_once():
+    draw = random.Random(4)
+    names = [f"word{k}" for k in range(3000)]
+    chunk = word_ngrams._Chunk()
+    texts = [draw.choices(names, [1 / (k + 1) for k in range(3000)], k=400) for _ in range(300)]
+    for k, t in enumerate(texts):
+        chunk.add(" ".join(t), k % 4, k % 3 == 0, b"x" * 33)
+    row = chunk.row() | {"chunk": 7}
+    often = word_ngrams.xxhash.xxh64_intdigest(b"word0")
+    often -= (often >> 63) << 64
+    blocks = [b for r in range(3) for b in word_ngrams._blocks(row, 6, {often: 4}, r, 3, False)]
+    assert sorted(b["part"] for b in blocks) == list(range(6))
+    assert sum(len(x) for b in blocks for x in b.values() if isinstance(x, bytes)) < 14 * chunk.size  # three longs are 24
+    found = Counter()
+    for b in blocks:
+        for part in word_ngrams._slices([b]):
+            ((_, docs, n),) = part.chunks
+            assert n == 300 and (part.fold == docs % 4).all() and (part.trusted == (docs % 3 == 0)).all()
+            found.update(zip(docs.tolist(), *(part.words[x].tolist() for x in (part.u, part.v, part.w))))
+    coded = {x: (h := word_ngrams.xxhash.xxh64_intdigest(x.encode())) - ((h >> 63) << 64) for x in names}
+    wanted = Counter()
+    for k, t in enumerate(texts):
+        w = [0, 0, *(coded[x] for x in t), 1]
+        wanted.update((k, *g) for g in zip(w, w[1:], w[2:]))
+    assert found == wanted
