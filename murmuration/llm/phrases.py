@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,14 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmuration.llm.rows import Batches, stored
+from murmuration.llm.rows import Batches, rows_of_a_batch, stored
 from murmuration.sources.scratch import Scratch
 
 LONGEST = 4
 CHUNK = 1 << 20  # bytes of text that are Python objects at once
+CHUNKS_HELD = 16  # texts of languages that wait for the rest of their chunk, in chunks
+TEXTS_AT_ONCE, CHUNKS_AT_ONCE = 500, 4  # rows that go to a worker together; one of the latter takes about a megabyte
+ROWS_OUT = 1 << 16  # of a batch that comes back
 HELD = 1 << 21  # hashes, and words, that a task combines at once
 BITS = 1 << 27  # of a bitmap of hashes: 16 MB at most at every size of the corpus
 SHARD_PHRASES = 1 << 18
@@ -35,32 +38,41 @@ END = b"\xff"  # of a piece; no byte of UTF-8
 _FROM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d\x09"
 TABLE = bytes.maketrans(_FROM, b"abcdefghijklmnopqrstuvwxyz" + END * 10 + b" ")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-CHUNKS = "lang string, words binary, hashes binary, ids binary"
+CHUNKS = "lang string, words binary, ids binary"
 FOUND = "lang string, phrase string, hash long, n long"
 TRIE = ("shard int, langs array<string>, words array<string>, base binary, check binary, accept binary, "
         "phrases array<struct<lang: string, phrase: string>>")
 
 
 def token_lists(batches: Batches) -> Iterator[tuple[str, list[bytes]]]:
-    """``lang`` and words in order, with ``END`` between pieces, of the rows of ``lang, text``, some pieces at a time."""
+    """``lang`` and words in order, with ``END`` between pieces, of the rows of ``lang, text``, some pieces at a time.
+
+    Texts of a language wait for others, also of later batches, until they make a chunk.
+    """
+    held: dict[str, list[bytes]] = {}
+    sizes: Counter = Counter()
+
+    def cut_up(lang: str) -> Iterator[tuple[str, list[bytes]]]:
+        sizes.pop(lang)
+        data, start = END.join(held.pop(lang)).translate(TABLE), 0
+        while start < len(data):
+            cut = data.find(END, start + CHUNK)
+            cut = len(data) if cut < 0 else cut
+            yield lang, data[start:cut].replace(END, b" \xff ").split()
+            start = cut + 1
+
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         kind = pa.large_binary() if pa.types.is_large_string(batch.column("text").type) else pa.binary()
-        texts = batch.column("text").cast(kind)
-        for lang in dict.fromkeys(langs):
-            rows = [k for k, x in enumerate(langs) if x == lang]
-            held, size = [], 0
-            for k in rows:
-                held.append(texts[k].as_py() or b"")
-                size += len(held[-1])
-                if size >= CHUNK or k == rows[-1]:
-                    data = END.join(held).translate(TABLE)
-                    held, size, start = [], 0, 0
-                    while start < len(data):
-                        cut = data.find(END, start + CHUNK)
-                        cut = len(data) if cut < 0 else cut
-                        yield lang, data[start:cut].replace(END, b" \xff ").split()
-                        start = cut + 1
+        for lang, text in zip(langs, batch.column("text").cast(kind)):
+            held.setdefault(lang, []).append(text.as_py() or b"")
+            sizes[lang] += len(held[lang][-1]) + 1
+            if sizes[lang] > CHUNK:
+                yield from cut_up(lang)
+            elif sizes.total() > CHUNKS_HELD * CHUNK:
+                yield from cut_up(max(sizes, key=sizes.get))
+    for lang in list(held):
+        yield from cut_up(lang)
 
 
 def released(worker):
@@ -72,6 +84,18 @@ def released(worker):
     return run
 
 
+def slices(columns: dict[str, pa.Array]) -> Batches:
+    batch = pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
+    for start in range(0, batch.num_rows, ROWS_OUT):
+        yield batch.slice(start, ROWS_OUT)
+
+
+def from_chunks(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``df``, which reads the chunks, as a table.  A worker has a few of them at once, however many its task reads."""
+    with rows_of_a_batch(df.sparkSession, CHUNKS_AT_ONCE):
+        return stored(df, scratch, name)
+
+
 def named(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
@@ -82,16 +106,18 @@ def count_words(chunks: DataFrame, min_count: int) -> DataFrame:
         held: dict[str, dict[bytes, int]] = {}
         totals: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, w.decode(), n) for lang, words in held.items() for w, n in words.items()]
-            rows += [(lang, None, n) for lang, n in totals.items()]
-            held.clear()
+        def flush() -> Batches:
+            while held:
+                lang, words = held.popitem()
+                counts = pa.array(words.values(), pa.int64())
+                names = pa.array(words, pa.binary()).cast(pa.string())
+                del words
+                yield from slices({"lang": pa.repeat(lang, len(names)), "word": names, "n": counts})
+            langs, counts = pa.array(totals.keys(), pa.string()), pa.array(totals.values(), pa.int64())
             totals.clear()
-            columns = [list(c) for c in zip(*rows)] or [[], [], []]
-            kinds = pa.string(), pa.string(), pa.int64()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["lang", "word", "n"])
+            yield from slices({"lang": langs, "word": pa.nulls(len(langs), pa.string()), "n": counts})
 
-        for lang, words, _, ids in chunk_rows(batches):
+        for lang, words, ids in chunk_rows(batches):
             mine = held.setdefault(lang, {})
             get = mine.get
             counts = np.bincount(ids[ids >= 0], minlength=len(words))
@@ -99,8 +125,9 @@ def count_words(chunks: DataFrame, min_count: int) -> DataFrame:
                 mine[w] = get(w, 0) + n
             totals[lang] += int(counts.sum())
             if sum(map(len, held.values())) >= HELD // 4:
-                yield flush()
-        yield flush()
+                del mine, get
+                yield from flush()
+        yield from flush()
 
     counted = chunks.mapInArrow(released(worker), "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | F.col("word").isNull())
@@ -110,6 +137,11 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word, xxhash.xxh3_64_intdigest(lang.encode()))
 
 
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    own = xxhash.xxh3_64_intdigest(lang.encode())
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words, repeat(own)), np.uint64, len(words))
+
+
 def hashed_words(words: DataFrame) -> DataFrame:
     def worker(batches: Batches) -> Batches:
         for batch in batches:
@@ -149,21 +181,24 @@ def _marked(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Numbers of the words of one language in the order of their first use, with their hashes."""
+    """Numbers of words in the order of their first use."""
 
-    def __init__(self, lang: str):
-        self.lang, self.names, self.hashes = lang, [], np.zeros(0, np.uint64)
+    def __init__(self):
+        self.names = []
 
     def __missing__(self, word: bytes) -> int:
         self[word] = len(self)
         self.names.append(word)
         return self[word]
 
-    def numbers(self, tokens: list[bytes]) -> np.ndarray:
-        got = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        new = [word_hash(self.lang, w) for w in self.names[len(self.hashes) :]]
-        self.hashes = np.concatenate([self.hashes, np.array(new, np.uint64)])
-        return got
+
+def packed(places: np.ndarray) -> bytes:
+    """Places from -1 on, the lowest bytes of all of them first: the higher ones are mostly zeros."""
+    return (places + 1).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: pa.Buffer | bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel() - 1
 
 
 def encode(texts: DataFrame) -> DataFrame:
@@ -171,28 +206,28 @@ def encode(texts: DataFrame) -> DataFrame:
     def worker(batches: Batches) -> Batches:
         known: dict[str, Words] = {}
         for lang, tokens in token_lists(batches):
-            if sum(map(len, known.values())) > HELD // 4:
+            if sum(map(len, known.values())) > HELD // 8:
                 known.clear()
-            mine = known.setdefault(lang, Words(lang))
-            number = mine.numbers(tokens)
+            mine = known.setdefault(lang, Words())
+            number = np.fromiter(map(mine.__getitem__, tokens), np.int64, len(tokens))
             present = np.zeros(len(mine) + 1, bool)
             present[number] = True
             if END in mine:
                 present[mine[END]] = False
             here = np.flatnonzero(present)
             place = np.where(present, np.cumsum(present) - 1, -1).astype(np.int32)
-            row = [lang, b" ".join([mine.names[k] for k in here]), mine.hashes[here].tobytes(), place[number].tobytes()]
-            kinds = pa.string(), *[pa.binary()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["lang", "words", "hashes", "ids"])
+            row = [lang, b" ".join([mine.names[k] for k in here]), packed(place[number])]
+            kinds = pa.string(), pa.binary(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["lang", "words", "ids"])
 
     return texts.mapInArrow(released(worker), CHUNKS)
 
 
-def chunk_rows(batches: Batches) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
-    """``lang``, words, their hashes and the places in these lists."""
+def chunk_rows(batches: Batches) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+    """``lang``, words and the places in their list."""
     for batch in batches:
-        for lang, words, hashes, ids in zip(*(batch.column(c) for c in ("lang", "words", "hashes", "ids"))):
-            yield lang.as_py(), words.as_py().split(), np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(ids.as_buffer(), np.int32)
+        for lang, words, ids in zip(*(batch.column(c) for c in ("lang", "words", "ids"))):
+            yield lang.as_py(), words.as_py().split(), unpacked(ids.as_buffer())
 
 
 def survivors(hashes: np.ndarray, ids: np.ndarray, bitmaps: list[np.ndarray], longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -225,37 +260,44 @@ def find_phrases(chunks: DataFrame, bitmaps: list[Broadcast], min_count: int, na
         held, seen, waiting = [], {}, 0
         known = [b.value for b in bitmaps]
 
-        def summed() -> pa.RecordBatch:
-            hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        def summed() -> Batches:
+            hashes = np.concatenate([np.zeros(0, np.uint64), *held])
+            held.clear()
+            hashes.sort()
+            opens = np.ones(len(hashes), bool)
+            np.not_equal(hashes[1:], hashes[:-1], out=opens[1:])
+            first = np.flatnonzero(opens)
+            counts, hashes = np.diff(first, append=len(hashes)), hashes[first]
+            del opens, first
             none = pa.nulls(len(hashes), pa.string())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(hashes.view(np.int64)), pa.array(counts)], names=["lang", "phrase", "hash", "n"])
-
-        def listed() -> pa.RecordBatch:
-            lang, phrase, hashes = zip(*((lang, p, h) for lang, pairs in seen.items() for p, h in pairs))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()),
-                 pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(np.zeros(len(lang), np.int64))],
-                names=["lang", "phrase", "hash", "n"])
-
-        for lang, words, single, ids in chunk_rows(batches):
-            hashes, ok = survivors(single, ids, known, named + 1)
+            yield from slices({"lang": none, "phrase": none, "hash": pa.array(hashes.view(np.int64)), "n": pa.array(counts)})
+
+        def listed() -> Batches:
+            while seen:
+                lang, pairs = seen.popitem()
+                hashes = pa.array(np.fromiter(pairs.values(), np.uint64, len(pairs)).view(np.int64))
+                phrase = pa.array(pairs, pa.binary()).cast(pa.string())
+                del pairs
+                none = pa.array(np.zeros(len(phrase), np.int64))
+                yield from slices({"lang": pa.repeat(lang, len(phrase)), "phrase": phrase, "hash": hashes, "n": none})
+
+        for lang, words, ids in chunk_rows(batches):
+            hashes, ok = survivors(word_hashes(lang, words), ids, known, named + 1)
             if sums and len(ok) > named:
                 held.append(hashes[named][ok[named]])
                 waiting += len(held[-1])
             if names and len(ok) >= named:
                 at = np.flatnonzero(ok[named - 1])
                 different, first = np.unique(hashes[named - 1][at], return_index=True)
-                found = seen.setdefault(lang, set())
-                found.update((b" ".join([words[j] for j in ids[i : i + named]]), int(h)) for h, i in zip(different, at[first]))
+                # The words of a phrase tell its hash.
+                seen.setdefault(lang, {}).update((b" ".join([words[j] for j in ids[i : i + named]]), int(h)) for h, i in zip(different, at[first]))
             if waiting >= HELD:
-                yield summed()
-                held, waiting = [], 0
+                yield from summed()
+                waiting = 0
             if sum(map(len, seen.values())) >= HELD // 8:
-                yield listed()
-                seen = {}
-        yield summed()
-        if any(seen.values()):
-            yield listed()
+                yield from listed()
+        yield from summed()
+        yield from listed()
 
     found = chunks.mapInArrow(released(worker), FOUND).groupBy("lang", "phrase", "hash").agg(F.sum("n").alias("n"))
     return found.where(F.col("phrase").isNotNull() | (F.col("n") >= min_count))
@@ -264,11 +306,11 @@ def find_phrases(chunks: DataFrame, bitmaps: list[Broadcast], min_count: int, na
 def candidates(chunks: DataFrame, words: DataFrame, scratch: Scratch, min_count: int) -> DataFrame:
     """``lang, phrase``: every phrase of 2 to 4 words that occurs ``min_count`` times, and few others."""
     bitmaps, every = [bitmap(hashed_words(words.where("word IS NOT NULL")))], None
-    found = stored(find_phrases(chunks, bitmaps, min_count, names=False), scratch, "hashes-2")
+    found = from_chunks(find_phrases(chunks, bitmaps, min_count, names=False), scratch, "hashes-2")
     for k in range(2, LONGEST + 1):
         sums = found.where("phrase IS NULL").select("hash")
         bitmaps.append(bitmap(sums))
-        found = stored(find_phrases(chunks, bitmaps, min_count, sums=k < LONGEST), scratch, f"hashes-{k + 1}")
+        found = from_chunks(find_phrases(chunks, bitmaps, min_count, sums=k < LONGEST), scratch, f"hashes-{k + 1}")
         # Bitmaps let a few through by chance; the sums do not.
         named = found.where("phrase IS NOT NULL").join(sums.hint("merge"), "hash", "left_semi").select("lang", "phrase")
         every = named if every is None else every.unionByName(named)
@@ -284,19 +326,23 @@ def double_array(sequences: list[list[int]], symbols: int) -> tuple[np.ndarray,
     From state s the symbol c leads to t = base[s] + c if check[t] = s.  The root is 0.  Nodes with many children are
     placed first, each at the first base of growing windows where all its children find free cells; the children of nodes with a single one fill the gaps.
     """
-    nodes, ends = {}, [-1]  # (parent, symbol): node; parents have lower numbers than their children
-    for number, sequence in enumerate(sequences):
-        node = 0
-        for c in sequence:
-            node = nodes.setdefault((node, c), len(nodes) + 1)
-            if node == len(ends):
-                ends.append(-1)
-        ends[node] = number
-    if not nodes:
+    lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    flat = np.fromiter(chain.from_iterable(sequences), np.int64, lengths.sum())
+    starts = np.cumsum(lengths) - lengths
+    # Nodes are numbered level by level, so pairs of parent and symbol are in order and parents come before their children.
+    node, parents, codes, nodes = np.zeros(len(sequences), np.int64), [], [], 1
+    for k in range(lengths.max(initial=0)):
+        rows = np.flatnonzero(lengths > k)
+        pairs, place = np.unique(node[rows] * (symbols + 1) + flat[starts[rows] + k], return_inverse=True)
+        node[rows] = nodes + place
+        nodes += len(pairs)
+        parents.append(pairs // (symbols + 1))
+        codes.append(pairs % (symbols + 1))
+    if nodes == 1:
         return np.zeros(1, np.int64), np.full(1, -1, np.int64), np.full(1, -1, np.int64)
-    pairs = np.array(list(nodes), np.int64)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    parent, code, child = pairs[order, 0], pairs[order, 1], order + 1
+    ends = np.full(nodes, -1, np.int64)
+    ends[node] = np.arange(len(sequences))
+    parent, code, child = np.concatenate(parents), np.concatenate(codes), np.arange(1, nodes)
     opens = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
     sizes = np.diff(np.r_[opens, len(parent)])
     base_of = np.zeros(len(ends), np.int64)
@@ -342,19 +388,20 @@ def tries(found: DataFrame, n_phrases: int, shard_phrases: int = SHARD_PHRASES)
     shards = max(1, -(-n_phrases // shard_phrases))
 
     def build(table: pa.Table) -> pa.Table:
+        shard, table = table["shard"][0].as_py(), table.select(["lang", "phrase"]).combine_chunks()
         langs, phrases = table["lang"].to_pylist(), table["phrase"].to_pylist()
         # Frequent words get low symbols: the children of a node lie close together.
         common = Counter((lang, w) for lang, p in zip(langs, phrases) for w in p.split(" "))
         numbers = {w: k + 1 for k, (w, _) in enumerate(common.most_common())}
         sequences = [[numbers[lang, w] for w in p.split(" ")] for lang, p in zip(langs, phrases)]
-        base, check, accept = double_array(sequences, len(numbers))
-        keys = [{"lang": lang, "phrase": p} for lang, p in zip(langs, phrases)]
-        arrays = [a.tobytes() for a in (base, check, accept)]
-        row = [table["shard"][0].as_py(), [k[0] for k in numbers], [k[1] for k in numbers], *arrays, keys]
-        pairs = pa.list_(pa.struct([("lang", pa.string()), ("phrase", pa.string())]))
-        kinds = [pa.int32(), *[pa.list_(pa.string())] * 2, *[pa.binary()] * 3, pairs]
+        del langs, phrases, common
+        arrays = [a.astype(np.int32).tobytes() for a in double_array(sequences, len(numbers))]
+        row = [shard, [k[0] for k in numbers], [k[1] for k in numbers], *arrays]
+        kinds = [pa.int32(), *[pa.list_(pa.string())] * 2, *[pa.binary()] * 3]
+        pairs = pa.StructArray.from_arrays([c.cast(pa.string()).combine_chunks() for c in table.columns], names=["lang", "phrase"])
+        keys = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs)
         names = ["shard", "langs", "words", "base", "check", "accept", "phrases"]
-        return pa.table([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+        return pa.table([*[pa.array([v], t) for v, t in zip(row, kinds)], keys], names=names)
 
     shard = F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int")
     return found.select(shard.alias("shard"), "lang", "phrase").groupBy("shard").applyInArrow(build, TRIE)
@@ -365,7 +412,7 @@ class Trie:
         self.symbols: dict[str, dict[bytes, int]] = {}
         for k, (lang, word) in enumerate(zip(langs, words)):
             self.symbols.setdefault(lang, {})[word.encode()] = k + 1
-        self.base, self.check, self.accept = (np.frombuffer(a, np.int64) for a in (base, check, accept))
+        self.base, self.check, self.accept = (np.frombuffer(a, np.int32) for a in (base, check, accept))
 
     def accepted(self, lang: str, words: list[bytes], ids: np.ndarray) -> Iterator[np.ndarray]:
         """For each number of words the accepting states of all positions, advanced together."""
@@ -389,11 +436,11 @@ def count_phrases(chunks: DataFrame, trie: DataFrame, shared: Broadcast) -> Data
     def worker(batches: Batches) -> Batches:
         mine = Trie(**shared.value)
         counts = np.zeros(len(mine.check), np.int64)
-        for lang, words, _, ids in chunk_rows(batches):
+        for lang, words, ids in chunk_rows(batches):
             for states in mine.accepted(lang, words, ids):
                 counts += np.bincount(states, minlength=len(counts))
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(mine.accept[at]), pa.array(counts[at])], names=["number", "n"])
+        yield from slices({"number": pa.array(mine.accept[at], pa.int64()), "n": pa.array(counts[at])})
 
     counted = chunks.mapInArrow(released(worker), "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
     keys = trie.select(F.posexplode("phrases").alias("number", "key"))
@@ -406,16 +453,17 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, text: str = "text", lang
     phrases that occur ``min_count`` times."""
     scratch = scratch or Scratch(docs.sparkSession)
     texts = named(docs, text, lang)
-    chunks = stored(encode(texts), scratch, "chunks")
-    words = stored(count_words(chunks, min_count), scratch, "words")
+    with rows_of_a_batch(docs.sparkSession, TEXTS_AT_ONCE):
+        chunks = stored(encode(texts), scratch, "chunks", CHUNKS_AT_ONCE)
+    words = from_chunks(count_words(chunks, min_count), scratch, "words")
     found = candidates(chunks, words, scratch, min_count)
-    built = stored(tries(found, found.count(), shard_phrases), scratch, "tries")
+    built = stored(tries(found, found.count(), shard_phrases), scratch, "tries", 1)
     counted = None
     for shard in sorted(r.shard for r in built.select("shard").collect()):
         trie = built.where(F.col("shard") == shard)
         arrays = trie.select("langs", "words", "base", "check", "accept").first().asDict()
         shared = docs.sparkSession.sparkContext.broadcast(arrays)
-        part = stored(count_phrases(chunks, trie, shared), scratch, f"counts-{shard}")
+        part = from_chunks(count_phrases(chunks, trie, shared), scratch, f"counts-{shard}")
         shared.destroy()
         counted = part if counted is None else counted.unionByName(part)
     if counted is None:

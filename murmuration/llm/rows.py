@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from murmuration.sources.scratch import Scratch
@@ -51,7 +52,25 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return array.cast(kind).to_pylist()
 
 
-def stored(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """``df`` as a compressed table in the shared folder, which cuts its lineage and survives lost executors."""
-    df.write.option("compression", "zstd").parquet(scratch.path(name))
+def stored(df: DataFrame, scratch: Scratch, name: str, rows_at_once: int | None = None) -> DataFrame:
+    """``df`` as a compressed table in the shared folder, which cuts its lineage and survives lost executors.
+
+    Writers and readers hold a group of rows in memory; of large rows that is ``rows_at_once``.
+    """
+    writer = df.write.option("compression", "zstd")
+    if rows_at_once is not None:
+        writer = writer.option("parquet.block.row.count.limit", rows_at_once)
+    writer.parquet(scratch.path(name))
     return df.sparkSession.read.schema(df.schema).parquet(scratch.path(name))
+
+
+@contextmanager
+def rows_of_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside hands at most ``rows`` rows at once to Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

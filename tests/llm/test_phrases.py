@@ -1,13 +1,18 @@
 """Collocations against plain counting."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from glob import glob
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from murmuration.llm import phrases
 from murmuration.llm.phrases import collocations, double_array
+from murmuration.sources.scratch import Scratch
 from tests.llm.cases import awkward, empty
 
 
@@ -113,3 +118,74 @@ def test_double_array():
     assert (accept >= 0).sum() == len(sequences)
     nodes = {tuple(s[:k]) for s in sequences for k in range(len(s) + 1)}
     assert (check >= 0).sum() == len(nodes) - 1
+
+
+def test_chunks_do_not_depend_on_batches():
+    batch = pa.record_batch({"lang": ["en", None, "de", "en"] * 500, "text": ["one two. three", "x", None, "four five"] * 500})
+    small = [batch.slice(k, 3) for k in range(0, batch.num_rows, 3)]
+    assert list(phrases.token_lists(iter(small))) == list(phrases.token_lists(iter([batch])))
+    assert len(list(phrases.token_lists(iter(small)))) == 3
+
+
+def test_waiting_texts_are_bounded(monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK", 100)
+    monkeypatch.setattr(phrases, "CHUNKS_HELD", 2)
+    rows = [(f"lang {k}", "one two three four") for k in range(50)] * 2
+    taken = []
+
+    def batches():
+        for lang, text in rows:
+            taken.append(lang)
+            yield pa.record_batch({"lang": [lang], "text": [text]})
+
+    found = []
+    for lang, tokens in phrases.token_lists(batches()):
+        found.append((lang, tokens))
+        assert (len(taken) - len(found)) * 19 <= 200 + 19
+    assert Counter(lang for lang, _ in found) == Counter(lang for lang, _ in rows)
+
+
+def test_few_chunks_are_in_memory_at_once(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(f"{k}", f"one two three w{k}. ") for k in range(30)], "lang string, text string").coalesce(1)
+    tables, batches = {}, []
+    stored = phrases.stored
+
+    def noted(df, scratch, name, *options):
+        tables[name] = scratch.path(name).removeprefix("file:")
+        return stored(df, scratch, name, *options)
+
+    def rows(chunks):
+        def worker(found):
+            for batch in found:
+                yield pa.record_batch({"n": pa.array([batch.num_rows], pa.int64())})
+
+        return chunks.mapInArrow(worker, "n long")
+
+    def counted(chunks, *options, plain=phrases.count_words):
+        batches.extend(r.n for r in phrases.from_chunks(rows(chunks), Scratch(spark), "rows").collect())
+        return plain(chunks, *options)
+
+    monkeypatch.setattr(phrases, "stored", noted)
+    monkeypatch.setattr(phrases, "count_words", counted)
+    assert collocations(docs, min_count=1).count() == 30
+    files = [pq.ParquetFile(f).metadata for f in glob(f"{tables['chunks']}/*.parquet")]
+    groups = [f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert sum(groups) == 30 and max(groups) <= phrases.CHUNKS_AT_ONCE
+    assert sum(batches) == 30 and max(batches) <= phrases.CHUNKS_AT_ONCE
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def test_packed_places():
+    for places in ([], [-1], [0, -1, 255, 256, 65535, 2**24, 2**31 - 2]):
+        got = phrases.unpacked(phrases.packed(np.array(places, np.int32)))
+        assert got.tolist() == places and got.dtype == np.int32
+
+
+def test_memory_of_a_trie():
+    draw = np.random.default_rng(5)
+    sequences = [list(s) for s in {tuple(draw.integers(1, 2000, 4).tolist()) for _ in range(20_000)}]
+    tracemalloc.start()
+    base, _, _ = double_array(sequences, 2000)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 200 * len(base)
